@@ -79,3 +79,16 @@ def strip_html(c: Column | str, mode: str = "auto") -> Column:
     unsure = F.rlike(F.regexp_replace(bare, _BASIC_PATTERN, ""), F.lit("[<&]"))
     parsed = _text_nodes_arrow(F.when(unsure, raw))
     return F.coalesce(parsed, strip_ws(_decode_basic(bare)))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _text_nodes_list_arrow(items: pd.Series) -> pd.Series:
+    return items.map(lambda markups: [text_nodes(m) for m in markups], na_action="ignore")
+
+
+def strip_html_list(items: Column) -> Column:
+    """`strip_html` over a list of fragments; lists with only plain markup stay in the JVM."""
+    raw = F.transform(items, lambda m: F.coalesce(m, F.lit("")))
+    bare = F.transform(raw, lambda m: F.regexp_replace(m, PLAIN_MARKUP, ""))
+    unsure = F.exists(bare, lambda m: F.rlike(F.regexp_replace(m, _BASIC_PATTERN, ""), F.lit("[<&]")))
+    return F.coalesce(_text_nodes_list_arrow(F.when(unsure, raw)), F.transform(bare, lambda m: strip_ws(_decode_basic(m))))

@@ -6,16 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LISTING = T.StructType.fromDDL(
-    """
-    id string, source string, source_id string, title string, company string, location string,
-    remote boolean, work_mode string, employment_type string, seniority string,
-    salary_min double, salary_max double, salary_currency string,
-    posted_date_raw string, posted_date date, description_text string, url string, apply_url string,
-    departments array<string>, tags array<string>, verification_status string
-    """
-)
-ALTERNATES = T.ArrayType(T.StructType.fromDDL("source string, url string, source_id string"))
+_TEXT, _TEXTS = T.StringType(), T.ArrayType(T.StringType())
+LISTING = T.StructType([
+    T.StructField(name, kind)
+    for name, kind in [
+        ("id", _TEXT), ("source", _TEXT), ("source_id", _TEXT), ("title", _TEXT), ("company", _TEXT), ("location", _TEXT),
+        ("remote", T.BooleanType()), ("work_mode", _TEXT), ("employment_type", _TEXT), ("seniority", _TEXT),
+        ("salary_min", T.DoubleType()), ("salary_max", T.DoubleType()), ("salary_currency", _TEXT),
+        ("posted_date_raw", _TEXT), ("posted_date", T.DateType()), ("description_text", _TEXT),
+        ("url", _TEXT), ("apply_url", _TEXT), ("departments", _TEXTS), ("tags", _TEXTS), ("verification_status", _TEXT),
+    ]
+])
+_ALTERNATE = T.StructType([T.StructField(name, _TEXT) for name in ("source", "url", "source_id")])
+# Columns added on the way: by the keyword score and by deduplication.
+ADDED = T.StructType([
+    T.StructField("preliminary_relevance_score", T.DoubleType()),
+    T.StructField("matched_keywords", _TEXTS),
+    T.StructField("alternate_sources", T.ArrayType(_ALTERNATE)),
+])
 
 ATS_SOURCES = ("greenhouse", "lever", "workable", "ashby")
 API_SOURCES = ("remotive", "remoteok", "jobicy", "himalayas", "themuse")
