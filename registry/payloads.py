@@ -180,3 +180,87 @@ def documents(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
         "doc", F.lit(source).alias("source"), F.concat(F.lit(f"{source}-"), F.col("doc").cast("string"), F.lit(".json")).alias("file"),
         F.concat(F.lit("Owner "), (F.col("doc") % 4).cast("string")).alias("fallback_company"), raw.alias("raw"),
     )
+
+
+def land(spark: SparkSession, docs: DataFrame, name: str) -> str:
+    """Write documents (doc, raw) to the shared scratch folder, one file each, as a landing zone holds them."""
+    from vacancia.session import scratch_path
+
+    path = scratch_path(spark, name)
+    docs.select("doc", "raw").repartition("doc").write.partitionBy("doc").text(path)
+    return path
+
+
+def rss_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSS 2.0 feeds of 50 parts: repeated categories, a namespaced author, every ninth feed cut off."""
+    item = F.concat(
+        F.lit("<item><title>"), TITLE, F.lit(" at "), F.replace("p_brand", F.lit("#"), F.lit(" &amp; ")), F.lit("</title><link>https://f/"), K.cast("string"),
+        F.lit("</link><pubDate>Mon, 06 Jan 2025 10:00:00 +0000</pubDate><description>&lt;b&gt;"), F.col("p_type"), F.lit("&lt;/b&gt;</description><category>"),
+        F.col("p_type"), F.lit("</category><category>B</category>"),
+        F.when(K % 2 == 0, F.lit("<dc:creator> Ann </dc:creator>")).otherwise("<author>Bob</author>"),
+        F.when(K % 3 == 0, F.concat(F.lit("<region>"), PLACE, F.lit("</region>"))).otherwise(""), F.lit("</item>"),
+    )
+    head = '<?xml version="1.0"?><rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>feed</title>'
+    return _feed(spark, sf_dir, item, head, "</channel></rss>")
+
+
+def atom_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Atom feeds of 50 parts: some entries with only one of the two dates."""
+    item = F.concat(
+        F.lit("<entry><title> "), TITLE, F.lit(' </title><link href="https://a/'), K.cast("string"), F.lit('"/><published>'), STAMP, F.lit("</published>"),
+        F.when(K % 2 == 0, F.concat(F.lit("<updated>"), ISO, F.lit("</updated>"))).otherwise(""),
+        F.lit("<summary>sum</summary>"), F.when(K % 3 == 0, F.concat(F.lit("<content>"), F.col("p_type"), F.lit("</content>"))).otherwise(""),
+        F.when(K % 4 == 0, F.concat(F.lit('<category term="'), F.col("p_type"), F.lit('"/>'))).otherwise("<category>plain</category>"),
+        F.lit("<author><name>"), F.replace("p_brand", F.lit("#"), F.lit(" ")), F.lit("</name></author></entry>"),
+    )
+    return _feed(spark, sf_dir, item, '<feed xmlns="http://www.w3.org/2005/Atom"><title>feed</title>', "</feed>")
+
+
+def _feed(spark: SparkSession, sf_dir: str, item: Column, head: str, tail: str) -> DataFrame:
+    items = load(spark, sf_dir, "part").select(F.floor(K / DOC_ROWS).alias("doc"), K.alias("k"), item.alias("x"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda e: e["x"]), "\n")
+    end = F.when(F.col("doc") % 9 == 4, F.lit("<item><title>cut</entry>")).otherwise(F.lit(tail))
+    return items.groupBy("doc").agg(body.alias("body")).select("doc", F.concat(F.lit(head), F.col("body"), end).alias("raw"))
+
+
+def manifest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One manifest per 50 parts: two company boards, two searches and a feed."""
+    docs = load(spark, sf_dir, "part").select(F.floor(K / DOC_ROWS).alias("doc")).distinct()
+    n = F.col("doc").cast("string")
+
+    def file(source, ext=".json"):
+        return F.concat(F.lit(f"{source}-"), n, F.lit(ext))
+
+    def board(source):
+        return _obj(path=file(source), source=F.lit(source), slug=F.concat(F.lit("slug"), n), company=F.concat(F.lit("Owner "), (F.col("doc") % 4).cast("string")))
+
+    def search(source):
+        return _obj(path=file(source), source=F.lit(source), params=F.concat(F.lit("page="), n))
+
+    doc = _obj(
+        mode=F.lit("prefetched"), fetched_at=F.lit("2024-04-01T00:00:00Z"),
+        ats_files=F.array(board("greenhouse"), board("workable")), api_files=F.array(search("remotive"), search("themuse")),
+        rss_files=F.array(_obj(path=file("rss"), source=F.lit("rss"), feed_url=F.concat(F.lit("https://feed/"), n))),
+    )
+    return docs.select("doc", F.to_json(doc).alias("raw"))
+
+
+def company_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Company files of 50 suppliers each, with the remark the file format allows."""
+    from registry.tables import companies
+
+    rows = companies(spark, sf_dir).withColumn("doc", F.floor(F.regexp_extract("name", r"(\d+)", 1).cast("bigint") / DOC_ROWS))
+    return rows.groupBy("doc").agg(F.collect_list(F.struct("name", "ats", "slug", "sectors", "notes")).alias("companies")).select(
+        "doc", F.to_json(F.struct(F.lit("remark").alias("_comment"), "companies")).alias("raw"))
+
+
+def sector_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sector keyword file: a few sectors with their distinct words, so it stays small."""
+    from registry.tables import sector_keywords
+
+    words = sector_keywords(spark, sf_dir).groupBy("sector").agg(
+        F.array_sort(F.collect_set(F.when(F.col("kind") == "title", F.col("keyword")))).alias("title_keywords"),
+        F.array_sort(F.collect_set(F.when(F.col("kind") == "description", F.col("keyword")))).alias("description_keywords"),
+        F.array(F.lit("intern")).alias("exclude_keywords"))
+    body = words.select(F.concat(F.lit('"'), F.col("sector"), F.lit('":'), F.to_json(F.struct("title_keywords", "description_keywords", "exclude_keywords"))).alias("b"))
+    return body.agg(F.concat(F.lit('{"_comment":"remark",'), F.array_join(F.array_sort(F.collect_list("b")), ","), F.lit("}")).alias("raw")).withColumn("doc", F.lit(0))

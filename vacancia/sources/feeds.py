@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vacancia.functions.text import blank_to_null, company_from_title, strip_ws
 
+FEED_FILES = "*.xml"
 FIELDS = ("title", "link", "pubDate", "description", "category", "company", "author", "location")
 _TEXT = ("title", "link", "pubDate", "description", "author", "creator", "region", "location", "category")
 # A feed element may repeat and may carry attributes; both are read as lists of (text, attribute).
@@ -19,14 +20,16 @@ _ATOM_SCHEMA = (
 )
 
 
-def _elements(spark: SparkSession, path: str, row: str, schema: str) -> DataFrame:
+def _elements(spark: SparkSession, path: str, row: str, schema: str, glob: str) -> DataFrame:
     """Elements of every well-formed feed file; a file that breaks off anywhere gives none."""
     raw = (
         spark.read.format("xml").schema(schema + ", _broken string").option("rowTag", row)
         .option("ignoreNamespace", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken")
-        .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").option("ignoreMissingFiles", "true")
-        .load(path).select("*", F.col("_metadata.file_name").alias("file"))
+        .option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("ignoreMissingFiles", "true")
+        .load(path).select("*", F.col("_metadata.file_path").alias("file"))
     )
+    # The reader refuses a scan of the broken column alone, so a data column is looked at as well.
+    raw = raw.filter("coalesce(size(title), 0) >= 0")
     broken = raw.filter("_broken IS NOT NULL").select("file").distinct()
     return raw.filter("_broken IS NULL").drop("_broken").join(broken, "file", "left_anti")
 
@@ -48,9 +51,9 @@ def _items(df: DataFrame) -> DataFrame:
     return df.withColumn("company", company_from_title("title")).select("file", *FIELDS)
 
 
-def scan_rss(spark: SparkSession, path: str) -> DataFrame:
+def scan_rss(spark: SparkSession, path: str, glob: str = FEED_FILES) -> DataFrame:
     """Items of RSS files: categories joined by ", ", of other repeated elements the last one counts."""
-    raw = _elements(spark, path, "item", _RSS_SCHEMA)
+    raw = _elements(spark, path, "item", _RSS_SCHEMA, glob)
     return _items(raw.select(
         "file", *[_last(c).alias(c) for c in ("title", "link", "pubDate", "description")],
         F.array_join(F.filter(_texts("category"), lambda x: x != ""), ", ").alias("category"),
@@ -59,13 +62,13 @@ def scan_rss(spark: SparkSession, path: str) -> DataFrame:
     ))
 
 
-def scan_atom(spark: SparkSession, path: str, fixed: bool = False) -> DataFrame:
+def scan_atom(spark: SparkSession, path: str, fixed: bool = False, glob: str = FEED_FILES) -> DataFrame:
     """Entries of Atom files.
 
     As in the input rules a `published` or `summary` element is passed over in favour of `updated` and
     `content`; `fixed=True` takes the first one that has text.
     """
-    raw = _elements(spark, path, "entry", _ATOM_SCHEMA)
+    raw = _elements(spark, path, "entry", _ATOM_SCHEMA, glob)
 
     def either(a, b):
         second = strip_ws(_first(b))
@@ -92,15 +95,16 @@ def envelopes(items: DataFrame, files: DataFrame, manifest: DataFrame | None = N
     out = files.join(counts, "file", "left").withColumn("item_count", F.coalesce("item_count", F.lit(0).cast("bigint")))
     if manifest is None:
         return out.withColumn("feed_url", F.lit("")).select("file", "feed_url", "fetched_at", "item_count")
-    urls = manifest.select(F.col("path").alias("file"), "feed_url")
-    return out.join(urls, "file", "left").withColumn("feed_url", F.coalesce("feed_url", F.lit(""))).select("file", "feed_url", "fetched_at", "item_count")
+    urls = manifest.select(F.col("path").alias("_name"), "feed_url")
+    out = out.withColumn("_name", F.element_at(F.split("file", "/"), -1))
+    return out.join(urls, "_name", "left").withColumn("feed_url", F.coalesce("feed_url", F.lit(""))).select("file", "feed_url", "fetched_at", "item_count")
 
 
-def feed_files(spark: SparkSession, path: str) -> DataFrame:
+def feed_files(spark: SparkSession, path: str, glob: str = FEED_FILES) -> DataFrame:
     """file, fetched_at of every landed feed file."""
     return (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").format("binaryFile").load(path)
-        .select(F.col("_metadata.file_name").alias("file"), F.col("modificationTime").alias("fetched_at"))
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).format("binaryFile").load(path)
+        .select(F.col("_metadata.file_path").alias("file"), F.col("modificationTime").alias("fetched_at"))
     )
 
 

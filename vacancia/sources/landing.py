@@ -10,18 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vacancia.functions.text import strip_ws
 from vacancia.schema import ADDED, LISTING, conform
+from vacancia.sources import mappings
 
 PAYLOAD_SUFFIXES = "*.json"
 
 
 def scan_payloads(spark: SparkSession, path: str, glob: str = PAYLOAD_SUFFIXES) -> DataFrame:
-    """file, raw: every landed response, one document per file. Files that vanish are skipped."""
-    return (
-        spark.read.option("ignoreMissingFiles", "true")
-        .option("pathGlobFilter", glob).text(path, wholetext=True)
-        .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("raw"))
-    )
+    """file, raw: every landed response, one document per file. Files that vanish are skipped.
+
+    Partition folders such as source=.../ become columns, so a filter on them skips the other folders.
+    """
+    docs = spark.read.option("ignoreMissingFiles", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
+    folders = [c for c in docs.columns if c != "value"]
+    return docs.select(F.col("_metadata.file_name").alias("file"), *folders, F.col("value").alias("raw"))
 
 
 def parse_payloads(raw: DataFrame) -> DataFrame:
@@ -29,10 +32,26 @@ def parse_payloads(raw: DataFrame) -> DataFrame:
     return raw.withColumn("v", F.try_parse_json("raw"))
 
 
-def rejects(parsed: DataFrame) -> DataFrame:
-    """file, reason of documents that give no rows. One bad response never stops the rest."""
-    blank = F.trim(F.coalesce("raw", F.lit(""))) == ""
-    return parsed.filter(F.col("v").isNull()).select("file", F.when(blank, "empty").otherwise("broken JSON").alias("reason"))
+def listings_in(payloads: DataFrame, source: str) -> DataFrame:
+    """One row `j` per listing of the documents of a source, whatever their root; broken ones give none."""
+    return mappings.ITEMS[source](payloads)
+
+
+def merge_pages(payloads: DataFrame, n_pages: int, keys: list[str]) -> DataFrame:
+    """Pages 0..n-1 of one paged search per `keys` up to its last page; unreadable pages are skipped.
+
+    A search stops at the first readable page that says it is the last one (`page_count` - 1 or more).
+    """
+    ok = payloads.filter(F.col("v").isNotNull() & (F.col("page") < n_pages))
+    count = F.coalesce(F.try_variant_get("v", "$.page_count", "bigint"), F.lit(0))
+    stops = ok.filter(F.col("page") >= count - 1).groupBy(*keys).agg(F.min("page").alias("_stop"))
+    return ok.join(stops, keys, "left").filter(F.col("_stop").isNull() | (F.col("page") <= F.col("_stop"))).drop("_stop")
+
+
+def rejects(parsed: DataFrame, *keep: str) -> DataFrame:
+    """file, reason (and the columns to keep) of documents that give no rows. One bad response never stops the rest."""
+    blank = strip_ws(F.coalesce("raw", F.lit(""))) == ""
+    return parsed.filter(F.col("v").isNull()).select("file", *keep, F.when(blank, "empty").otherwise("broken JSON").alias("reason"))
 
 
 def scan_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -84,6 +84,21 @@ def _explode(df: DataFrame, root: str | None, positions: bool = False) -> DataFr
     return out.filter(_is_object("", F.col("j")))
 
 
+def _skip_first(df: DataFrame) -> DataFrame:
+    """The first of several elements describes the service, not a listing."""
+    return _explode(df, None, positions=True).filter((F.col("_pos") > 0) | (F.col("_n") == 1)).drop("_pos", "_n")
+
+
+# How the documents of each source hold their listings.
+ITEMS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "lever": lambda df: _explode(df, None),
+    "remoteok": _skip_first,
+    "themuse": lambda df: _explode(df, "results"),
+    "rss": lambda df: _explode(df, "items"),
+    **{s: lambda df: _explode(df, "jobs") for s in ("greenhouse", "workable", "ashby", "remotive", "jobicy", "himalayas")},
+}
+
+
 def _listing(df: DataFrame, source: str, *, key: Column, source_id: Column | None = None, title: Column, company: Column,
              location: Column, posted: Column, description: Column, url: Column, apply_url: Column | None = None,
              remote: Column | None = None, work_mode: Column | None = None, employment_type: Column | None = None,
@@ -93,7 +108,7 @@ def _listing(df: DataFrame, source: str, *, key: Column, source_id: Column | Non
     """Shared part of the mappings; what is left out is inferred or empty."""
     empty = F.array().cast("array<string>")
     nothing = F.lit(None)
-    keep = [c for c in df.columns if c not in ("j", "source", "_n", "_pos")]
+    keep = [c for c in df.columns if c not in ("j", "source")]
     work = df.select(
         *keep, "j", key.alias("_key"), (key if source_id is None else source_id).alias("source_id"),
         title.alias("title"), company.alias("company"), location.alias("location"), posted.alias("_posted"),
@@ -123,7 +138,7 @@ def _listing(df: DataFrame, source: str, *, key: Column, source_id: Column | Non
 
 def greenhouse(df: DataFrame) -> DataFrame:
     return _listing(
-        _explode(df, "jobs"), "greenhouse", status="GUARANTEED",
+        ITEMS["greenhouse"](df), "greenhouse", status="GUARANTEED",
         key=_str("id"), title=_str("title"), company=_str("company_name", "board_name"),
         location=_str("location.name"), posted=_str("updated_at", "first_published_at"),
         description=strip_html(_get("content")), url=_str("absolute_url"), departments=_names("departments"),
@@ -138,7 +153,7 @@ def lever(df: DataFrame) -> DataFrame:
     lead = F.coalesce(blank_to_null(_get("descriptionPlain")), strip_html(_get("description")))
     description = F.when(F.size(lists) > 0, F.concat(lead, F.lit("\n"), F.array_join(sections, "\n"))).otherwise(lead)
     return _listing(
-        _explode(df, None), "lever", status="GUARANTEED",
+        ITEMS["lever"](df), "lever", status="GUARANTEED",
         key=_str("id"), title=_str("text"), company=_str("company"), location=_str("categories.location"),
         posted=epoch_ms_date(_get("createdAt", "bigint")), description=description,
         url=_str("hostedUrl", "applyUrl"), apply_url=_str("applyUrl", "hostedUrl"),
@@ -152,7 +167,7 @@ def workable(df: DataFrame) -> DataFrame:
     location = F.concat_ws(", ", blank_to_null(_str("location", "city")), blank_to_null(_get("country")))
     remote_flag = _flag("telecommuting")
     return _listing(
-        _explode(df, "jobs"), "workable", status="GUARANTEED",
+        ITEMS["workable"](df), "workable", status="GUARANTEED",
         key=_str("shortcode", "id"), title=_str("title"), company=_str("company"), location=location,
         posted=_str("published_on", "created_at"), description=strip_html(_get("description")),
         url=_str("url", "application_url"), apply_url=_str("application_url", "url"),
@@ -168,7 +183,7 @@ def ashby(df: DataFrame) -> DataFrame:
         lambda t: F.when(_is_object("", t), F.coalesce(_get("name", v=t), F.lit(""))).otherwise(F.coalesce(_get("", v=t), F.lit(""))),
     )
     return _listing(
-        _explode(df, "jobs"), "ashby", status="GUARANTEED",
+        ITEMS["ashby"](df), "ashby", status="GUARANTEED",
         key=_str("id"), title=_str("title"), company=_str("organizationName"), location=_name_or_text("location"),
         posted=_str("publishedDate", "updatedAt"), description=strip_html(_str("descriptionHtml", "description")),
         url=_str("jobUrl", "applyUrl"), apply_url=_str("applyUrl", "jobUrl"),
@@ -186,7 +201,7 @@ def _remote_board(df: DataFrame, source: str, **columns) -> DataFrame:
 
 def remotive(df: DataFrame) -> DataFrame:
     return _remote_board(
-        _explode(df, "jobs"), "remotive",
+        ITEMS["remotive"](df), "remotive",
         key=_str("id"), title=_str("title"), company=_str("company_name"),
         location=_str("candidate_required_location", default=REMOTE), posted=_str("publication_date"),
         description=strip_html(_get("description")), url=_str("url"), employment_type=_str("job_type"),
@@ -195,11 +210,9 @@ def remotive(df: DataFrame) -> DataFrame:
 
 
 def remoteok(df: DataFrame) -> DataFrame:
-    """The first of several elements describes the service, not a listing."""
-    items = _explode(df, None, positions=True).filter((F.col("_pos") > 0) | (F.col("_n") == 1))
     low = _amount("salary_min")
     return _remote_board(
-        items, "remoteok",
+        ITEMS["remoteok"](df), "remoteok",
         key=_str("id"), title=_str("position"), company=_str("company"), location=_str("location", default=REMOTE),
         posted=_str("date"), description=strip_html(_get("description")), url=_str("url"), apply_url=_str("apply_url", "url"),
         salary_min=low, salary_max=_amount("salary_max"), currency=default_currency(low.isNotNull()), tags=_text_list("tags"),
@@ -211,7 +224,7 @@ def jobicy(df: DataFrame) -> DataFrame:
     high = _amount("salaryMax", "annualSalaryMax", "salary_max")
     industry = F.when(_is_list("jobIndustry"), _text_list("jobIndustry")).otherwise(singleton(_get("jobIndustry")))
     return _remote_board(
-        _explode(df, "jobs"), "jobicy",
+        ITEMS["jobicy"](df), "jobicy",
         key=_str("id"), title=strip_html(_get("jobTitle")), company=_str("companyName"), location=_str("jobGeo", default=REMOTE),
         posted=_str("pubDate"), description=strip_html(_get("jobDescription")), url=_str("url"),
         employment_type=_str("jobType"), seniority=infer_seniority(_get("jobTitle")),
@@ -226,7 +239,7 @@ def himalayas(df: DataFrame) -> DataFrame:
     places = F.when(_is_list("locationRestrictions"), F.array_join(_text_list("locationRestrictions"), ", ")).otherwise(_get("locationRestrictions"))
     page = F.coalesce(blank_to_null(_get("applicationUrl")), F.concat(F.lit(HIMALAYAS_PAGE), _str("slug")))
     return _remote_board(
-        _explode(df, "jobs"), "himalayas",
+        ITEMS["himalayas"](df), "himalayas",
         key=_str("id", "slug"), title=_str("title"), company=_str("companyName"), location=first_filled(places, default=REMOTE),
         posted=_str("pubDate", "postedDate"), description=strip_html(_get("description")), url=page,
         employment_type=_str("type"), seniority=F.coalesce(blank_to_null(_get("seniority")), infer_seniority("title")),
@@ -238,7 +251,7 @@ def himalayas(df: DataFrame) -> DataFrame:
 def themuse(df: DataFrame) -> DataFrame:
     levels = _names("levels")
     return _listing(
-        _explode(df, "results"), "themuse", status="API_ACTIVE",
+        ITEMS["themuse"](df), "themuse", status="API_ACTIVE",
         key=_str("id"), title=_str("name"), company=_name_or_text("company"), location=F.array_join(_names("locations"), ", "),
         posted=_str("publication_date"), description=strip_html(_get("contents")), url=_str("refs.landing_page"),
         remote=remote_from_text("location", words=("flexible", "remote")),
@@ -248,7 +261,7 @@ def themuse(df: DataFrame) -> DataFrame:
 
 def rss(df: DataFrame) -> DataFrame:
     return _listing(
-        _explode(df, "items"), "rss", status="UNVERIFIED",
+        ITEMS["rss"](df), "rss", status="UNVERIFIED",
         key=_str("link", "title"), source_id=_str("guid", "link"), title=_str("title"), company=_str("company", "author"),
         location=_str("location"), posted=_str("pubDate", "published"),
         description=strip_html(_str("description", "summary")), url=_str("link"),
