@@ -11,13 +11,30 @@ from pyspark.sql import functions as F
 from registry.tables import load, pick
 
 DOC_ROWS = 50
-K = F.col("p_partkey")
-ISO = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (K % 120).cast("int")), "yyyy-MM-dd")
-STAMP = F.concat(ISO, F.lit("T10:00:00Z"))
-HTML = F.concat(F.lit("<p>Work on "), F.col("p_type"), F.lit("</p><ul><li>"), F.col("p_name"), F.lit("</li></ul> &amp; more"))
-TITLE = F.concat(pick(["Director of ", "Senior ", "", "Junior "], K % 4), F.col("p_name"))
-PLACE = pick(["Remote", "Hybrid - Berlin", "Remote / office", "NYC", ""], F.col("p_size") % 5)
-NULL = F.lit(None).cast("string")
+
+
+def key() -> Column:
+    return F.col("p_partkey")
+
+
+def iso() -> Column:
+    return F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (key() % 120).cast("int")), "yyyy-MM-dd")
+
+
+def stamp() -> Column:
+    return F.concat(iso(), F.lit("T10:00:00Z"))
+
+
+def html() -> Column:
+    return F.concat(F.lit("<p>Work on "), F.col("p_type"), F.lit("</p><ul><li>"), F.col("p_name"), F.lit("</li></ul> &amp; more"))
+
+
+def title() -> Column:
+    return F.concat(pick(["Director of ", "Senior ", "", "Junior "], key() % 4), F.col("p_name"))
+
+
+def place() -> Column:
+    return pick(["Remote", "Hybrid - Berlin", "Remote / office", "NYC", ""], F.col("p_size") % 5)
 
 
 def _some(cond: Column, value: Column) -> Column:
@@ -45,36 +62,36 @@ def _json(base: dict[str, Column], **either: tuple[Column, Column, Column]) -> C
 
 def greenhouse() -> Column:
     return _json({
-        "id": K, "title": TITLE, "location": _some(K % 7 != 3, _named(PLACE)),
-        "departments": F.array(_named(F.col("p_type"))), "updated_at": _some(K % 2 == 0, STAMP),
-        "first_published_at": STAMP, "content": HTML,
-        "company_name": _some(K % 3 == 0, F.col("p_brand")), "board_name": _some(K % 3 == 1, F.lit("Board")),
-        "absolute_url": F.concat(F.lit("https://boards.greenhouse.io/x/"), K.cast("string")),
+        "id": key(), "title": title(), "location": _some(key() % 7 != 3, _named(place())),
+        "departments": F.array(_named(F.col("p_type"))), "updated_at": _some(key() % 2 == 0, stamp()),
+        "first_published_at": stamp(), "content": html(),
+        "company_name": _some(key() % 3 == 0, F.col("p_brand")), "board_name": _some(key() % 3 == 1, F.lit("Board")),
+        "absolute_url": F.concat(F.lit("https://boards.greenhouse.io/x/"), key().cast("string")),
     })
 
 
 def lever() -> Column:
     base = {
-        "id": K.cast("string"), "text": TITLE, "createdAt": _some(K % 5 != 0, F.lit(1704067200000) + K * 3600000),
-        "lists": _some(K % 2 == 0, F.array(_obj(text=F.lit("Needs"), content=HTML))),
-        "descriptionPlain": _some(K % 3 == 0, F.concat(F.lit("Plain "), F.col("p_name"))), "description": HTML,
-        "company": _some(K % 4 != 0, F.col("p_brand")), "hostedUrl": _some(K % 2 == 1, F.concat(F.lit("https://h/"), K.cast("string"))),
-        "applyUrl": F.concat(F.lit("https://a/"), K.cast("string")),
+        "id": key().cast("string"), "text": title(), "createdAt": _some(key() % 5 != 0, F.lit(1704067200000) + key() * 3600000),
+        "lists": _some(key() % 2 == 0, F.array(_obj(text=F.lit("Needs"), content=html()))),
+        "descriptionPlain": _some(key() % 3 == 0, F.concat(F.lit("Plain "), F.col("p_name"))), "description": html(),
+        "company": _some(key() % 4 != 0, F.col("p_brand")), "hostedUrl": _some(key() % 2 == 1, F.concat(F.lit("https://h/"), key().cast("string"))),
+        "applyUrl": F.concat(F.lit("https://a/"), key().cast("string")),
     }
-    cats = {"location": PLACE, "commitment": F.lit("Full"), "team": _some(K % 2 == 0, F.col("p_type")), "department": F.lit("Dept")}
-    one = _obj(**cats, allLocations=PLACE)
-    many = _obj(**cats, allLocations=F.array(PLACE, F.lit("B")))
-    return _json(base, categories=(K % 3 == 0, many, one))
+    cats = {"location": place(), "commitment": F.lit("Full"), "team": _some(key() % 2 == 0, F.col("p_type")), "department": F.lit("Dept")}
+    one = _obj(**cats, allLocations=place())
+    many = _obj(**cats, allLocations=F.array(place(), F.lit("B")))
+    return _json(base, categories=(key() % 3 == 0, many, one))
 
 
 def workable() -> Column:
     return _json({
-        "shortcode": _some(K % 2 == 0, F.concat(F.lit("S"), K.cast("string"))), "id": K, "title": TITLE,
-        "location": _some(K % 3 == 0, PLACE), "city": _some(K % 3 == 1, F.lit("Oslo")), "country": _some(K % 2 == 0, F.lit("Norway")),
-        "telecommuting": _some(K % 4 != 3, K % 4 == 0), "employment_type": F.lit("Full-time"),
-        "published_on": _some(K % 2 == 1, ISO), "created_at": STAMP, "description": HTML,
-        "url": _some(K % 3 != 0, F.concat(F.lit("https://w/"), K.cast("string"))), "application_url": F.concat(F.lit("https://wa/"), K.cast("string")),
-        "department": _some(K % 2 == 0, F.col("p_type")), "company": _some(K % 5 != 0, F.col("p_brand")),
+        "shortcode": _some(key() % 2 == 0, F.concat(F.lit("S"), key().cast("string"))), "id": key(), "title": title(),
+        "location": _some(key() % 3 == 0, place()), "city": _some(key() % 3 == 1, F.lit("Oslo")), "country": _some(key() % 2 == 0, F.lit("Norway")),
+        "telecommuting": _some(key() % 4 != 3, key() % 4 == 0), "employment_type": F.lit("Full-time"),
+        "published_on": _some(key() % 2 == 1, iso()), "created_at": stamp(), "description": html(),
+        "url": _some(key() % 3 != 0, F.concat(F.lit("https://w/"), key().cast("string"))), "application_url": F.concat(F.lit("https://wa/"), key().cast("string")),
+        "department": _some(key() % 2 == 0, F.col("p_type")), "company": _some(key() % 5 != 0, F.col("p_brand")),
     })
 
 
@@ -82,77 +99,77 @@ def ashby() -> Column:
     comp = _obj(range=_obj(min=F.col("p_retailprice"), max=F.col("p_retailprice") + 500), currency=F.lit("EUR"))
     return _json(
         {
-            "id": K.cast("string"), "title": TITLE, "compensation": _some(K % 3 != 0, comp), "isRemote": _some(K % 2 == 0, K % 4 == 0),
-            "employmentType": F.lit("FullTime"), "publishedDate": _some(K % 2 == 0, ISO), "updatedAt": _some(K % 3 == 0, STAMP),
-            "descriptionHtml": _some(K % 2 == 0, HTML), "description": F.lit("plain"),
-            "jobUrl": F.concat(F.lit("https://j/"), K.cast("string")), "organizationName": F.col("p_brand"),
+            "id": key().cast("string"), "title": title(), "compensation": _some(key() % 3 != 0, comp), "isRemote": _some(key() % 2 == 0, key() % 4 == 0),
+            "employmentType": F.lit("FullTime"), "publishedDate": _some(key() % 2 == 0, iso()), "updatedAt": _some(key() % 3 == 0, stamp()),
+            "descriptionHtml": _some(key() % 2 == 0, html()), "description": F.lit("plain"),
+            "jobUrl": F.concat(F.lit("https://j/"), key().cast("string")), "organizationName": F.col("p_brand"),
             "department": F.col("p_type"),
         },
-        location=(K % 2 == 0, _named(PLACE), PLACE),
-        tags=(K % 3 == 0, F.array(_named(F.col("p_type")), _named(F.lit("x"))), F.split("p_name", " ")),
+        location=(key() % 2 == 0, _named(place()), place()),
+        tags=(key() % 3 == 0, F.array(_named(F.col("p_type")), _named(F.lit("x"))), F.split("p_name", " ")),
     )
 
 
 def remotive() -> Column:
     return _json({
-        "id": K, "title": TITLE, "company_name": F.col("p_brand"), "candidate_required_location": _some(K % 2 == 0, PLACE),
-        "job_type": F.lit("full_time"), "publication_date": STAMP, "description": HTML, "salary": F.lit("100k"),
-        "url": F.concat(F.lit("https://r/"), K.cast("string")), "category": _some(K % 3 != 0, F.col("p_type")), "tags": F.split("p_name", " "),
+        "id": key(), "title": title(), "company_name": F.col("p_brand"), "candidate_required_location": _some(key() % 2 == 0, place()),
+        "job_type": F.lit("full_time"), "publication_date": stamp(), "description": html(), "salary": F.lit("100k"),
+        "url": F.concat(F.lit("https://r/"), key().cast("string")), "category": _some(key() % 3 != 0, F.col("p_type")), "tags": F.split("p_name", " "),
     })
 
 
 def remoteok() -> Column:
     return _json(
         {
-            "id": K.cast("string"), "position": TITLE, "company": F.col("p_brand"), "location": PLACE, "date": STAMP, "description": HTML,
-            "salary_max": K, "url": F.concat(F.lit("https://ok/"), K.cast("string")), "apply_url": _some(K % 2 == 0, F.lit("https://apply")),
+            "id": key().cast("string"), "position": title(), "company": F.col("p_brand"), "location": place(), "date": stamp(), "description": html(),
+            "salary_max": key(), "url": F.concat(F.lit("https://ok/"), key().cast("string")), "apply_url": _some(key() % 2 == 0, F.lit("https://apply")),
             "tags": F.split("p_name", " "),
         },
-        salary_min=(K % 2 == 0, pick(["12", "100.5", "", " 700 "], F.floor(K / 2) % 4), F.col("p_retailprice")),
+        salary_min=(key() % 2 == 0, pick(["12", "100.5", "", " 700 "], F.floor(key() / 2) % 4), F.col("p_retailprice")),
     )
 
 
 def jobicy() -> Column:
     return _json(
         {
-            "id": K, "jobTitle": F.concat(TITLE, F.lit(" &amp; Co")), "companyName": F.col("p_brand"), "jobGeo": PLACE, "jobType": F.lit("full"),
-            "salaryMin": _some(K % 3 == 0, F.lit("n/a")), "annualSalaryMin": _some(K % 2 == 0, (K + 1).cast("string")), "salary_min": _some(K % 5 == 0, K),
-            "annualSalaryMax": _some(K % 4 == 0, K + 9), "salaryCurrency": _some(K % 2 == 0, F.lit("EUR")),
-            "pubDate": STAMP, "jobDescription": HTML, "url": F.concat(F.lit("https://jb/"), K.cast("string")),
+            "id": key(), "jobTitle": F.concat(title(), F.lit(" &amp; Co")), "companyName": F.col("p_brand"), "jobGeo": place(), "jobType": F.lit("full"),
+            "salaryMin": _some(key() % 3 == 0, F.lit("n/a")), "annualSalaryMin": _some(key() % 2 == 0, (key() + 1).cast("string")), "salary_min": _some(key() % 5 == 0, key()),
+            "annualSalaryMax": _some(key() % 4 == 0, key() + 9), "salaryCurrency": _some(key() % 2 == 0, F.lit("EUR")),
+            "pubDate": stamp(), "jobDescription": html(), "url": F.concat(F.lit("https://jb/"), key().cast("string")),
         },
-        jobIndustry=(K % 2 == 0, F.array(F.col("p_type"), F.lit("y")), F.col("p_type")),
+        jobIndustry=(key() % 2 == 0, F.array(F.col("p_type"), F.lit("y")), F.col("p_type")),
     )
 
 
 def himalayas() -> Column:
     return _json(
         {
-            "id": _some(K % 2 == 0, K), "slug": F.concat(F.lit("s-"), K.cast("string")), "title": TITLE, "companyName": F.col("p_brand"),
-            "type": F.lit("Full Time"), "seniority": _some(K % 3 == 0, F.lit("Senior Level")), "minSalary": _some(K % 2 == 0, K), "maxSalary": K * 2,
-            "pubDate": _some(K % 2 == 0, STAMP), "postedDate": ISO, "description": HTML,
-            "applicationUrl": _some(K % 4 == 0, F.lit("https://apply.example.com")), "category": F.col("p_type"), "tags": F.split("p_name", " "),
+            "id": _some(key() % 2 == 0, key()), "slug": F.concat(F.lit("s-"), key().cast("string")), "title": title(), "companyName": F.col("p_brand"),
+            "type": F.lit("Full Time"), "seniority": _some(key() % 3 == 0, F.lit("Senior Level")), "minSalary": _some(key() % 2 == 0, key()), "maxSalary": key() * 2,
+            "pubDate": _some(key() % 2 == 0, stamp()), "postedDate": iso(), "description": html(),
+            "applicationUrl": _some(key() % 4 == 0, F.lit("https://apply.example.com")), "category": F.col("p_type"), "tags": F.split("p_name", " "),
         },
-        locationRestrictions=(K % 2 == 0, F.array(F.lit("US"), F.lit("CA")), _some(K % 3 == 0, F.lit("EU"))),
+        locationRestrictions=(key() % 2 == 0, F.array(F.lit("US"), F.lit("CA")), _some(key() % 3 == 0, F.lit("EU"))),
     )
 
 
 def themuse() -> Column:
     return _json(
         {
-            "id": K, "name": TITLE, "locations": F.array(_named(PLACE), _named(pick(["Flexible / Anywhere", "Oslo"], K % 2))),
-            "levels": _some(K % 3 != 0, F.array(_named(pick(["Senior Level", "Entry Level"], K % 2)))), "categories": F.array(_named(F.col("p_type"))),
-            "publication_date": STAMP, "contents": HTML, "refs": _some(K % 5 != 0, _obj(landing_page=F.concat(F.lit("https://m/"), K.cast("string")))),
+            "id": key(), "name": title(), "locations": F.array(_named(place()), _named(pick(["Flexible / Anywhere", "Oslo"], key() % 2))),
+            "levels": _some(key() % 3 != 0, F.array(_named(pick(["Senior Level", "Entry Level"], key() % 2)))), "categories": F.array(_named(F.col("p_type"))),
+            "publication_date": stamp(), "contents": html(), "refs": _some(key() % 5 != 0, _obj(landing_page=F.concat(F.lit("https://m/"), key().cast("string")))),
         },
-        company=(K % 2 == 0, _named(F.col("p_brand")), F.col("p_brand")),
+        company=(key() % 2 == 0, _named(F.col("p_brand")), F.col("p_brand")),
     )
 
 
 def rss() -> Column:
     return _json({
-        "link": _some(K % 4 != 0, F.concat(F.lit("https://f/"), K.cast("string"))), "title": F.concat(TITLE, F.lit(" at "), F.col("p_brand")),
-        "guid": _some(K % 2 == 0, F.concat(F.lit("g"), K.cast("string"))), "company": _some(K % 2 == 0, F.col("p_brand")), "author": F.lit("Ann"),
-        "location": _some(K % 3 == 0, PLACE), "pubDate": _some(K % 2 == 0, F.lit("Mon, 06 Jan 2025 10:00:00 +0000")), "published": _some(K % 3 == 0, STAMP),
-        "description": _some(K % 2 == 1, HTML), "summary": F.lit("sum"), "category": F.col("p_type"), "categories": F.array("p_type"),
+        "link": _some(key() % 4 != 0, F.concat(F.lit("https://f/"), key().cast("string"))), "title": F.concat(title(), F.lit(" at "), F.col("p_brand")),
+        "guid": _some(key() % 2 == 0, F.concat(F.lit("g"), key().cast("string"))), "company": _some(key() % 2 == 0, F.col("p_brand")), "author": F.lit("Ann"),
+        "location": _some(key() % 3 == 0, place()), "pubDate": _some(key() % 2 == 0, F.lit("Mon, 06 Jan 2025 10:00:00 +0000")), "published": _some(key() % 3 == 0, stamp()),
+        "description": _some(key() % 2 == 1, html()), "summary": F.lit("sum"), "category": F.col("p_type"), "categories": F.array("p_type"),
     })
 
 
@@ -163,7 +180,7 @@ ROOTS = {"lever": None, "remoteok": None, "themuse": "results", "rss": "items"}
 def documents(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     """doc, source, file, fallback_company, raw: all parts as documents of one source."""
     parts = load(spark, sf_dir, "part")
-    items = parts.select(F.floor(K / DOC_ROWS).alias("doc"), K.alias("k"), ITEMS[source]().alias("j"))
+    items = parts.select(F.floor(key() / DOC_ROWS).alias("doc"), key().alias("k"), ITEMS[source]().alias("j"))
     listed = items.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "j"))), lambda x: x["j"]), ",").alias("body"))
     root = ROOTS.get(source, "jobs")
     if source == "remoteok":
@@ -194,11 +211,11 @@ def land(spark: SparkSession, docs: DataFrame, name: str) -> str:
 def rss_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RSS 2.0 feeds of 50 parts: repeated categories, a namespaced author, every ninth feed cut off."""
     item = F.concat(
-        F.lit("<item><title>"), TITLE, F.lit(" at "), F.replace("p_brand", F.lit("#"), F.lit(" &amp; ")), F.lit("</title><link>https://f/"), K.cast("string"),
+        F.lit("<item><title>"), title(), F.lit(" at "), F.replace("p_brand", F.lit("#"), F.lit(" &amp; ")), F.lit("</title><link>https://f/"), key().cast("string"),
         F.lit("</link><pubDate>Mon, 06 Jan 2025 10:00:00 +0000</pubDate><description>&lt;b&gt;"), F.col("p_type"), F.lit("&lt;/b&gt;</description><category>"),
         F.col("p_type"), F.lit("</category><category>B</category>"),
-        F.when(K % 2 == 0, F.lit("<dc:creator> Ann </dc:creator>")).otherwise("<author>Bob</author>"),
-        F.when(K % 3 == 0, F.concat(F.lit("<region>"), PLACE, F.lit("</region>"))).otherwise(""), F.lit("</item>"),
+        F.when(key() % 2 == 0, F.lit("<dc:creator> Ann </dc:creator>")).otherwise("<author>Bob</author>"),
+        F.when(key() % 3 == 0, F.concat(F.lit("<region>"), place(), F.lit("</region>"))).otherwise(""), F.lit("</item>"),
     )
     head = '<?xml version="1.0"?><rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>feed</title>'
     return _feed(spark, sf_dir, item, head, "</channel></rss>")
@@ -207,17 +224,17 @@ def rss_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def atom_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Atom feeds of 50 parts: some entries with only one of the two dates."""
     item = F.concat(
-        F.lit("<entry><title> "), TITLE, F.lit(' </title><link href="https://a/'), K.cast("string"), F.lit('"/><published>'), STAMP, F.lit("</published>"),
-        F.when(K % 2 == 0, F.concat(F.lit("<updated>"), ISO, F.lit("</updated>"))).otherwise(""),
-        F.lit("<summary>sum</summary>"), F.when(K % 3 == 0, F.concat(F.lit("<content>"), F.col("p_type"), F.lit("</content>"))).otherwise(""),
-        F.when(K % 4 == 0, F.concat(F.lit('<category term="'), F.col("p_type"), F.lit('"/>'))).otherwise("<category>plain</category>"),
+        F.lit("<entry><title> "), title(), F.lit(' </title><link href="https://a/'), key().cast("string"), F.lit('"/><published>'), stamp(), F.lit("</published>"),
+        F.when(key() % 2 == 0, F.concat(F.lit("<updated>"), iso(), F.lit("</updated>"))).otherwise(""),
+        F.lit("<summary>sum</summary>"), F.when(key() % 3 == 0, F.concat(F.lit("<content>"), F.col("p_type"), F.lit("</content>"))).otherwise(""),
+        F.when(key() % 4 == 0, F.concat(F.lit('<category term="'), F.col("p_type"), F.lit('"/>'))).otherwise("<category>plain</category>"),
         F.lit("<author><name>"), F.replace("p_brand", F.lit("#"), F.lit(" ")), F.lit("</name></author></entry>"),
     )
     return _feed(spark, sf_dir, item, '<feed xmlns="http://www.w3.org/2005/Atom"><title>feed</title>', "</feed>")
 
 
 def _feed(spark: SparkSession, sf_dir: str, item: Column, head: str, tail: str) -> DataFrame:
-    items = load(spark, sf_dir, "part").select(F.floor(K / DOC_ROWS).alias("doc"), K.alias("k"), item.alias("x"))
+    items = load(spark, sf_dir, "part").select(F.floor(key() / DOC_ROWS).alias("doc"), key().alias("k"), item.alias("x"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda e: e["x"]), "\n")
     end = F.when(F.col("doc") % 9 == 4, F.lit("<item><title>cut</entry>")).otherwise(F.lit(tail))
     return items.groupBy("doc").agg(body.alias("body")).select("doc", F.concat(F.lit(head), F.col("body"), end).alias("raw"))
@@ -225,7 +242,7 @@ def _feed(spark: SparkSession, sf_dir: str, item: Column, head: str, tail: str)
 
 def manifest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One manifest per 50 parts: two company boards, two searches and a feed."""
-    docs = load(spark, sf_dir, "part").select(F.floor(K / DOC_ROWS).alias("doc")).distinct()
+    docs = load(spark, sf_dir, "part").select(F.floor(key() / DOC_ROWS).alias("doc")).distinct()
     n = F.col("doc").cast("string")
 
     def file(source, ext=".json"):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from vacancia.functions import infer, text
 from vacancia.schema import API_SOURCES, ATS_SOURCES, SOURCES, conform
+from vacancia.session import spread
+
 
 LEVELS = ["Director of ", "Head of ", "Senior ", "VP ", "Junior ", "Coordinator ", "", "International "]
 SUFFIXES = ["", " Inc", " LLC", " Ltd."]
@@ -84,7 +86,7 @@ def part_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One listing per order line: lineitem with part, orders and customer."""
-    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")
+    lines = spread(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"))
     joined = (
         lines.join(load(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -100,7 +102,7 @@ def order_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One listing per document, whole text as description; quality decides the source."""
-    d = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    d = spread(load(spark, sf_dir, "documents")).join(load(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     source = F.when(F.col("quality") == 1, "greenhouse").when(F.col("quality") == 0, "remotive").otherwise("rss")
     title = F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ")
     return conform(d.select(
@@ -130,7 +132,7 @@ def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("url"))
     )
     body = F.when(k % 17 == 0, F.lit("")).otherwise(F.concat("html", notice))
-    return load(spark, sf_dir, "pages").select(
+    return spread(load(spark, sf_dir, "pages")).select(
         "page_id", "url", code.alias("http_code"), final.alias("final_url"), body.alias("body")
     )
 

@@ -24,36 +24,43 @@ from pyspark.sql import types as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-@F.pandas_udf(T.DoubleType())
-def ratio(later: pd.Series, earlier: pd.Series) -> pd.Series:
-    """Not symmetric: the first argument is the later listing."""
-    def one(a, b):
+def _by_pair(later: pd.Series, earlier: pd.Series, judge) -> pd.Series:
+    """judge(matcher) for each distinct pair of a batch; the matcher's index of a string is used for all its partners."""
+    pairs = pd.DataFrame({"a": later.fillna(""), "b": earlier.fillna("")})
+    distinct = pairs.drop_duplicates().sort_values("b")
+    matcher, last, verdicts = SequenceMatcher(), None, {}
+    for a, b in zip(distinct["a"], distinct["b"]):
         if not a or not b:
-            return 0.0
-        return SequenceMatcher(None, a, b).ratio()
+            verdicts[a, b] = None
+            continue
+        if b != last:
+            matcher.set_seq2(b)
+            last = b
+        matcher.set_seq1(a)
+        verdicts[a, b] = judge(matcher)
+    return pd.Series([verdicts[p] for p in zip(pairs["a"], pairs["b"])])
+
 
-    return pd.Series([one(a, b) for a, b in zip(later, earlier)], dtype="float64")
+@F.pandas_udf(T.DoubleType())
+def ratio(later: pd.Series, earlier: pd.Series) -> pd.Series:
+    """Not symmetric: the first argument is the later listing. A blank string has no similarity, 0."""
+    return _by_pair(later, earlier, lambda m: m.ratio()).fillna(0.0).astype("float64")
 
 
 @F.pandas_udf(T.BooleanType())
 def ratio_at_least(later: pd.Series, earlier: pd.Series, threshold: pd.Series) -> pd.Series:
-    """ratio >= threshold, with the matcher's own upper bounds tried first."""
-    def one(a, b, t):
-        if not a or not b:
-            return False
-        if a == b:
-            return True
-        m = SequenceMatcher(None, a, b)
-        return m.real_quick_ratio() >= t and m.quick_ratio() >= t and m.ratio() >= t
-
-    return pd.Series([one(a, b, t) for a, b, t in zip(later, earlier, threshold)], dtype="bool")
+    """ratio >= threshold (one value for the whole column)."""
+    if threshold.empty:
+        return pd.Series([], dtype="bool")
+    t = threshold.iloc[0]
+    return _by_pair(later, earlier, lambda m: m.ratio() >= t).eq(True)
 
 
 def fuzzy_match(later: Column, earlier: Column, threshold: float) -> Column:
     return ratio_at_least(later, earlier, F.lit(float(threshold)))
 
 
-def least_common_subsequence_need(total: int, threshold: float) -> int:
+def least_matched(total: int, threshold: float) -> int:
     """Smallest M with 2M/T >= threshold."""
     m = max(0, math.floor(threshold * total / 2) - 1)
     while 2.0 * m / total < threshold:
@@ -61,37 +68,39 @@ def least_common_subsequence_need(total: int, threshold: float) -> int:
     return m
 
 
+def grams_shared_at_least(total: int, threshold: float) -> int:
+    return 3 * least_matched(total, threshold) - total - 1
+
+
 def short_length(threshold: float) -> int:
     """Longest string that can be in a pair for which no shared gram is guaranteed."""
-    band = threshold / (2 - threshold)
-    weak = [
-        total for total in range(2, 200)
-        if 3 * least_common_subsequence_need(total, threshold) - total - 1 < 1
-    ]
-    # Beyond 200 characters (1.5t - 1) T - 1 >= 1 holds for every threshold above 0.68.
     if threshold < 0.7:
         raise ValueError("signatures are only complete for thresholds of 0.7 and more")
-    return max((n for total in weak for n in range(1, total) if min(n, total - n) >= band * max(n, total - n) - 1e-9), default=0)
+    # From 200 characters on (1.5 t - 1) T - 1 >= 1 holds for every such threshold.
+    weak = [total for total in range(2, 200) if grams_shared_at_least(total, threshold) < 1]
+    possible = [
+        max(n, total - n) for total in weak for n in range(1, total) if min(n, total - n) >= least_matched(total, threshold)
+    ]
+    return max(possible, default=0)
+
 
+def sorted_grams(text: Column) -> Column:
+    """Two-character grams of the text, equal ones side by side; [] for under two characters."""
+    pieces = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))
+    return F.when(F.length(text) >= 2, F.sort_array(pieces)).otherwise(F.array().cast("array<string>"))
 
-def _occurrence_tagged(sorted_items: Column, mark: str) -> Column:
-    """"x","x","y" -> "x1","x2","y1": makes multiset overlap a plain set overlap."""
-    return F.transform(
-        sorted_items,
-        lambda x, i: F.concat(F.lit(mark), x, F.lit("\u0001"), (i + 2 - F.array_position(sorted_items, x)).cast("string")),
-    )
 
+def sorted_chars(text: Column) -> Column:
+    return F.sort_array(F.split(text, ""))
 
-def grams(text: Column) -> Column:
-    """Two-character grams of the text with their occurrence numbers; [] for under two characters."""
-    n = F.length(text)
-    pieces = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(text, i, F.lit(2)))
-    return F.when(n >= 2, _occurrence_tagged(F.array_sort(pieces), "g")).otherwise(F.array().cast("array<string>"))
 
+def occurrence_keys(sorted_items: Column, mark: str) -> Column:
+    """One hash per item and occurrence: "x","x","y" -> h(x1), h(x2), h(y1).
 
-def chars(text: Column) -> Column:
-    pieces = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)))
-    return _occurrence_tagged(F.array_sort(pieces), "c")
+    Multiset overlap becomes plain set overlap. `sorted_items` should be a column of its own: the lambda
+    reads it once per item.
+    """
+    return F.transform(sorted_items, lambda x, i: F.hash(F.lit(mark), x, i - F.array_position(sorted_items, x)))
 
 
 def gram_prefix_size(n: Column, threshold: float) -> Column:
@@ -106,9 +115,28 @@ def char_prefix_size(n: Column, threshold: float) -> Column:
     return (n - F.ceil(n * band - 1e-9) + 1).cast("int")
 
 
-def could_match(a: Column, b: Column, threshold: float) -> Column:
-    """JVM-side test that no true pair fails: length band, then Levenshtein distance."""
-    la, lb = F.length(a), F.length(b)
+def char_mask(char_keys: Column) -> Column:
+    """64-bit summary of the character multiset; every differing bit stands for an unmatched character."""
+    def bit(key):
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(key, F.lit(64)))
+
+    return F.aggregate(char_keys, F.lit(0).cast("bigint"), lambda acc, key: acc.bitwiseOR(bit(key)))
+
+
+def _unmatched_allowed(a_len: Column, b_len: Column, threshold: float) -> Column:
+    return F.floor((a_len + b_len) * (1 - threshold) + 1e-9).cast("int")
+
+
+def near_in_size(a_len: Column, b_len: Column, a_mask: Column, b_mask: Column, threshold: float) -> Column:
+    """Cheapest test no true pair fails: length band and character summary."""
     band = threshold / (2 - threshold)
-    allowed = F.floor((la + lb) * (1 - threshold) + 1e-9)
-    return (F.least(la, lb) >= F.greatest(la, lb) * band - 1e-9) & (F.levenshtein(a, b) <= allowed)
+    in_band = F.least(a_len, b_len) >= F.greatest(a_len, b_len) * band - 1e-9
+    return in_band & (F.bit_count(a_mask.bitwiseXOR(b_mask)) <= _unmatched_allowed(a_len, b_len, threshold))
+
+
+def near_in_edits(a: Column, b: Column, a_len: Column, b_len: Column, threshold: float) -> Column:
+    """Levenshtein distance within the unmatched characters allowed; no true pair fails it.
+
+    With its bound given, Spark's function stops early and answers -1 beyond it.
+    """
+    return F.call_function("levenshtein", a, b, _unmatched_allowed(a_len, b_len, threshold)) >= 0

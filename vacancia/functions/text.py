@@ -47,6 +47,23 @@ def contains_any(text: Column, terms: Sequence[str]) -> Column:
     return out
 
 
+def terms_found(text: Column, terms: Sequence[str]) -> Column:
+    """The given terms that are substrings of the lower-case text, in their order; blank ones never are."""
+    usable = [t for t in terms if t.strip()]
+    if not usable:
+        return F.array().cast("array<string>")
+    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(t.lower().strip())), F.lit(t)) for t in usable]))
+
+
+def count_found(text: Column, terms: Sequence[str]) -> Column:
+    """How many of the given terms are substrings of the lower-case text."""
+    out = F.lit(0)
+    for t in terms:
+        if t.strip():
+            out = out + F.contains(text, F.lit(t.lower().strip())).cast("int")
+    return out
+
+
 def parse_comma_list(c: Column | str) -> Column:
     """Split on commas, trim, drop blanks."""
     parts = F.transform(F.split(F.coalesce(col(c), F.lit("")), ","), strip_ws)

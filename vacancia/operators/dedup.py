@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacancia.functions.infer import company_key, source_priority, title_key
-from vacancia.functions.similarity import could_match, fuzzy_match
+from vacancia.functions.similarity import fuzzy_match, near_in_edits, near_in_size
 from vacancia.functions.text import blank_to_null, lowered
 from vacancia.operators.order import by_source_priority
 from vacancia.operators.similar import candidate_pairs, signatures, similar_names
@@ -73,15 +73,17 @@ def _edges(home: DataFrame, guest: DataFrame, links: DataFrame, keep: Column) ->
     `keep` may use `h_ord`, `g_ord`, `home` and `guest`; it decides which of the candidate pairs count.
     Only the smaller company of a matched couple is copied to the other's key.
     """
-    left = home.select(F.col("ck").alias("home"), F.col("ord").alias("h_ord"), F.col("tk").alias("h_tk"), F.col("sig").alias("h_sig"))
+    left = home.select(F.col("ck").alias("home"), F.col("ord").alias("h_ord"), F.col("tk").alias("h_tk"), F.col("sig").alias("h_sig"), F.col("mask").alias("h_mask"), F.col("len").alias("h_len"))
     right = (
-        guest.select(F.col("ck").alias("guest"), F.col("ord").alias("g_ord"), F.col("tk").alias("g_tk"), F.col("sig").alias("g_sig"))
+        guest.select(F.col("ck").alias("guest"), F.col("ord").alias("g_ord"), F.col("tk").alias("g_tk"), F.col("sig").alias("g_sig"), F.col("mask").alias("g_mask"), F.col("len").alias("g_len"))
         .join(links, "guest")
     )
-    pairs = candidate_pairs(left, right, ["home"], "h_ord", "g_ord", "h_sig", "g_sig", keep)
+    h_tk, g_tk = F.col("h_tk"), F.col("g_tk")
     guest_is_later = F.col("g_ord") > F.col("h_ord")
-    pairs = pairs.filter(F.when(guest_is_later, F.col("guest_later")).otherwise(F.col("home_later")))
-    pairs = pairs.filter(could_match(F.col("h_tk"), F.col("g_tk"), TITLE_THRESHOLD))
+    companies_match = F.when(guest_is_later, F.col("guest_later")).otherwise(F.col("home_later"))
+    cheap = keep & companies_match & near_in_size(F.col("h_len"), F.col("g_len"), F.col("h_mask"), F.col("g_mask"), TITLE_THRESHOLD)
+    pairs = candidate_pairs(left, right, ["home"], "h_ord", "g_ord", "h_sig", "g_sig", cheap)
+    pairs = pairs.filter(near_in_edits(h_tk, g_tk, F.col("h_len"), F.col("g_len"), TITLE_THRESHOLD))
     directed = pairs.select(
         F.least("h_ord", "g_ord").alias("earlier"),
         F.greatest("h_ord", "g_ord").alias("later"),

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.functions.text import blank_to_null, contains_any, lowered, searchable_text
+from vacancia.functions.text import blank_to_null, contains_any, count_found, lowered, searchable_text, terms_found
 
 FRESH_DAYS, EXPIRED_DAYS = 60, 90
 
@@ -60,39 +60,27 @@ def exclude_titles(df: DataFrame, exclude: Sequence[str]) -> DataFrame:
     return df.filter(not_excluded("title", exclude))
 
 
-def _found_in(text: Column, keywords: Column) -> Column:
-    def hit(k):
-        needle = F.lower(F.trim(k))
-        return (needle != "") & F.contains(text, needle)
-
-    return F.filter(keywords, hit)
-
-
 def keyword_score(matched: Column, in_title: Column, total: Column) -> Column:
     """A title hit counts 3, a hit elsewhere 1, out of 3 per keyword; half-even at one decimal, 100 at most."""
     raw = (in_title * 3 + (matched - in_title)) / (total * 3).cast("double") * 100
     return F.least(F.bround(raw, 1), F.lit(100.0))
 
 
-def score_keywords(df: DataFrame, keywords: Sequence[str] | Column, exclude: Sequence[str] = ()) -> DataFrame:
+def score_keywords(df: DataFrame, keywords: Sequence[str], exclude: Sequence[str] = ()) -> DataFrame:
     """Add `preliminary_relevance_score` and `matched_keywords`.
 
-    Without keywords every row gets 50 and excludes are not looked at.
+    Without keywords every row gets 50 and excludes are not looked at. The keywords are literals of the
+    plan, one compiled substring test each; `match.score_profiles` takes them from a column instead.
     """
-    none = F.array().cast("array<string>")
-    if not isinstance(keywords, Column):
-        if not keywords:
-            return df.select("*", F.lit(50.0).alias("preliminary_relevance_score"), none.alias("matched_keywords"))
-        df = exclude_titles(df, exclude)
-        keywords = F.array(*[F.lit(k) for k in keywords])
+    if not keywords:
+        none = F.array().cast("array<string>")
+        return df.select("*", F.lit(50.0).alias("preliminary_relevance_score"), none.alias("matched_keywords"))
+    df = exclude_titles(df, exclude)
     # The title begins the searchable text, so a title hit is also a text hit.
-    work = df.select("*", searchable_text().alias("_full"), lowered("title").alias("_title"), keywords.alias("_kw"))
-    work = work.select("*", _found_in(F.col("_full"), F.col("_kw")).alias("matched_keywords"))
-    work = work.select("*", F.size(_found_in(F.col("_title"), F.col("matched_keywords"))).alias("_hits"))
-    score = F.when(F.size("_kw") == 0, 50.0).otherwise(
-        keyword_score(F.size("matched_keywords"), F.col("_hits"), F.greatest(F.size("_kw"), F.lit(1)))
-    )
-    return work.withColumn("preliminary_relevance_score", score).drop("_full", "_title", "_kw", "_hits")
+    work = df.select("*", searchable_text().alias("_full"), lowered("title").alias("_title"))
+    work = work.select("*", terms_found(F.col("_full"), keywords).alias("matched_keywords"), count_found(F.col("_title"), keywords).alias("_hits"))
+    score = keyword_score(F.size("matched_keywords"), F.col("_hits"), F.lit(len(keywords)))
+    return work.withColumn("preliminary_relevance_score", score).drop("_full", "_title", "_hits")
 
 
 def filter_and_score(df: DataFrame, cfg: SearchConfig) -> DataFrame:

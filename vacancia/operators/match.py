@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacancia.functions.infer import SENIORITY_ORDER, source_priority
-from vacancia.functions.text import lowered, searchable_text
+from vacancia.functions.text import lowered, searchable_text, terms_found
 from vacancia.operators.filters import keyword_score
 from vacancia.operators.order import with_position
 
@@ -45,13 +45,17 @@ def profile_keywords(profiles: DataFrame, sector_keywords: DataFrame) -> DataFra
 
 
 def with_required_skills(listings: DataFrame, dictionary: Sequence[str]) -> DataFrame:
-    """Add `required_skills`: dictionary skills that are substrings of the text, in dictionary order.
+    """Add `search_text` and `required_skills`: dictionary skills that are substrings of the text, in dictionary order.
 
     The dictionary is a setting, like a search's keywords: it travels inside the plan, so no join is needed.
     """
-    work = listings.withColumn("_full", searchable_text())
-    terms = F.array(*[F.lit(t) for t in dictionary])
-    return work.withColumn("required_skills", F.filter(terms, lambda t: F.contains(F.col("_full"), F.lower(t)))).drop("_full")
+    work = listings.withColumn("search_text", searchable_text())
+    return work.withColumn("required_skills", terms_found(F.col("search_text"), dictionary))
+
+
+def _text_of(pairs: DataFrame) -> Column:
+    """The searchable text, taken over where it was made once per listing before the join."""
+    return F.col("search_text") if "search_text" in pairs.columns else searchable_text()
 
 
 def listing_profile_pairs(listings: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -70,7 +74,7 @@ def score_profiles(pairs: DataFrame, keywords: Column | str = "keywords", exclud
     kw = F.col(keywords) if isinstance(keywords, str) else keywords
     ex = F.col(exclude) if isinstance(exclude, str) else exclude
     title = lowered("title")
-    work = pairs.select("*", searchable_text().alias("_full"), title.alias("_title"), kw.alias("_kw"), ex.alias("_ex"))
+    work = pairs.select("*", _text_of(pairs).alias("_full"), title.alias("_title"), kw.alias("_kw"), ex.alias("_ex"))
     has_kw = F.size("_kw") > 0
     work = work.filter(~has_kw | ~F.exists("_ex", lambda k: F.contains(F.col("_title"), F.lower(k))))
     matched = F.filter("_kw", lambda k: (F.trim(k) != "") & F.contains(F.col("_full"), F.lower(F.trim(k))))
@@ -83,8 +87,7 @@ def score_profiles(pairs: DataFrame, keywords: Column | str = "keywords", exclud
 def meets_dealbreakers(pairs: DataFrame) -> DataFrame:
     """Pairs in an accepted work mode whose text has none of the profile's dealbreaker terms."""
     mode_ok = (F.size("work_modes") == 0) | F.array_contains("work_modes", F.col("work_mode"))
-    text = searchable_text()
-    return pairs.filter(mode_ok).withColumn("_full", text).filter(
+    return pairs.filter(mode_ok).withColumn("_full", _text_of(pairs)).filter(
         ~F.exists("dealbreaker_terms", lambda t: F.contains(F.col("_full"), F.lower(t)))
     ).drop("_full")
 
@@ -152,7 +155,7 @@ def match_score(pairs: DataFrame, as_of: Column) -> DataFrame:
 
     Pairs carry the profile columns, plus `sector_terms`, `company_sectors` and `required_skills`.
     """
-    work = pairs.select("*", lowered("title").alias("_title"), searchable_text().alias("_full"))
+    work = pairs.select("*", lowered("title").alias("_title"), _text_of(pairs).alias("_full"))
     work = work.select(
         "*",
         skills_points(F.col("required_skills"), F.col("skills")).alias("score_skills"),

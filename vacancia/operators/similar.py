@@ -13,13 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacancia.functions.similarity import (
+    char_mask,
     char_prefix_size,
-    chars,
-    could_match,
     fuzzy_match,
     gram_prefix_size,
-    grams,
+    near_in_edits,
+    near_in_size,
+    occurrence_keys,
     short_length,
+    sorted_chars,
+    sorted_grams,
 )
 from vacancia.session import materialize
 
@@ -27,41 +30,41 @@ CELL_ROWS = 2000  # strings of one key and side per join cell
 
 
 def signatures(strings: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """Add `sig`: hashed rarest-first keys of every string, at most one per character plus a few.
+    """Add `sig`, hashed rarest-first keys of every string, `mask`, its character summary, and `len`.
 
     A string has as many keys as characters, so the per-string group below is bounded by its length.
     """
-    n = F.length(text_col)
-    text = F.col(text_col)
-    no_keys = F.array().cast("array<string>")
-    keyed = strings.select(
-        F.col(id_col).alias("_id"),
-        F.explode(
-            F.concat(
-                F.transform(grams(text), lambda k: F.struct(F.lit(0).alias("kind"), F.hash(k).alias("key"))),
-                F.transform(
-                    F.when(n <= short_length(threshold), chars(text)).otherwise(no_keys),
-                    lambda k: F.struct(F.lit(1).alias("kind"), F.hash(k).alias("key")),
-                ),
-            )
-        ).alias("k"),
-    ).select("_id", "k.kind", "k.key")
-    frequency = keyed.groupBy("key").agg(F.count("*").alias("n"))
+    n, text = F.length(text_col), F.col(text_col)
+    short = n <= short_length(threshold)
+    none = F.array().cast("array<int>")
+    lists = strings.select("*", sorted_grams(text).alias("_g"), sorted_chars(text).alias("_c"))
+    keyed = materialize(
+        lists.select("*", occurrence_keys(F.col("_g"), "g").alias("_gk"), occurrence_keys(F.col("_c"), "c").alias("_ck"))
+        .select("*", char_mask(F.col("_ck")).alias("mask"), n.alias("len")).drop("_g", "_c"),
+        "keys",
+    )
+
+    def kind(keys: Column, number: int) -> Column:
+        return F.transform(keys, lambda k: F.struct(F.lit(number).alias("kind"), k.alias("key")))
+
+    both = F.concat(kind(F.col("_gk"), 0), kind(F.when(short, F.col("_ck")).otherwise(none), 1))
+    rows = keyed.select(F.col(id_col).alias("_id"), F.inline(both))
+    frequency = rows.groupBy("key").agg(F.count("*").alias("n"))
     ordered = (
-        keyed.join(frequency, "key")
+        rows.join(frequency, "key")
         .groupBy("_id")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "key", "kind"))).alias("keys"))
+        .agg(F.sort_array(F.collect_list(F.struct("n", "key", "kind"))).alias("_keys"))
     )
 
-    def prefix(kind: int, size: Column) -> Column:
-        return F.slice(F.filter("keys", lambda k: k["kind"] == kind), F.lit(1), size)
+    def prefix(number: int, size: Column) -> Column:
+        return F.slice(F.filter("_keys", lambda k: k["kind"] == number), F.lit(1), size)
 
-    sized = strings.join(ordered, F.col(id_col) == F.col("_id")).drop("_id")
-    both = F.array_sort(F.concat(
+    chosen = F.sort_array(F.concat(
         prefix(0, gram_prefix_size(n, threshold)),
-        F.when(n <= short_length(threshold), prefix(1, char_prefix_size(n, threshold))).otherwise(F.slice("keys", 1, 0)),
+        F.when(short, prefix(1, char_prefix_size(n, threshold))).otherwise(F.slice("_keys", 1, 0)),
     ))
-    return sized.withColumn("sig", F.array_distinct(F.transform(both, lambda k: k["key"]))).drop("keys")
+    sized = keyed.drop("_gk", "_ck").join(ordered, F.col(id_col) == F.col("_id"))
+    return sized.withColumn("sig", F.array_distinct(F.transform(chosen, lambda k: k["key"]))).drop("_keys", "_id")
 
 
 def _cells(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str) -> tuple[DataFrame, DataFrame]:
@@ -92,7 +95,12 @@ def candidate_pairs(left: DataFrame, right: DataFrame, on: list[str], left_id: s
     l_keys = left.withColumn("_key", F.explode(left_sig))
     r_keys = right.withColumn("_key", F.explode(right_sig))
     l_cells, r_cells = _cells(l_keys, r_keys, [*on, "_key"], left_id, right_id)
-    pairs = l_cells.join(r_cells, [*on, "_key", "_row", "_col"]).filter(keep)
+    # A few rows here become many pairs. A fixed partition count keeps the adaptive rules from packing
+    # the small inputs into a task or two.
+    spark = left.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    cell = [*on, "_key", "_row", "_col"]
+    pairs = l_cells.repartition(parts, *cell).join(r_cells.repartition(parts, *cell), cell).filter(keep)
     first_shared = F.get(F.array_intersect(left_sig, right_sig), F.lit(0))
     return pairs.filter(first_shared == F.col("_key")).drop("_key", "_row", "_col", left_sig, right_sig)
 
@@ -103,12 +111,14 @@ def similar_names(names: DataFrame, column: str, threshold: float) -> DataFrame:
     `a_later`: ratio(a, b) reaches the threshold (a belongs to the later listing); `b_later` likewise.
     """
     sig = materialize(signatures(names.select(column), column, column, threshold), "name-keys")
-    left = sig.select(F.col(column).alias("a"), F.col("sig").alias("a_sig"))
-    right = sig.select(F.col(column).alias("b"), F.col("sig").alias("b_sig"))
-    pairs = candidate_pairs(left, right, [], "a", "b", "a_sig", "b_sig", F.col("a") < F.col("b"))
-    near = pairs.filter(could_match(F.col("a"), F.col("b"), threshold))
-    return near.select(
+    def side(x):
+        return sig.select(F.col(column).alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("sig", "mask", "len")])
+
+    a, b, a_len, b_len = F.col("a"), F.col("b"), F.col("a_len"), F.col("b_len")
+    keep = (a < b) & near_in_size(a_len, b_len, F.col("a_mask"), F.col("b_mask"), threshold)
+    pairs = candidate_pairs(side("a"), side("b"), [], "a", "b", "a_sig", "b_sig", keep)
+    return pairs.filter(near_in_edits(a, b, a_len, b_len, threshold)).select(
         "a", "b",
-        fuzzy_match(F.col("a"), F.col("b"), threshold).alias("a_later"),
-        fuzzy_match(F.col("b"), F.col("a"), threshold).alias("b_later"),
+        fuzzy_match(a, b, threshold).alias("a_later"),
+        fuzzy_match(b, a, threshold).alias("b_later"),
     ).filter("a_later OR b_later")

@@ -37,6 +37,15 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table out to all cores when it has fewer splits than the cluster has cores.
+
+    A large table is already split more finely and passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for cut-lineage tables: the cluster's `spark.checkpoint.dir`.
 

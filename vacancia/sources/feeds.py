@@ -101,7 +101,7 @@ def envelopes(items: DataFrame, files: DataFrame, manifest: DataFrame | None = N
 
 
 def feed_files(spark: SparkSession, path: str, glob: str = FEED_FILES) -> DataFrame:
-    """file, fetched_at of every landed feed file."""
+    """file, fetched_at of every landed feed file; the file listing leaves out files of zero length."""
     return (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).format("binaryFile").load(path)
         .select(F.col("_metadata.file_path").alias("file"), F.col("modificationTime").alias("fetched_at"))
