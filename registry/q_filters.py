@@ -144,7 +144,7 @@ def j3(spark, sf):
 
 @query("j4_keyword_hits", with_tables(PART_LISTINGS, DOCUMENT_LISTINGS) + f"""
 SELECT 'part' AS kind, pos, k AS keyword FROM (SELECT pos, {FULL_TEXT} AS f, unnest(['red', 'bolt', 'brand#2', 'work on']) AS k FROM listings) WHERE contains(f, k)
-UNION ALL SELECT 'document', pos, k FROM (SELECT pos, {FULL_TEXT} AS f, unnest(['tion', 'src1', 'the ']) AS k FROM doc_listings) WHERE contains(f, k)""")
+UNION ALL SELECT 'document', pos, k FROM (SELECT pos, {FULL_TEXT} AS f, unnest(['tion', 'src1', 'the ']) AS k FROM doc_listings) WHERE contains(f, trim(k))""")
 def j4(spark, sf):
     def hits(df, kind, words):
         return match.with_required_skills(df, words).select(F.lit(kind).alias("kind"), "pos", F.explode("required_skills").alias("keyword"))
