@@ -44,7 +44,7 @@ def jobs(spark):
         return match.match_score(pairs, F.lit(AS_OF).cast("date"))
 
     def clusters(listings):
-        return dedup.assign_clusters(dedup.with_match_keys(order.by_source_priority(listings, "pos")))
+        return dedup.assign_clusters(order.by_source_priority(dedup.with_match_keys(listings), "pos"))
 
     def mapped():
         return mappings.normalize(landing.parse_payloads(documents(spark, SF_DIR, "greenhouse")), "greenhouse")

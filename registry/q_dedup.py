@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from registry.base import query
 from registry.sql import PART_LISTINGS, priority, with_tables
 from registry.tables import part_listings
-from vacancia.functions.text import lowered
 from vacancia.operators import dedup, order
 from vacancia.session import materialize
 
@@ -26,7 +25,7 @@ _CLUSTERS: dict = {}
 
 
 def ordered(spark, sf):
-    return dedup.with_match_keys(order.by_source_priority(part_listings(spark, sf), "pos"))
+    return order.by_source_priority(dedup.with_match_keys(part_listings(spark, sf)), "pos")
 
 
 def fuzzy_clusters(spark, sf):
@@ -115,8 +114,7 @@ def d7(spark, sf):
     scored = exact_clusters(spark, sf).filter("ord = leader").withColumn(
         "preliminary_relevance_score", F.when(F.col("pos") % 4 != 0, F.col("salary_min") % 7)
     )
-    return order.with_position(scored.withColumn("_p", F.col("priority")).select("*", F.coalesce("preliminary_relevance_score", F.lit(0.0)).alias("_s")),
-                               F.desc("_s"), "_p", "ord", name="place").select("ord", "place")
+    return dedup.final_position(scored).select("ord", "place")
 
 
 @query("d8_dedup_stats", KEYED + """

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from vacancia.functions.infer import company_key, source_priority, title_key
 from vacancia.functions.similarity import fuzzy_match, near_in_edits, near_in_size
 from vacancia.functions.text import blank_to_null, lowered
-from vacancia.operators.order import by_source_priority
+from vacancia.operators.order import by_source_priority, with_position
 from vacancia.operators.similar import candidate_pairs, signatures, similar_names
 from vacancia.session import materialize
 
@@ -146,8 +146,7 @@ def _first_match(edges: DataFrame, leaders: DataFrame) -> DataFrame:
 
 
 def leader_assignment(nodes: DataFrame) -> DataFrame:
-    """(ord, leader) for every node; survivors lead themselves."""
-    nodes = materialize(nodes, "nodes")
+    """(ord, leader) for every node of a written table; survivors lead themselves."""
     links = _company_links(nodes)
     signed = materialize(signatures(nodes, "ord", "tk", TITLE_THRESHOLD), "title-keys")
     largest = nodes.groupBy("ck").count().agg(F.max("count")).first()[0] or 0
@@ -225,12 +224,8 @@ def _assign_in_portions(nodes: DataFrame, links: DataFrame, signed: DataFrame) -
 
 def assign_clusters(ordered: DataFrame) -> DataFrame:
     """Add `leader`, the position of the surviving row, to ordered rows with match keys."""
-    nodes = match_nodes(ordered)
-    assignment = materialize(leader_assignment(nodes), "assignment")
-    keyed = materialize(
-        nodes.withColumnRenamed("ord", "node").join(assignment.withColumnRenamed("ord", "node"), "node").drop("node"),
-        "key-leaders",
-    )
+    nodes = materialize(match_nodes(ordered), "nodes")
+    keyed = materialize(nodes.join(leader_assignment(nodes), "ord").drop("ord"), "key-leaders")
     return ordered.join(keyed, ["ck", "tk"], "left").withColumn("leader", F.coalesce("leader", "ord"))
 
 
@@ -286,7 +281,7 @@ def from_clusters(clusters: DataFrame) -> Deduplicated:
 
 def deduplicate(df: DataFrame, *position: Column | str) -> Deduplicated:
     """Order, cluster and merge a merged listing set; `position` is each row's place in it."""
-    ordered = with_match_keys(by_source_priority(df, *position))
+    ordered = by_source_priority(with_match_keys(df), *position)
     return from_clusters(materialize(assign_clusters(ordered), "clusters"))
 
 
@@ -316,11 +311,21 @@ def nested(result: Deduplicated) -> DataFrame:
     )
 
 
-def final_order(survivors: DataFrame) -> DataFrame:
+def _final(survivors: DataFrame) -> tuple[DataFrame, list[Column | str]]:
     """Best score first (none counts as 0), then source priority, then survivor order."""
-    return survivors.orderBy(
-        F.desc(F.coalesce("preliminary_relevance_score", F.lit(0.0))), source_priority("source"), "ord"
-    )
+    keyed = survivors.withColumn("_score", F.coalesce("preliminary_relevance_score", F.lit(0.0))).withColumn("_rank", source_priority("source"))
+    return keyed, [F.desc("_score"), "_rank", "ord"]
+
+
+def final_order(survivors: DataFrame) -> DataFrame:
+    keyed, keys = _final(survivors)
+    return keyed.orderBy(*keys).drop("_score", "_rank")
+
+
+def final_position(survivors: DataFrame, name: str = "place") -> DataFrame:
+    """The final order as a column, for results that are stored."""
+    keyed, keys = _final(survivors)
+    return with_position(keyed, *keys, name=name).drop("_score", "_rank")
 
 
 def dedup_stats(clusters: DataFrame) -> DataFrame:

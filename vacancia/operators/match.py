@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacancia.functions.infer import SENIORITY_ORDER, source_priority
 from vacancia.functions.text import lowered, searchable_text, terms_found
 from vacancia.operators.filters import keyword_score
-from vacancia.operators.order import with_position
+from vacancia.operators.order import rank_within
 
 SKILLS, SENIORITY, SECTOR, WORK_MODE, VALUES, RECENCY = 30.0, 20.0, 20.0, 15.0, 10.0, 5.0
 UNKNOWN_RECENCY = 3.0
@@ -178,19 +178,10 @@ def tier(score: Column) -> Column:
 
 
 def rank_in_tier(scored: DataFrame, top: int | None = None, position: str = "ord") -> DataFrame:
-    """`rank` inside profile and tier by score, then source priority, then position.
-
-    With `top`, only that many rows per tier reach the shuffle from each map task. Without it the rank of
-    every row comes from a range sort, so one profile's tier may be as large as it likes.
-    """
+    """`rank` inside profile and tier by score, then source priority, then position."""
     tiered = scored.filter(F.col("tier").isNotNull()).withColumn("_priority", source_priority("source"))
     order = [F.desc("match_score"), F.asc("_priority"), F.asc(position)]
-    if top is not None:
-        w = Window.partitionBy("profile_id", "tier").orderBy(*order)
-        return tiered.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).drop("_priority")
-    placed = with_position(tiered, "profile_id", "tier", *order, name="_place")
-    starts = placed.groupBy("profile_id", "tier").agg(F.min("_place").alias("_start"))
-    return placed.join(starts, ["profile_id", "tier"]).withColumn("rank", F.col("_place") - F.col("_start") + 1).drop("_place", "_start", "_priority")
+    return rank_within(tiered, ["profile_id", "tier"], order, "rank", top).drop("_priority")
 
 
 def _required(pairs: DataFrame) -> DataFrame:

@@ -42,10 +42,25 @@ def by_relevance(df: DataFrame, *position: Column | str) -> DataFrame:
     return df.orderBy(F.desc("preliminary_relevance_score"), *position)
 
 
-def top_per_source(df: DataFrame, n: int, *position: Column | str) -> DataFrame:
-    """First n rows of every source (the source's own row limit, applied locally).
+# Spark trims groups to k rows before the shuffle only up to this k (its windowGroupLimitThreshold default).
+GROUP_LIMIT = 1000
+
+
+def rank_within(df: DataFrame, groups: list[str], order: list[Column], name: str, top: int | None = None) -> DataFrame:
+    """`name` = 1, 2, 3... inside each group; with `top` only the first rows of each.
 
-    row_number() <= n lets Spark keep n rows per source in every map task before the shuffle.
+    A small `top` is trimmed to that many rows per group in every map task. Otherwise the rank comes from a
+    range sort over all groups, so a group may hold most of the rows.
     """
-    w = Window.partitionBy("source").orderBy(*position)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    if top is not None and top <= GROUP_LIMIT:
+        w = Window.partitionBy(*groups).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= top)
+    placed = with_position(df, *groups, *order, name="_place")
+    starts = placed.groupBy(*groups).agg(F.min("_place").alias("_start"))
+    ranked = placed.join(starts, groups).withColumn(name, F.col("_place") - F.col("_start") + 1).drop("_place", "_start")
+    return ranked if top is None else ranked.filter(F.col(name) <= top)
+
+
+def top_per_source(df: DataFrame, n: int, *position: Column | str) -> DataFrame:
+    """First n rows of every source (the source's own row limit, applied locally)."""
+    return rank_within(df, ["source"], list(position), "_rn", n).drop("_rn")
