@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from registry.base import query
-from registry.sql import DOCUMENT_LISTINGS, EVENTS, FULL_TEXT, PAGES, PART_LISTINGS, PHRASES, priority, seniority, with_tables, work_mode
-from registry.tables import document_listings, event_listings, fetched_pages, load, part_listings
+from registry.sql import DOCUMENT_LISTINGS, FULL_TEXT, PAGES, PART_LISTINGS, PHRASES, priority, seniority, with_tables, work_mode
+from registry.tables import document_listings, fetched_pages, load, part_listings
 from vacancia.functions import infer, similarity, text
 from vacancia.functions.html import strip_html
 from vacancia.operators import verify
