@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vacancia.llm import exact_dedup, mixing, token_counts, token_files, warc
+from vacancia.llm import exact_dedup, mixing, simhash, token_counts, token_files, warc
 from vacancia.llm.common import configured, table
 from vacancia.session import scratch_path
 
@@ -85,3 +85,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_files")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), scratch_path(spark, "token-files"))
+
+
+@query("op8_simhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
