@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vacancia.llm import decontaminate, exact_dedup, mixing, simhash, token_counts, token_files, warc
+from vacancia.llm import decontaminate, exact_dedup, lm_scoring, mixing, simhash, token_counts, token_files, warc
 from vacancia.llm.common import configured, table
 from vacancia.session import scratch_path
 
@@ -111,3 +111,21 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
 @query("op7_decontamination", OP7)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP9 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) > 0),
+     o AS (SELECT doc_id, CASE WHEN i = 1 THEN '' ELSE w[i - 1] END AS v, w[i] AS w FROM i),
+     c2 AS (SELECT v, w, count(*) AS c FROM o GROUP BY v, w),
+     cv AS (SELECT v, count(*) AS n FROM (SELECT '' AS v FROM d WHERE len(w) > 0 UNION ALL SELECT w FROM o) GROUP BY v),
+     s AS (SELECT c2.v, c2.w, ln(CASE WHEN c2.c >= 2 THEN c2.c::DOUBLE / a.n ELSE 0.4::DOUBLE * b.n / (SELECT count(*) FROM o)::DOUBLE END) AS s
+           FROM c2 JOIN cv a ON a.v = c2.v JOIN cv b ON b.v = c2.w),
+     t AS (SELECT o.doc_id, count(*) AS n, sum(s.s) AS s FROM o JOIN s ON o.v = s.v AND o.w = s.w GROUP BY o.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(coalesce(t.s, 0), 4) AS log_score, round(t.s / t.n, 4) AS mean_log_score
+FROM d LEFT JOIN t USING (doc_id)"""
+
+
+@query("op9_lm_scoring", OP9)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
