@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vacancia.llm import decontaminate, exact_dedup, lm_scoring, mixing, simhash, token_counts, token_files, warc
+from vacancia.llm import decontaminate, exact_dedup, lm_scoring, mixing, quality, simhash, token_counts, token_files, warc
 from vacancia.llm.common import configured, table
 from vacancia.session import scratch_path
 
@@ -129,3 +129,8 @@ FROM d LEFT JOIN t USING (doc_id)"""
 @query("op9_lm_scoring", OP9)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
