@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vacancia.llm import decontaminate, exact_dedup, lm_scoring, mixing, quality, simhash, token_counts, token_files, warc
+from vacancia.llm import decontaminate, exact_dedup, lm_scoring, mixing, quality, repeats, simhash, token_counts, token_files, warc
 from vacancia.llm.common import configured, table
 from vacancia.session import scratch_path
 
@@ -134,3 +134,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_quality")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
