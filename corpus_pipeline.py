@@ -1,19 +1,78 @@
-"""A corpus from raw documents to token files; every stage reads what the one before it wrote."""
+"""A corpus from raw documents to token files; every stage reads what the one before it wrote.
+
+A document is known by its doc_id (null is one id): what a stage decides about an id holds for all rows
+that share it. Stages keep all columns of their input, whatever their names, but the last, which returns
+what it read back from the token files. Empty tables go through and give none.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vacancia.llm import decontaminate, mixing, quality, simhash, token_files
+from vacancia.llm.common import configured, stored, table
+from vacancia.session import scratch_path
+
+
+def _by_id(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
+    """Documents joined to `decided` by doc_id; null meets null."""
+    return docs.join(decided, docs["doc_id"].eqNullSafe(decided["_id"]), how)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score of 0.5 or more, by a model learnt from `labels` and the texts of this stage's input."""
+    model = quality.fit(*quality.training_bags(docs, table(spark, sf_dir, "labels")))
+    return docs.filter(quality.score("text", model) >= 0.5)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id.
+
+    Groups without any id stay: nothing tells their rows apart.
+    """
+    found = simhash.near_duplicates(docs)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return _by_id(docs, kept, "left_semi")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    hit = stored(found.filter("contaminated").select(F.col("doc_id").alias("_id")).distinct(), "pipeline-hit")
+    return _by_id(docs, hit, "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix reads it: not at all, or up to three times."""
+    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    read = mixing.mix(docs).select(F.col("doc_id").alias("_id"), times.alias("_times")).filter("_times > 0")
+    read = stored(read.groupBy("_id").agg(F.max("_times").alias("_times")), "pipeline-mix")
+    copies = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_doc"), docs["doc_id"])
+    many = _by_id(copies, read, "inner").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return many.select("_doc.*")
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every row, read back from the token files."""
+    return token_files.token_files(docs, public_tokenizers.path("word_bpe_49k.json"), scratch_path(spark, "token-files"))
 
-from vacancia.llm.common import stored, table
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
-ORACLE_SQL = None
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", configured(quality_classifier)),
+    ("simhash_near_dedup", configured(near_dedup)),
+    ("benchmark_decontamination", configured(decontamination)),
+    ("source_mixing", configured(mix_sources)),
+    ("token_output", configured(token_output)),
+]
+ORACLE_SQL = None  # a learnt classifier and a tokenizer are not SQL; tests compare each stage with plain code
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written as Parquet and read again."""
+    """All stages over `documents`; each result is written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")

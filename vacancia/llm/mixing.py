@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacancia.llm.common import WORD, offsets_by, stored
@@ -51,7 +51,7 @@ def queued(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "source", "size", "source_size", "target", "_order", (F.col("_before") + F.col("_within")).alias("_upto"))
 
 
-def virtual_time(turn) -> F.Column:
+def virtual_time(turn) -> Column:
     """When a copy of a document is through: words of its source up to it, over the source's target."""
     return (F.col("source_size") * turn + F.col("_upto")) / F.col("target")
 
@@ -88,7 +88,7 @@ def mix(docs: DataFrame) -> DataFrame:
     return queue.select("doc_id", "size", "source_size", "target", F.when((F.col("size") > 0) & (F.col("target") > 0), taken).otherwise(0).cast("long").alias("taken"))
 
 
-def taken_before(cut: list | None) -> F.Column:
+def taken_before(cut: list | None) -> Column:
     """Words of the copies of a row that come before the first copy that no longer fits."""
     if cut is None:
         return F.col("size") * PASSES

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PASSAGE = 64  # words
@@ -121,7 +121,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model | No
     return model
 
 
-def held_out() -> F.Column:
+def held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
@@ -145,20 +145,16 @@ def training_bags(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
     return [np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in rows], np.array([r["quality"] for r in rows], int)
 
 
-def scores(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row by its whole text."""
+def score(text: str, model: Model | None) -> Column:
+    """Score of a text column, each text taken whole."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = []
-            for text in batch.column("text"):
-                x = passage_features(text.as_py() or "")
-                values.append(0.5 if model is None else float(model.forward(x, np.zeros(1, int))["p"][0]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(values, pa.float64())], ["doc_id", "held_out", "score"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out())
-    found = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
-    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        first = np.zeros(1, int)
+        bags = (passage_features(t.as_py() or "") for t in texts)
+        return pa.array([0.5 if model is None else float(model.forward(x, first)["p"][0]) for x in bags], pa.float64())
+
+    return run(F.col(text))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -171,4 +167,6 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     A null text is scored as the empty one: one passage without features. Null doc_ids are never learnt from
     and count as the id "" for `held_out`. Without any label all scores are 0.5. Extra columns are not read.
     """
-    return scores(docs, fit(*training_bags(docs, labels, sample)))
+    model = fit(*training_bags(docs, labels, sample))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), score("text", model).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
