@@ -130,15 +130,16 @@ def remoteok() -> Column:
 
 
 def jobicy() -> Column:
-    return _json(
+    """Every tenth currency is stated as null, which a struct field cannot be; a marker is put in and replaced."""
+    return F.replace(_json(
         {
             "id": key(), "jobTitle": F.concat(title(), F.lit(" &amp; Co")), "companyName": F.col("p_brand"), "jobGeo": place(), "jobType": F.lit("full"),
             "salaryMin": _some(key() % 3 == 0, F.lit("n/a")), "annualSalaryMin": _some(key() % 2 == 0, (key() + 1).cast("string")), "salary_min": _some(key() % 5 == 0, key()),
-            "annualSalaryMax": _some(key() % 4 == 0, key() + 9), "salaryCurrency": _some(key() % 2 == 0, F.lit("EUR")),
+            "annualSalaryMax": _some(key() % 4 == 0, key() + 9), "salaryCurrency": F.when(key() % 10 == 4, F.lit("NULL")).when(key() % 2 == 0, F.lit("EUR")),
             "pubDate": stamp(), "jobDescription": html(), "url": F.concat(F.lit("https://jb/"), key().cast("string")),
         },
         jobIndustry=(key() % 2 == 0, F.array(F.col("p_type"), F.lit("y")), F.col("p_type")),
-    )
+    ), F.lit('"NULL"'), F.lit("null"))
 
 
 def himalayas() -> Column:

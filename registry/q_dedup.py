@@ -21,7 +21,6 @@ clusters AS (SELECT *, min(ord) OVER (PARTITION BY ck, tk) AS leader FROM keyed)
 """
 _FILLS = {"salary_min": "nullif(salary_min, 0)", "salary_max": "nullif(salary_max, 0)", "salary_currency": "nullif(salary_currency, '')",
           "posted_date_raw": "nullif(posted_date_raw, '')", "employment_type": "nullif(employment_type, '')"}
-_CLUSTERS: dict = {}
 
 
 def ordered(spark, sf):
@@ -29,11 +28,7 @@ def ordered(spark, sf):
 
 
 def fuzzy_clusters(spark, sf):
-    """Clusters of one session and table set are worked out once and read from then on."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _CLUSTERS:
-        _CLUSTERS[key] = materialize(dedup.assign_clusters(ordered(spark, sf)), "clusters")
-    return _CLUSTERS[key]
+    return materialize(dedup.assign_clusters(ordered(spark, sf)), "clusters")
 
 
 def exact_clusters(spark, sf):
@@ -99,12 +94,12 @@ def d5_fuzzy(spark, sf):
 
 @query("d6_alternate_sources", KEYED + "SELECT leader, ord, source, url, source_id FROM clusters WHERE ord <> leader")
 def d6(spark, sf):
-    return dedup.alternate_sources(exact_clusters(spark, sf))
+    return dedup.alternate_sources(exact_clusters(spark, sf)).drop("pos")
 
 
 @query("d6_alternate_sources_fuzzy")
 def d6_fuzzy(spark, sf):
-    return dedup.alternate_sources(fuzzy_clusters(spark, sf))
+    return dedup.alternate_sources(fuzzy_clusters(spark, sf)).drop("pos")
 
 
 @query("d7_final_order", KEYED + f"""

@@ -1,4 +1,4 @@
-"""Match scores of every listing against every profile that targets its level."""
+"""Match scores of every listing against every profile that targets a level near its own."""
 
 from pyspark.sql import functions as F
 
@@ -13,7 +13,7 @@ _AGE = f"date_diff('day', posted_date, DATE '{AS_OF}')"
 SCORED = with_tables(PART_LISTINGS, PROFILES) + f""", pairs AS (
   SELECT l.*, p.*, {FULL_TEXT} AS full_text,
     list_filter({ADJECTIVES + NOUNS}, lambda k: contains({FULL_TEXT}, k)) AS required
-  FROM listings l JOIN profiles p ON list_contains(p.seniority_targets, l.seniority)),
+  FROM listings l JOIN profiles p ON len(list_filter(p.seniority_targets, lambda t: abs(list_position({_LEVELS}, t) - list_position({_LEVELS}, l.seniority)) <= 2)) > 0),
 points AS (
   SELECT *,
     CASE WHEN len(required) = 0 THEN 15 ELSE 30::DOUBLE * len(list_intersect(required, skills)) / len(required) END AS score_skills,

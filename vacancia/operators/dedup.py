@@ -25,18 +25,18 @@ from pyspark.sql import functions as F
 from vacancia.functions.infer import company_key, source_priority, title_key
 from vacancia.functions.similarity import fuzzy_match, near_in_edits, near_in_size
 from vacancia.functions.text import blank_to_null, lowered
-from vacancia.operators.order import by_source_priority, with_position
+from vacancia.operators.order import by_source_priority, rank_within, with_position
 from vacancia.operators.similar import candidate_pairs, signatures, similar_names
 from vacancia.session import materialize
 
 COMPANY_THRESHOLD = 0.8
 TITLE_THRESHOLD = 0.75
-FILLED_FIELDS = ("salary_min", "salary_max", "salary_currency", "posted_date_raw", "posted_date", "employment_type")
+FILLED_FIELDS = ("salary_min", "salary_max", "salary_currency", "posted_date_raw", "employment_type")
 PORTION_NODES = 2048  # size of a company's first portion; later portions grow four-fold
 _PORTION_STEPS = 8
 _FRACTIONS = [4.0 ** -(_PORTION_STEPS - i) for i in range(_PORTION_STEPS + 1)]
-# A merged listing holds its alternates in one row; beyond this many they stay rows of their own.
-NESTED_LIMIT = 100_000
+ALTERNATE = ("source", "url", "source_id")
+CHUNK = 10_000  # entries of an array in one interchange row; a larger cluster has further rows
 
 
 def with_match_keys(df: DataFrame) -> DataFrame:
@@ -241,20 +241,26 @@ def _filled(c: str) -> Column:
     value = F.col(c)
     if c.startswith("salary_m"):
         return F.when(value != 0, value)
-    return value if c == "posted_date" else blank_to_null(value)
+    return blank_to_null(value)
 
 
 def fill_fields(clusters: DataFrame) -> DataFrame:
     """Surviving rows with each empty field taken from the first member that has it.
 
-    min_by merges partial results before the shuffle, so a cluster with most of the rows is no burden.
+    min_by merges partial results before the shuffle, so a cluster with most of the rows is no burden. The
+    typed date is that of the row whose raw date counts, also where that one could not be read.
     """
     fields = [f for f in FILLED_FIELDS if f in clusters.columns]
-    first = clusters.filter(F.col("ord") != F.col("leader")).groupBy("leader").agg(
-        *[F.min_by(_filled(c), F.when(_filled(c).isNotNull(), F.col("ord"))).alias(f"_{c}") for c in fields]
-    )
+    dated = {"posted_date_raw", "posted_date"} <= set(clusters.columns)
+    first_of = [F.min_by(_filled(c), F.when(_filled(c).isNotNull(), F.col("ord"))).alias(f"_{c}") for c in fields]
+    if dated:
+        first_of.append(F.min_by("posted_date", F.when(_filled("posted_date_raw").isNotNull(), F.col("ord"))).alias("_posted_date"))
+    first = clusters.filter(F.col("ord") != F.col("leader")).groupBy("leader").agg(*first_of)
     survivors = clusters.filter(F.col("ord") == F.col("leader")).join(first, "leader", "left")
     filled = {c: F.coalesce(_filled(c), F.col(f"_{c}"), F.col(c)) for c in fields}
+    if dated:
+        own = _filled("posted_date_raw").isNotNull() | F.col("_posted_date_raw").isNull()
+        filled["posted_date"] = F.when(own, F.col("posted_date")).otherwise(F.col("_posted_date"))
     return survivors.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in clusters.columns])
 
 
@@ -269,10 +275,18 @@ def merged_tags(clusters: DataFrame) -> DataFrame:
 
 
 def alternate_sources(clusters: DataFrame) -> DataFrame:
-    """leader, ord, source, url, source_id of every row merged away."""
-    return clusters.filter(F.col("ord") != F.col("leader")).select(
-        "leader", "ord", *[F.coalesce(c, F.lit("")).alias(c) for c in ("source", "url", "source_id")]
+    """leader, ord, pos, source, url, source_id: what was merged away, in order.
+
+    A survivor's alternates of an earlier stage (array column `alternate_sources`) come first, at its own
+    `ord`; those of rows merged away now are not taken over.
+    """
+    merged = clusters.filter(F.col("ord") != F.col("leader")).select(
+        "leader", "ord", F.lit(0).alias("pos"), *[F.coalesce(c, F.lit("")).alias(c) for c in ALTERNATE]
     )
+    if "alternate_sources" not in clusters.columns:
+        return merged
+    earlier = clusters.filter(F.col("ord") == F.col("leader")).select("leader", "ord", F.posexplode("alternate_sources").alias("pos", "a"))
+    return earlier.select("leader", "ord", "pos", *[F.coalesce(F.col(f"a.{c}"), F.lit("")).alias(c) for c in ALTERNATE]).unionByName(merged)
 
 
 def from_clusters(clusters: DataFrame) -> Deduplicated:
@@ -280,32 +294,37 @@ def from_clusters(clusters: DataFrame) -> Deduplicated:
 
 
 def deduplicate(df: DataFrame, *position: Column | str) -> Deduplicated:
-    """Order, cluster and merge a merged listing set; `position` is each row's place in it."""
-    ordered = by_source_priority(with_match_keys(df), *position)
+    """Order, cluster and merge a merged listing set; `position` is each row's place in it.
+
+    Rows of an earlier stage keep the alternates of their first chunk: between stages call
+    `nested(result, size=None)`, which makes one.
+    """
+    again = [c for c in ("ord", "leader", "ck", "tk", "priority", "chunk") if c in df.columns]  # of an earlier stage
+    kept = df.filter("coalesce(chunk, 0) = 0") if "chunk" in again else df
+    ordered = by_source_priority(with_match_keys(kept.drop(*[c for c in again if c not in position])), *position)
     return from_clusters(materialize(assign_clusters(ordered), "clusters"))
 
 
-def nested(result: Deduplicated) -> DataFrame:
+def nested(result: Deduplicated, size: int | None = CHUNK) -> DataFrame:
     """Survivors with `tags` and `alternate_sources` as arrays, for interchange.
 
-    A row can only hold so much: with a cluster beyond `NESTED_LIMIT` use the two tables instead.
+    No array has more than `size` entries (None: no bound): a larger cluster has one row per `chunk` 0, 1, 2..., each with the
+    survivor's columns and the next entries. Entries are numbered by a range sort over all clusters, so a
+    cluster with most of the rows is spread out.
     """
-    largest = result.alternates.groupBy("leader").count().agg(F.max("count")).first()[0] or 0
-    most_tags = result.tags.groupBy("leader").count().agg(F.max("count")).first()[0] or 0
-    if max(largest, most_tags) > NESTED_LIMIT:
-        raise ValueError(f"a cluster has {max(largest, most_tags)} entries; read .alternates and .tags as tables")
-    tags = result.tags.groupBy("leader").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("ord", "pos", "tag"))), lambda t: t["tag"]).alias("tags")
-    )
-    alternates = result.alternates.groupBy("leader").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("ord", "source", "url", "source_id"))),
-            lambda a: F.struct(a["source"].alias("source"), a["url"].alias("url"), a["source_id"].alias("source_id")),
-        ).alias("alternate_sources")
-    )
+    def chunked(entries: DataFrame, value: Column, name: str) -> DataFrame:
+        ranked = rank_within(entries, ["leader"], [F.col("ord"), F.col("pos")], "_n")
+        numbered = ranked.withColumn("chunk", (F.lit(0) if size is None else F.floor((F.col("_n") - 1) / size)).cast("int"))
+        listed = F.sort_array(F.collect_list(F.struct("_n", value.alias("value"))))
+        return numbered.groupBy("leader", "chunk").agg(F.transform(listed, lambda x: x["value"]).alias(name))
+
+    tags = chunked(result.tags, F.col("tag"), "tags")
+    alternates = chunked(result.alternates, F.struct(*ALTERNATE), "alternate_sources")
+    first = result.survivors.select("leader", F.lit(0).alias("chunk"))
+    lists = first.join(tags, ["leader", "chunk"], "full").join(alternates, ["leader", "chunk"], "full")
     empty = F.array().cast("array<struct<source:string,url:string,source_id:string>>")
     return (
-        result.survivors.drop("tags").join(tags, "leader", "left").join(alternates, "leader", "left")
+        result.survivors.drop("tags", "alternate_sources").join(lists, "leader")
         .withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
         .withColumn("alternate_sources", F.coalesce("alternate_sources", empty))
     )
@@ -340,10 +359,12 @@ def dedup_stats(clusters: DataFrame) -> DataFrame:
 def keep_most_detailed(df: DataFrame, *tie_break: Column | str) -> DataFrame:
     """One row per (company, title) without regard to case: the one with most filled detail fields.
 
-    Exact duplicates only. `max_by` merges before the shuffle; the kept row's other columns come back
+    Rows with neither company nor title are left alone. Exact duplicates only. `max_by` merges before the shuffle; the kept row's other columns come back
     through its position, which must be unique.
     """
-    return exact_duplicates_best(df, [lowered("company"), lowered("title")], detail_level(), *tie_break)
+    nameless = (lowered("company") == "") & (lowered("title") == "")
+    named = exact_duplicates_best(df.filter(~nameless), [lowered("company"), lowered("title")], detail_level(), *tie_break)
+    return named.unionByName(df.filter(nameless))
 
 
 DETAIL_FIELDS = ("location", "salary_min", "salary_max", "posted_date", "description_text", "employment_type")

@@ -19,6 +19,7 @@ from vacancia.operators.order import rank_within
 SKILLS, SENIORITY, SECTOR, WORK_MODE, VALUES, RECENCY = 30.0, 20.0, 20.0, 15.0, 10.0, 5.0
 UNKNOWN_RECENCY = 3.0
 FULL_RECENCY_DAYS, NO_RECENCY_DAYS = 30, 90
+NEAR_LEVELS = 2  # a level further from every target is not paired
 TIER_FLOORS = {1: 80.0, 2: 60.0, 3: 40.0}
 
 
@@ -59,13 +60,14 @@ def _text_of(pairs: DataFrame) -> Column:
 
 
 def listing_profile_pairs(listings: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Listings with every profile that targets their seniority level.
+    """Listings with every profile that targets a level at most NEAR_LEVELS steps from theirs.
 
-    The level filter of a candidate's search is the equi-join key. Profiles are one row per target level;
-    Spark broadcasts them only while they are under its size limit and otherwise shuffles, where a level
-    held by most listings is split by the skew rule.
+    The level is the equi-join key; `seniority_points` grades the distance. Profiles are one row per level
+    in reach; Spark broadcasts them only while they are under its size limit and otherwise shuffles, where
+    a level held by most listings is split by the skew rule.
     """
-    by_level = profiles.withColumn("_level", F.explode(F.array_distinct(F.transform("seniority_targets", lambda s: F.lower(s)))))
+    reach = F.flatten(F.transform("seniority_targets", _near_levels))
+    by_level = profiles.withColumn("_level", F.explode(F.array_distinct(reach)))
     return listings.withColumn("_level", lowered("seniority")).join(by_level, "_level").drop("_level")
 
 
@@ -104,6 +106,14 @@ def _level(c: Column) -> Column:
     return F.nullif(F.array_position(levels, F.lower(c)), F.lit(0))
 
 
+def _near_levels(target: Column) -> Column:
+    """Levels at most NEAR_LEVELS steps from a target; an unknown target is only near itself."""
+    levels = F.array(*[F.lit(s) for s in SENIORITY_ORDER])
+    first = F.greatest(_level(target) - NEAR_LEVELS, F.lit(1))
+    near = F.slice(levels, first.cast("int"), (_level(target) + NEAR_LEVELS - first + 1).cast("int"))
+    return F.coalesce(near, F.array(F.lower(target)))
+
+
 def seniority_points(seniority: Column, targets: Column) -> Column:
     """Ten points off per step to the nearest target level; an unknown level is worth nothing."""
     own = _level(seniority)

@@ -56,8 +56,9 @@ def rank_within(df: DataFrame, groups: list[str], order: list[Column], name: str
         w = Window.partitionBy(*groups).orderBy(*order)
         return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= top)
     placed = with_position(df, *groups, *order, name="_place")
-    starts = placed.groupBy(*groups).agg(F.min("_place").alias("_start"))
-    ranked = placed.join(starts, groups).withColumn(name, F.col("_place") - F.col("_start") + 1).drop("_place", "_start")
+    starts = placed.groupBy(*groups).agg(F.min("_place").alias("_start")).select("_start", *[F.col(g).alias(f"_{g}") for g in groups])
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]  # a null group is a group
+    ranked = placed.join(starts, same).withColumn(name, F.col("_place") - F.col("_start") + 1).drop("_place", *starts.columns)
     return ranked if top is None else ranked.filter(F.col(name) <= top)
 
 

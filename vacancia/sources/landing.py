@@ -38,11 +38,11 @@ def listings_in(payloads: DataFrame, source: str) -> DataFrame:
 
 
 def merge_pages(payloads: DataFrame, n_pages: int, keys: list[str]) -> DataFrame:
-    """Pages 0..n-1 of one paged search per `keys` up to its last page; unreadable pages are skipped.
+    """Pages 0..n-1 of one paged search per `keys` up to its last page; pages that are no object are skipped.
 
     A search stops at the first readable page that says it is the last one (`page_count` - 1 or more).
     """
-    ok = payloads.filter(F.col("v").isNotNull() & (F.col("page") < n_pages))
+    ok = payloads.filter(F.try_variant_get("v", "$", "map<string,variant>").isNotNull() & (F.col("page") < n_pages))
     count = F.coalesce(F.try_variant_get("v", "$.page_count", "bigint"), F.lit(0))
     stops = ok.filter(F.col("page") >= count - 1).groupBy(*keys).agg(F.min("page").alias("_stop"))
     return ok.join(stops, keys, "left").filter(F.col("_stop").isNull() | (F.col("page") <= F.col("_stop"))).drop("_stop")

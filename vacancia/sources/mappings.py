@@ -48,6 +48,14 @@ def _str(*paths: str, default: str = "") -> Column:
     return first_filled(*[_get(p) for p in paths], default=default)
 
 
+def _id(*paths: str) -> Column:
+    """First filled of several id fields as text; the number 0 and false count as empty, the text "0" does not."""
+    def filled(p):
+        return F.when(~F.coalesce(F.to_json(_get(p, "variant")).isin("0", "0.0", "false"), F.lit(False)), _get(p))
+
+    return first_filled(*[filled(p) for p in paths])
+
+
 def _flag(path: str) -> Column:
     return F.coalesce(_get(path, "boolean"), F.lit(False))
 
@@ -99,7 +107,7 @@ ITEMS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def _listing(df: DataFrame, source: str, *, key: Column, source_id: Column | None = None, title: Column, company: Column,
+def _listing(df: DataFrame, source: str, *, key: tuple[str, ...], source_id: Column | None = None, title: Column, company: Column,
              location: Column, posted: Column, description: Column, url: Column, apply_url: Column | None = None,
              remote: Column | None = None, work_mode: Column | None = None, employment_type: Column | None = None,
              seniority: Column | None = None, salary_min: Column | None = None, salary_max: Column | None = None,
@@ -109,8 +117,9 @@ def _listing(df: DataFrame, source: str, *, key: Column, source_id: Column | Non
     empty = F.array().cast("array<string>")
     nothing = F.lit(None)
     keep = [c for c in df.columns if c not in ("j", "source")]
+    # `key` names the fields of the id; a number 0 is no id but still shown as `source_id`.
     work = df.select(
-        *keep, "j", key.alias("_key"), (key if source_id is None else source_id).alias("source_id"),
+        *keep, "j", _id(*key).alias("_key"), (_str(*key) if source_id is None else source_id).alias("source_id"),
         title.alias("title"), company.alias("company"), location.alias("location"), posted.alias("_posted"),
         description.alias("description_text"), url.alias("url"),
     )
@@ -139,7 +148,7 @@ def _listing(df: DataFrame, source: str, *, key: Column, source_id: Column | Non
 def greenhouse(df: DataFrame) -> DataFrame:
     return _listing(
         ITEMS["greenhouse"](df), "greenhouse", status="GUARANTEED",
-        key=_str("id"), title=_str("title"), company=_str("company_name", "board_name"),
+        key=("id",), title=_str("title"), company=_str("company_name", "board_name"),
         location=_str("location.name"), posted=_str("updated_at", "first_published_at"),
         description=strip_html(_get("content")), url=_str("absolute_url"), departments=_names("departments"),
     )
@@ -154,7 +163,7 @@ def lever(df: DataFrame) -> DataFrame:
     description = F.when(F.size(lists) > 0, F.concat(lead, F.lit("\n"), F.array_join(sections, "\n"))).otherwise(lead)
     return _listing(
         ITEMS["lever"](df), "lever", status="GUARANTEED",
-        key=_str("id"), title=_str("text"), company=_str("company"), location=_str("categories.location"),
+        key=("id",), title=_str("text"), company=_str("company"), location=_str("categories.location"),
         posted=epoch_ms_date(_get("createdAt", "bigint")), description=description,
         url=_str("hostedUrl", "applyUrl"), apply_url=_str("applyUrl", "hostedUrl"),
         employment_type=_str("categories.commitment"),
@@ -168,7 +177,7 @@ def workable(df: DataFrame) -> DataFrame:
     remote_flag = _flag("telecommuting")
     return _listing(
         ITEMS["workable"](df), "workable", status="GUARANTEED",
-        key=_str("shortcode", "id"), title=_str("title"), company=_str("company"), location=location,
+        key=("shortcode", "id"), title=_str("title"), company=_str("company"), location=location,
         posted=_str("published_on", "created_at"), description=strip_html(_get("description")),
         url=_str("url", "application_url"), apply_url=_str("application_url", "url"),
         remote=remote_flag | remote_from_text("location"), work_mode=infer_work_mode("location", remote_flag),
@@ -184,7 +193,7 @@ def ashby(df: DataFrame) -> DataFrame:
     )
     return _listing(
         ITEMS["ashby"](df), "ashby", status="GUARANTEED",
-        key=_str("id"), title=_str("title"), company=_str("organizationName"), location=_name_or_text("location"),
+        key=("id",), title=_str("title"), company=_str("organizationName"), location=_name_or_text("location"),
         posted=_str("publishedDate", "updatedAt"), description=strip_html(_str("descriptionHtml", "description")),
         url=_str("jobUrl", "applyUrl"), apply_url=_str("applyUrl", "jobUrl"),
         remote=remote_flag | remote_from_text("location"), work_mode=infer_work_mode("location", remote_flag),
@@ -202,7 +211,7 @@ def _remote_board(df: DataFrame, source: str, **columns) -> DataFrame:
 def remotive(df: DataFrame) -> DataFrame:
     return _remote_board(
         ITEMS["remotive"](df), "remotive",
-        key=_str("id"), title=_str("title"), company=_str("company_name"),
+        key=("id",), title=_str("title"), company=_str("company_name"),
         location=_str("candidate_required_location", default=REMOTE), posted=_str("publication_date"),
         description=strip_html(_get("description")), url=_str("url"), employment_type=_str("job_type"),
         departments=singleton(_get("category")), tags=_text_list("tags"),
@@ -213,7 +222,7 @@ def remoteok(df: DataFrame) -> DataFrame:
     low = _amount("salary_min")
     return _remote_board(
         ITEMS["remoteok"](df), "remoteok",
-        key=_str("id"), title=_str("position"), company=_str("company"), location=_str("location", default=REMOTE),
+        key=("id",), title=_str("position"), company=_str("company"), location=_str("location", default=REMOTE),
         posted=_str("date"), description=strip_html(_get("description")), url=_str("url"), apply_url=_str("apply_url", "url"),
         salary_min=low, salary_max=_amount("salary_max"), currency=default_currency(low.isNotNull()), tags=_text_list("tags"),
     )
@@ -222,14 +231,16 @@ def remoteok(df: DataFrame) -> DataFrame:
 def jobicy(df: DataFrame) -> DataFrame:
     low = _amount("salaryMin", "annualSalaryMin", "salary_min")
     high = _amount("salaryMax", "annualSalaryMax", "salary_max")
+    # A currency that is stated as null stays null; only a missing one gets the default.
+    stated = default_currency(low.isNotNull() | high.isNotNull(), _get("salaryCurrency"))
     industry = F.when(_is_list("jobIndustry"), _text_list("jobIndustry")).otherwise(singleton(_get("jobIndustry")))
     return _remote_board(
         ITEMS["jobicy"](df), "jobicy",
-        key=_str("id"), title=strip_html(_get("jobTitle")), company=_str("companyName"), location=_str("jobGeo", default=REMOTE),
+        key=("id",), title=strip_html(_get("jobTitle")), company=_str("companyName"), location=_str("jobGeo", default=REMOTE),
         posted=_str("pubDate"), description=strip_html(_get("jobDescription")), url=_str("url"),
         employment_type=_str("jobType"), seniority=infer_seniority(_get("jobTitle")),
         salary_min=low, salary_max=high,
-        currency=default_currency(low.isNotNull() | high.isNotNull(), _get("salaryCurrency")),
+        currency=F.when(~F.coalesce(F.is_variant_null(_get("salaryCurrency", "variant")), F.lit(False)), stated),
         departments=industry, tags=industry,
     )
 
@@ -240,7 +251,7 @@ def himalayas(df: DataFrame) -> DataFrame:
     page = F.coalesce(blank_to_null(_get("applicationUrl")), F.concat(F.lit(HIMALAYAS_PAGE), _str("slug")))
     return _remote_board(
         ITEMS["himalayas"](df), "himalayas",
-        key=_str("id", "slug"), title=_str("title"), company=_str("companyName"), location=first_filled(places, default=REMOTE),
+        key=("id", "slug"), source_id=_id("id", "slug"), title=_str("title"), company=_str("companyName"), location=first_filled(places, default=REMOTE),
         posted=_str("pubDate", "postedDate"), description=strip_html(_get("description")), url=page,
         employment_type=_str("type"), seniority=F.coalesce(blank_to_null(_get("seniority")), infer_seniority("title")),
         salary_min=low, salary_max=high, currency=default_currency(low.isNotNull() | high.isNotNull()),
@@ -252,7 +263,7 @@ def themuse(df: DataFrame) -> DataFrame:
     levels = _names("levels")
     return _listing(
         ITEMS["themuse"](df), "themuse", status="API_ACTIVE",
-        key=_str("id"), title=_str("name"), company=_name_or_text("company"), location=F.array_join(_names("locations"), ", "),
+        key=("id",), title=_str("name"), company=_name_or_text("company"), location=F.array_join(_names("locations"), ", "),
         posted=_str("publication_date"), description=strip_html(_get("contents")), url=_str("refs.landing_page"),
         remote=remote_from_text("location", words=("flexible", "remote")),
         seniority=F.coalesce(F.get(levels, F.lit(0)), infer_seniority("title")), departments=_names("categories"),
@@ -262,7 +273,7 @@ def themuse(df: DataFrame) -> DataFrame:
 def rss(df: DataFrame) -> DataFrame:
     return _listing(
         ITEMS["rss"](df), "rss", status="UNVERIFIED",
-        key=_str("link", "title"), source_id=_str("guid", "link"), title=_str("title"), company=_str("company", "author"),
+        key=("link", "title"), source_id=_str("guid", "link"), title=_str("title"), company=_str("company", "author"),
         location=_str("location"), posted=_str("pubDate", "published"),
         description=strip_html(_str("description", "summary")), url=_str("link"),
         remote=remote_from_text("title", "location"), work_mode=infer_work_mode(first_filled("location", "title")),
