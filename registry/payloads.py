@@ -237,7 +237,8 @@ def atom_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _feed(spark: SparkSession, sf_dir: str, item: Column, head: str, tail: str) -> DataFrame:
     items = load(spark, sf_dir, "part").select(F.floor(key() / DOC_ROWS).alias("doc"), key().alias("k"), item.alias("x"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda e: e["x"]), "\n")
-    end = F.when(F.col("doc") % 9 == 4, F.lit("<item><title>cut</entry>")).otherwise(F.lit(tail))
+    # Every ninth feed is cut off, inside an element or right behind one.
+    end = F.when(F.col("doc") % 18 == 4, F.lit("<item><title>cut</entry>")).when(F.col("doc") % 18 == 13, F.lit("")).otherwise(F.lit(tail))
     return items.groupBy("doc").agg(body.alias("body")).select("doc", F.concat(F.lit(head), F.col("body"), end).alias("raw"))
 
 

@@ -90,12 +90,15 @@ def f8(spark, sf):
 @query("f9_source_query", PART + """
 SELECT pos, source FROM listings WHERE departments[1] = 'ECONOMY' AND list_contains(tags, 'widget') AND contains(lower(location), 'remote')
   AND seniority <> '' AND employment_type <> '' AND employment_type = 'Full-time'
-UNION ALL SELECT pos, 'level' FROM listings WHERE seniority = 'senior' AND contains(lower(location), 'berlin')""")
+UNION ALL SELECT pos, 'level' FROM listings WHERE seniority = 'senior' AND contains(lower(location), 'berlin')
+UNION ALL SELECT pos, 'page' FROM (SELECT pos, row_number() OVER (PARTITION BY source ORDER BY pos) AS n FROM listings WHERE seniority = 'mid') WHERE n > 6 AND n <= 9""")
 def f9(spark, sf):
     df = part_listings(spark, sf)
     a = fl.source_query(df, fl.SourceQuery(category="economy", tag="Widget", geo="remote", equal={"employment_type": "Full-time"}))
     b = fl.source_query(df, fl.SourceQuery(level="Senior", location="Berlin"))
-    return a.select("pos", "source").unionByName(b.select("pos", F.lit("level").alias("source")))
+    c = fl.source_query(df, fl.SourceQuery(level="mid", limit=3, page=2), "pos")
+    named = [x.select("pos", F.lit(name).alias("source")) for name, x in (("level", b), ("page", c))]
+    return a.select("pos", "source").unionByName(named[0]).unionByName(named[1])
 
 
 @query("o1_by_relevance", PART + score_sql(["senior", "widget", "economy"], "pos, id, title, company", _FULL, EXCLUDE))

@@ -121,6 +121,12 @@ def s17(spark, sf):
     return landing.scan_sector_keywords(spark, pl.land(spark, pl.sector_documents(spark, sf), "sectors"))
 
 
+@query("s20_feed_rejects", _DOCS + "SELECT DISTINCT doc, 'broken XML' AS reason FROM p WHERE doc % 9 = 4")
+def s20_feeds(spark, sf):
+    bad = feeds.rejects(spark, pl.land(spark, pl.rss_documents(spark, sf), "rss-xml"), TXT)
+    return bad.select(F.regexp_extract("file", r"doc=(\d+)", 1).cast("bigint").alias("doc"), "reason")
+
+
 @query("s20_rejects", _DOCS + """
 SELECT doc, 0 AS listings, CASE WHEN doc % 4 = 1 THEN 'broken JSON' ELSE 'empty' END AS reason FROM (SELECT DISTINCT doc FROM p WHERE doc % 4 IN (1, 3))
 UNION ALL SELECT doc, count(*), 'read' FROM p WHERE doc % 4 IN (0, 2) GROUP BY doc""")

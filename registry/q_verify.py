@@ -6,6 +6,8 @@ from registry.base import query
 from registry.sql import PAGES, PART_LISTINGS, PART_PAGES, PHRASES, with_tables
 from registry.tables import fetched_pages, part_listings, part_pages
 from vacancia.operators import verify
+from vacancia.session import scratch_path
+from vacancia.sources import landing
 
 _BASE = with_tables(PAGES, PHRASES) + """, looked AS (
   SELECT *, (SELECT phrase FROM phrases WHERE contains(lower(body), phrase) ORDER BY n LIMIT 1) AS phrase,
@@ -40,7 +42,9 @@ def _checks(spark, sf):
 
 @query("s19_fetched_pages", with_tables(PAGES) + "SELECT url, http_code, final_url, md5(body) AS body_md5 FROM fetched")
 def s19(spark, sf):
-    return fetched_pages(spark, sf).select("url", "http_code", "final_url", F.md5("body").alias("body_md5"))
+    path = scratch_path(spark, "fetched")
+    fetched_pages(spark, sf).select("url", "http_code", "final_url", "body").write.parquet(path)
+    return landing.scan_pages(spark, path).select("url", "http_code", "final_url", F.md5("body").alias("body_md5"))
 
 
 @query("v1_status_class", _BASE + """SELECT page_id, CASE WHEN http_code IN (404, 410) THEN 'EXPIRED' WHEN http_code NOT IN (200, 301, 302) THEN 'UNVERIFIABLE' END AS shell,

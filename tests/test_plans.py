@@ -28,15 +28,22 @@ def test_landing_to_report(spark, tmp_path):
     assert {r.company for r in a.collect()} == {"Acme", "Acme Inc", "Bread"}
     pages = spark.createDataFrame([("https://f/1", 200, "https://f/1", "open")], "url string, http_code int, final_url string, body string")
     profile = spark.createDataFrame(
-        [("p", ["python"], ["senior"], ["finance"], ["data"], [], ["remote", "onsite"], ["sql"], ["crypto"], ["finance"], ["finance"])],
+        [("p", ["python"], ["senior"], ["finance"], ["data"], [], ["remote", "onsite"], ["sql"], ["crypto"])],
         "profile_id string, skills array<string>, seniority_targets array<string>, sectors array<string>, keywords array<string>, exclude_keywords array<string>, "
-        "work_modes array<string>, value_terms array<string>, dealbreaker_terms array<string>, sector_terms array<string>, company_sectors array<string>")
-    out = matching.merge_and_match([a, None, b], ["source", "id"], pages, profile, ["python", "sql"], F.lit("2024-04-01").cast("date"))
+        "work_modes array<string>, value_terms array<string>, dealbreaker_terms array<string>")
+    companies = spark.createDataFrame([("ACME Ltd.", ["finance", "tools"]), ("Other", ["health"])], "name string, sectors array<string>")
+    terms = spark.createDataFrame([("finance", "title", "bank"), ("finance", "description", "ledger"), ("finance", "exclude", "data"), ("health", "title", "nurse")], "sector string, kind string, keyword string")
+    out = matching.merge_and_match([a, None, b], ["source", "id"], pages, profile, ["python", "sql"], F.lit("2024-04-01").cast("date"), companies, terms)
     got = {r.url: r.verification_status for r in out.listings.collect()}
     assert got == {"https://g/1": "GUARANTEED", "https://f/1": "VERIFIED"}
     assert [r.source for r in out.duplicates.alternates.collect()] == ["remotive"]
     scores = {r.url: r.match_score for r in out.scored.collect()}
     # skills 15 of 30, level 20, shared sector 20, mode 15, values 10, recency 5
     assert scores["https://g/1"] == 85.0
+    # no sector: nothing of the company or the text belongs to finance
+    sectors = {r.url: (r.score_sector, r.rank) for r in out.scored.collect()}
+    assert sectors == {"https://g/1": (20.0, 1), "https://f/1": (0.0, 1)}
+    listed = {r.url: (r.place, list(r.tags), [a.source for a in r.alternate_sources]) for r in out.listings.collect()}
+    assert listed["https://g/1"] == (0, ["x"], ["remotive"]) and listed["https://f/1"][0] == 1
     sinks.write_report(out.sections, str(tmp_path / "report"))
     assert spark.read.parquet(str(tmp_path / "report" / "pool")).first().small_pool

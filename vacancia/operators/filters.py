@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacancia.functions.text import blank_to_null, contains_any, count_found, lowered, searchable_text, terms_found
+from vacancia.operators.order import rank_within
 
 FRESH_DAYS, EXPIRED_DAYS = 60, 90
 
@@ -133,9 +134,13 @@ class SourceQuery:
     level: str | None = None
     location: str | None = None
     equal: dict[str, str] = field(default_factory=dict)
+    limit: int | None = None  # rows of each source on a page
+    page: int = 0
 
 
-def source_query(df: DataFrame, q: SourceQuery) -> DataFrame:
+def source_query(df: DataFrame, q: SourceQuery, *position: Column | str) -> DataFrame:
+    """The listings a source would have sent; with a limit, `position` is the order its rows are counted in."""
+
     def has(column, value):
         return F.exists(column, lambda x: F.lower(x) == value.lower())
 
@@ -150,4 +155,8 @@ def source_query(df: DataFrame, q: SourceQuery) -> DataFrame:
             df = df.filter(F.contains(lowered("location"), F.lit(place.lower())))
     for column, value in q.equal.items():
         df = df.filter(blank_to_null(column) == value)
-    return df
+    if q.limit is None:
+        return df
+    order = [F.col(p) if isinstance(p, str) else p for p in position]
+    ranked = rank_within(df, ["source"], order, "_n", q.limit * (q.page + 1))
+    return ranked.filter(F.col("_n") > q.limit * q.page).drop("_n")

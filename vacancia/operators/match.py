@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.functions.infer import SENIORITY_ORDER, source_priority
+from vacancia.functions.infer import SENIORITY_ORDER, company_key, source_priority
 from vacancia.functions.text import lowered, searchable_text, terms_found
 from vacancia.operators.filters import keyword_score
 from vacancia.operators.order import rank_within
@@ -45,6 +45,22 @@ def profile_keywords(profiles: DataFrame, sector_keywords: DataFrame) -> DataFra
     return own.unionByName(sectors.join(title_terms, "sector").select("profile_id", "keyword")).distinct()
 
 
+def with_company_sectors(listings: DataFrame, companies: DataFrame) -> DataFrame:
+    """Add `company_sectors`: the sectors of the companies whose name has the listing's company key."""
+    known = companies.select(company_key("name").alias("_ck"), F.explode("sectors").alias("s")).filter("_ck <> ''")
+    known = known.groupBy("_ck").agg(F.sort_array(F.collect_set("s")).alias("company_sectors"))
+    joined = listings.withColumn("_own", company_key("company")).join(known, F.col("_own") == F.col("_ck"), "left")
+    return joined.drop("_own", "_ck").withColumn("company_sectors", F.coalesce("company_sectors", F.array().cast("array<string>")))
+
+
+def with_sector_terms(profiles: DataFrame, sector_keywords: DataFrame) -> DataFrame:
+    """Add `sector_terms`: the title and description terms of a profile's sectors."""
+    wanted = profiles.select("profile_id", F.explode("sectors").alias("sector"))
+    terms = wanted.join(sector_keywords.filter(F.col("kind") != "exclude"), "sector")
+    terms = terms.groupBy("profile_id").agg(F.sort_array(F.collect_set("keyword")).alias("sector_terms"))
+    return profiles.join(terms, "profile_id", "left").withColumn("sector_terms", F.coalesce("sector_terms", F.array().cast("array<string>")))
+
+
 def with_required_skills(listings: DataFrame, dictionary: Sequence[str]) -> DataFrame:
     """Add `search_text` and `required_skills`: dictionary skills that are substrings of the text, in dictionary order.
 

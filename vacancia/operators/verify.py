@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.functions.text import contains_any, first_phrase, lowered
+from vacancia.functions.text import blank_to_null, contains_any, first_phrase, lowered
 
 # Notices of a closed listing, in the order they are tried.
 EXPIRED_PHRASES = [
@@ -98,18 +98,19 @@ def check_pages(pages: DataFrame, variant: str = "shell") -> DataFrame:
 
 
 def join_checks(listings: DataFrame, checks: DataFrame) -> DataFrame:
-    """Listings with the check of their address; board listings skip the join.
+    """Listings with the check of their address, in one pass; board listings and blank addresses meet no check.
 
-    One check per address: several checks of one address count as the worst of them.
+    Those get a key of their own in place of the address, so that they are dealt out evenly. One check per
+    address: several checks of one address count as the worst of them.
     """
     severity = F.when(F.col("status") == "EXPIRED", 0).when(F.col("status") == "UNVERIFIABLE", 1).otherwise(2)
-    per_url = checks.groupBy("url").agg(
+    per_url = checks.filter(blank_to_null("url").isNotNull()).groupBy(F.col("url").alias("_url")).agg(
         F.min_by("status", severity).alias("check_status"), F.min_by("reason", severity).alias("check_reason")
     )
-    guaranteed = F.col("verification_status") == "GUARANTEED"
-    sure = listings.filter(guaranteed).select("*", F.lit(None).cast("string").alias("check_status"), F.lit(None).cast("string").alias("check_reason"))
-    open_question = listings.filter(~F.coalesce(guaranteed, F.lit(False))).join(per_url, "url", "left")
-    return sure.unionByName(open_question)
+    unchecked = F.coalesce(F.col("verification_status") == "GUARANTEED", F.lit(False)) | blank_to_null("url").isNull()
+    own = F.concat(F.lit("\u0000"), F.xxhash64("source", "source_id", "title").cast("string"))
+    keyed = listings.withColumn("_key", F.when(unchecked, own).otherwise(F.col("url")))
+    return keyed.join(per_url, F.col("_key") == F.col("_url"), "left").drop("_key", "_url")
 
 
 def merge_status(listings: DataFrame, checks: DataFrame) -> DataFrame:

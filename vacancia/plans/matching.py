@@ -1,7 +1,7 @@
 """Whole runs: board scan, feed scan, and the merge that leads to scores and a report.
 
-Each function returns lazy frames; the only work done on the way is deduplication, whose steps depend on
-one another.
+The scans return lazy frames. The merge works on the way: deduplication, whose steps depend on one another,
+and the two tables that every section reads.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from vacancia.operators import dedup, match, report, verify
 from vacancia.operators.filters import SearchConfig, drop_stale, filter_and_score
 from vacancia.schema import API_SOURCES, ATS_SOURCES
+from vacancia.session import materialize
 from vacancia.sources import feeds, landing, mappings
 
 
@@ -32,33 +33,46 @@ def scan_feeds(spark: SparkSession, landing_path: str, cfg: SearchConfig) -> Dat
     return filter_and_score(mappings.normalize(feeds.as_payloads(items), "rss"), cfg)
 
 
+def _scored_column(listings: DataFrame) -> DataFrame:
+    """Listings that no keyword score was made for sort as if it were 0."""
+    if "preliminary_relevance_score" in listings.columns:
+        return listings
+    return listings.withColumn("preliminary_relevance_score", F.lit(0.0))
+
+
 @dataclass(frozen=True)
 class Matched:
-    listings: DataFrame      # verified, dated survivors
+    listings: DataFrame      # verified, dated survivors with merged tags, alternates and `place` in the final order
     duplicates: dedup.Deduplicated
-    scored: DataFrame        # listing-profile pairs with scores and tiers
+    scored: DataFrame        # listing-profile pairs with scores, tiers and, where tiered, rank
     sections: dict[str, DataFrame]
 
 
 def merge_and_match(channels: list[DataFrame | None], position: list[Column | str], pages: DataFrame, profiles: DataFrame,
-                    skills: list[str], as_of: Column) -> Matched:
-    """Union, deduplicate, verify, drop the old, score against the profiles, and count for the report.
+                    skills: list[str], as_of: Column, companies: DataFrame, sector_keywords: DataFrame) -> Matched:
+    """Union, deduplicate, verify, drop the old, score against the profiles, rank, and count for the report.
 
-    `profiles` carries the columns `match_score` needs, `sector_terms` and `company_sectors` among them.
+    A listing has the sectors of the company of its name in `companies`; a profile's sector terms are those
+    `sector_keywords` has for its sectors. Listings and scores are written once, as every section reads them.
     """
     merged = report.union_channels(*channels)
     deduplicated = dedup.deduplicate(merged, *position)
-    live = verify.merge_status(deduplicated.survivors, verify.check_pages(pages))
-    current = drop_stale(live, as_of)
-    pairs = match.listing_profile_pairs(match.with_required_skills(current, skills), profiles)
-    scored = match.match_score(match.meets_dealbreakers(pairs), as_of)
-    ranked = scored.filter(F.col("tier").isNotNull())
+    whole = dedup.nested(deduplicated).filter("chunk = 0").drop("chunk")
+    live = verify.merge_status(whole, verify.check_pages(pages))
+    placed = dedup.final_position(drop_stale(_scored_column(live), as_of))
+    current = materialize(placed, "current")
+    offered = match.with_company_sectors(match.with_required_skills(current, skills), companies)
+    pairs = match.listing_profile_pairs(offered, match.with_sector_terms(profiles, sector_keywords))
+    points = materialize(match.match_score(match.meets_dealbreakers(pairs), as_of), "scored")
+    ranks = match.rank_in_tier(points.select("profile_id", "tier", "match_score", "source", "place"), position="place")
+    scored = points.join(ranks.select("profile_id", "place", "rank"), ["profile_id", "place"], "left")
+    ranked = points.filter(F.col("tier").isNotNull())
     sections = {
         "sources": report.sources_scanned(current),
         "verification": report.verification_counts(current),
         "salaries": report.salary_ranges(current),
         "demand": report.keyword_demand(current),
-        "tiers": report.tier_counts(scored),
+        "tiers": report.tier_counts(points),
         "gaps": report.skill_gaps(match.missing_skills(ranked, profiles)),
         "channels": report.channel_totals(current),
         "coverage": report.source_coverage(current),

@@ -20,8 +20,7 @@ _ATOM_SCHEMA = (
 )
 
 
-def _elements(spark: SparkSession, path: str, row: str, schema: str, glob: str) -> DataFrame:
-    """Elements of every well-formed feed file; a file that breaks off anywhere gives none."""
+def _raw_elements(spark: SparkSession, path: str, row: str, schema: str, glob: str) -> DataFrame:
     raw = (
         spark.read.format("xml").schema(schema + ", _broken string").option("rowTag", row)
         .option("ignoreNamespace", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken")
@@ -29,11 +28,43 @@ def _elements(spark: SparkSession, path: str, row: str, schema: str, glob: str)
         .load(path).select("*", F.col("_metadata.file_path").alias("file"))
     )
     # The reader refuses a scan of the broken column alone, so a data column is looked at as well.
-    raw = raw.filter("coalesce(size(title), 0) >= 0")
-    broken = raw.filter("_broken IS NOT NULL").select("file").distinct()
+    return raw.filter("coalesce(size(title), 0) >= 0")
+
+
+def _elements(spark: SparkSession, path: str, row: str, schema: str, glob: str) -> DataFrame:
+    """Elements of every well-formed feed file; a file that breaks off anywhere gives none.
+
+    An element that cannot be read marks its file, and so does a root that is never closed.
+    """
+    raw = _raw_elements(spark, path, row, schema, glob)
+    broken = raw.filter("_broken IS NOT NULL").select("file").union(_unclosed(spark, path, glob).select("file")).distinct()
     return raw.filter("_broken IS NULL").drop("_broken").join(broken, "file", "left_anti")
 
 
+# From the prolog over the root's name to the same name closing the document.
+_CLOSED = r"(?s)^\uFEFF?(?:\s|<\?.*?\?>|<!--.*?-->|<!\w[^>]*>)*+<([\w:.-]+)[^>]*>.*</\1\s*>(?:\s|<!--.*?-->)*+$"
+
+
+def _unclosed(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """file, reason of feed files that are blank or whose root element is not closed at their end."""
+    whole = (
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("ignoreMissingFiles", "true")
+        .text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    )
+    reason = F.when(strip_ws("value") == "", "empty").when(~F.rlike("value", F.lit(_CLOSED)), "broken XML")
+    return whole.select("file", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def rejects(spark: SparkSession, path: str, glob: str = FEED_FILES) -> DataFrame:
+    """file, reason of feed files that give no items because they cannot be read as XML."""
+    schemas = (("item", _RSS_SCHEMA), ("entry", _ATOM_SCHEMA))
+    bad = _unclosed(spark, path, glob)
+    for row, schema in schemas:
+        raw = _raw_elements(spark, path, row, schema, glob).filter("_broken IS NOT NULL")
+        bad = bad.union(raw.select("file", F.lit("broken XML").alias("reason")))
+    return bad.groupBy("file").agg(F.max("reason").alias("reason"))
+
+
 def _texts(c: str) -> Column:
     return F.transform(F.coalesce(c, F.expr("cast(array() as array<struct<_VALUE:string>>)")), lambda x: strip_ws(F.coalesce(x["_VALUE"], F.lit(""))))
 
