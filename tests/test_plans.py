@@ -26,6 +26,8 @@ def test_landing_to_report(spark, tmp_path):
     cfg = SearchConfig(["data", "python"], ["senior"])
     a, b = matching.scan_boards(spark, str(boards), str(manifest), cfg), matching.scan_feeds(spark, str(feeds_dir), cfg)
     assert {r.company for r in a.collect()} == {"Acme", "Acme Inc", "Bread"}
+    plan = a._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" not in plan and "FileScan json" not in plan and plan.count("PartitionFilters: [isnotnull(source") == len(matching.ATS_SOURCES + matching.API_SOURCES)
     pages = spark.createDataFrame([("https://f/1", 200, "https://f/1", "open")], "url string, http_code int, final_url string, body string")
     profile = spark.createDataFrame(
         [("p", ["python"], ["senior"], ["finance"], ["data"], [], ["remote", "onsite"], ["sql"], ["crypto"])],

@@ -19,10 +19,14 @@ from vacancia.sources import feeds, landing, mappings
 
 
 def scan_boards(spark: SparkSession, landing_path: str, manifest_path: str, cfg: SearchConfig, sources=ATS_SOURCES + API_SOURCES) -> DataFrame:
-    """Landed board and search responses to scored listings, companies filled in from the manifest."""
+    """Landed board and search responses to scored listings, companies filled in from the manifest.
+
+    Files and manifest are read once, into a folder for each source, so every mapping reads its own documents only.
+    """
     manifest = landing.scan_manifest(spark, manifest_path)
-    docs = landing.join_manifest(landing.parse_payloads(landing.scan_payloads(spark, landing_path)), manifest)
-    listings = mappings.normalize_all(docs.withColumnRenamed("company", "fallback_company"), sources)
+    docs = materialize(landing.join_manifest(landing.scan_payloads(spark, landing_path), manifest), "payloads", "source")
+    docs = landing.parse_payloads(docs.withColumnRenamed("company", "fallback_company"))
+    listings = mappings.normalize_all(docs, sources)
     named = mappings.with_company_fallback(listings)
     return filter_and_score(named, cfg)
 

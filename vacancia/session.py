@@ -65,12 +65,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/vacancia/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back.
+def materialize(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """Write `df` to the shared folder and read it back; `folders` are columns that become partition folders.
 
     The result survives lost executors, has no lineage, and carries file sizes, so Spark's own
     size-checked broadcast rule applies to it in later joins.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
