@@ -24,6 +24,7 @@ from vacancia.llm.common import stored
 WINDOW, PHRASE = 35, 8
 SHARD = 2000  # stretches of text in a shard, and in an automaton, about; an anchor with more is dealt to several
 VOCABULARY = 400_000  # words a task remembers before it starts afresh
+OUTPUT = 4 << 20  # characters of text in an Arrow batch, about
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -101,15 +102,17 @@ def anchored(rows: DataFrame, window: int, phrase: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known, parts = vocabulary(), []
-            for doc_id, row, text in zip(*(batch.column(c) for c in ("doc_id", "row", "text")), strict=True):
+            known, index, found = vocabulary(), [], []
+            for i, text in enumerate(batch.column("text")):
                 words = text.as_py().encode().split()
-                if len(words) < window:
-                    continue
-                starts, counts, anchors = stretches(known.hashed(words), window, phrase)
-                same = [pa.array([x.as_py()], pa.int64()).take(pa.array(np.zeros(len(starts), np.int64))) for x in (doc_id, row)]
-                parts.append(pa.RecordBatch.from_arrays([*same, pa.array(starts, pa.int32()), pa.array(counts, pa.int32()), pa.array(anchors)], ["doc_id", "row", "start", "n", "anchor"]))
-            yield from parts
+                if len(words) >= window:
+                    index.append(i)
+                    found.append(stretches(known.hashed(words), window, phrase))
+            if found:
+                starts, counts, anchors = (np.concatenate(x) for x in zip(*found, strict=True))
+                at = pa.array(np.repeat(index, [len(x[0]) for x in found]))
+                same = [batch.column(c).take(at) for c in ("doc_id", "row")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(starts, pa.int32()), pa.array(counts, pa.int32()), pa.array(anchors)], ["doc_id", "row", "start", "n", "anchor"])
 
     return rows.select("doc_id", "row", "text").mapInArrow(run, _STRETCH)
 
@@ -118,16 +121,25 @@ def with_words(rows: DataFrame, hits: DataFrame, window: int) -> DataFrame:
     """_TEXTS rows: the words under the windows of every stretch in `hits` (doc, copies of its anchor)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "row", "start", "n", "anchor", "copies", "words"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
         for batch in batches:
+            found, size = [], 0
             for row in batch.to_pylist():
                 words = row["text"].encode().split()
-                found = sorted(((h["start"], h["n"], h["anchor"], h["copies"]) for h in row["hits"]), key=lambda h: h[0])
-                texts = [b" ".join(words[s : s + n + window - 1]).decode() for s, n, _, _ in found]
-                start, n, anchor, copies = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["doc_id"]] * len(found), pa.int64()), pa.array([row["row"]] * len(found), pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(anchor, pa.int64()), pa.array(copies, pa.int64()), pa.array(texts)],
-                    ["doc_id", "row", "start", "n", "anchor", "copies", "words"],
-                )
+                for h in sorted(row["hits"], key=lambda h: h["start"]):
+                    text = b" ".join(words[h["start"] : h["start"] + h["n"] + window - 1]).decode()
+                    found.append((row["doc_id"], row["row"], h["start"], h["n"], h["anchor"], h["copies"], text))
+                    size += len(text)
+                if size > OUTPUT:
+                    yield batch_of(found)
+                    found, size = [], 0
+            if found:
+                yield batch_of(found)
 
     by_doc = hits.groupBy("doc").agg(F.collect_set(F.struct("start", "n", "anchor", "copies")).alias("hits"))
     keyed = rows.select(F.struct("doc_id", "row").alias("doc"), "text")
