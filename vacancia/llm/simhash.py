@@ -71,10 +71,10 @@ def similar(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     and what then shares both variants differs in 18 given bits only.
     """
     keys = F.concat(_variants(_cut(F.col("fp"), 32, 32), 32, 0), _variants(_cut(F.col("fp"), 32, 0), 32, 32))
-    rows = stored(fps.select("fp", F.explode(keys).alias("key")), "simhash-variants")
+    rows = fps.select("fp", F.explode(keys).alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = stored(sizes, "simhash-shared")
-    rows = stored(rows.join(shared, "key"), "simhash-candidates")
+    # A merge join whatever the size of `shared`: it grows with the corpus, and one plan holds at every size.
+    rows = stored(rows.join(stored(sizes, "simhash-shared").hint("merge"), "key"), "simhash-candidates")
     few, many = rows.filter(F.col("n") <= bucket), rows.filter(F.col("n") > bucket)
     other = F.when(F.shiftright("key", 37) == 0, F.col("fp")).otherwise(F.shiftrightunsigned("fp", 32))
     quarters = F.concat(_variants(_cut(other, 16, 16), 16, 0), _variants(_cut(other, 16, 0), 16, 16))
