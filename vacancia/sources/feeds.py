@@ -77,6 +77,11 @@ def _first(c: str, field: str = "_VALUE") -> Column:
     return F.coalesce(F.get(F.transform(c, lambda x: x[field]), F.lit(0)), F.lit(""))
 
 
+def _joined_categories() -> Column:
+    """Categories with ", " between; blank ones before the first filled one leave no mark."""
+    return F.aggregate(_texts("category"), F.lit(""), lambda a, x: F.when(a == "", x).otherwise(F.concat(a, F.lit(", "), x)))
+
+
 def _items(df: DataFrame) -> DataFrame:
     """Known fields, company taken from the headline, and the file the item came from."""
     return df.withColumn("company", company_from_title("title")).select("file", *FIELDS)
@@ -87,7 +92,7 @@ def scan_rss(spark: SparkSession, path: str, glob: str = FEED_FILES) -> DataFram
     raw = _elements(spark, path, "item", _RSS_SCHEMA, glob)
     return _items(raw.select(
         "file", *[_last(c).alias(c) for c in ("title", "link", "pubDate", "description")],
-        F.array_join(F.filter(_texts("category"), lambda x: x != ""), ", ").alias("category"),
+        _joined_categories().alias("category"),
         F.coalesce(blank_to_null(_last("creator")), _last("author")).alias("author"),
         F.coalesce(blank_to_null(_last("region")), _last("location")).alias("location"),
     ))
