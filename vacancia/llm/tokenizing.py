@@ -10,15 +10,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import regex
 
-MEMO_CHUNKS = 300_000  # a memo that grows beyond is emptied: it saves time, never changes a result
+MEMO_SIZE = 250_000  # entries of a memo's generation; it saves time, never changes a result
 
-_CHUNK = regex.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
-_WORD = regex.compile(r"[^\x20\x09-\x0D]+")
+_CHUNK = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 _OTHER = regex.compile(r"[^\x20-\x7E\xA1-\xFF\x09-\x0D]|<\|")  # also what may begin a special token
 # Fixed value: the pattern that byte-level tokenizers use unless their file names another.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -37,12 +38,26 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+class Memo(dict):
+    """Results of `make` by key. A full generation becomes the old one, from which what is asked again returns."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= MEMO_SIZE:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(key)
+        found = self[key] = self.make(key) if found is None else found
+        return found
+
+
 class Encoder:
     """`ids(text)`: the library's ids, without added ones, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        self.memo: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.chunks, self.pieces = Memo(self.of_chunk), Memo(self.of_piece)
         self.pattern = self.model = None
         if path.endswith(".model"):
             import sentencepiece
@@ -65,12 +80,12 @@ class Encoder:
         if not all(x["content"].startswith("<|") for x in file["added_tokens"]) or file["model"]["type"] != "BPE":
             return
         if not norm and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
-            self.lower, self.chunk, pattern = False, _CHUNK, BYTE_PATTERN
+            self.lower, self.taken_apart, pattern = False, _CHUNK.findall, BYTE_PATTERN
         elif [x["type"] for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"] and norm["normalizers"][1]["content"] == " ":
             split, level = pre["pretokenizers"]
             if split["behavior"] != "Removed" or not split["invert"] or level["use_regex"] or level["add_prefix_space"] or r"[^\s" not in split["pattern"]["Regex"]:
                 return
-            self.lower, self.chunk, pattern = True, _WORD, split["pattern"]["Regex"]
+            self.lower, self.taken_apart, pattern = True, str.split, split["pattern"]["Regex"]
         else:
             return
         self.pattern, self.model = regex.compile(pattern), self.library.model
@@ -79,27 +94,18 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if self.model is None or _OTHER.search(text):
             return self.whole(text)
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo.clear()
-        memo, found = self.memo, []
-        for chunk in self.chunk.findall(text):
-            ids = memo.get(chunk)
-            if ids is None:
-                ids = memo[chunk] = self.of_chunk(chunk)
-            found.append(ids)
-        return b"".join(found)
+        return b"".join(map(self.chunks.__getitem__, self.taken_apart(text)))
 
     def of_chunk(self, chunk: str) -> bytes:
-        pieces, found = self.pieces, []
-        if len(pieces) > MEMO_CHUNKS:
-            pieces.clear()
-        for piece in self.pattern.findall(chunk.lower() if self.lower else chunk):
-            ids = pieces.get(piece)
-            if ids is None:
-                letters = piece.encode().decode("latin-1").translate(self.letters)
-                ids = pieces[piece] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-            found.append(ids)
-        return b"".join(found)
+        if self.lower:
+            chunk = chunk.lower()
+        if chunk.isalpha() or chunk[0] == " " and chunk[1:].isalpha():
+            return self.pieces[chunk]  # letters, at most one blank before them: a single piece
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk)))
+
+    def of_piece(self, piece: str) -> bytes:
+        letters = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
 
 @lru_cache(maxsize=2)
