@@ -326,3 +326,15 @@ def test_huffman_round_trip():
         assert (huffman.unpack(data, n, checks, huffman.decoding_table(lengths)) == ids).all()
     steep = huffman.code_lengths(np.array([2**i for i in range(40)] + [0]), 8)
     assert steep.max() == 8 and steep[40] == 0 and sum(2.0 ** -int(x) for x in steep[:40]) == 1
+
+
+def test_scratch_tables_are_discarded(spark, awkward):
+    from vacancia.llm.common import discard, stored
+
+    kept, gone = stored(awkward, "test-kept"), stored(awkward, "test-gone")
+    discard(gone)
+    assert kept.count() == awkward.count()
+    with pytest.raises(Exception):
+        spark.read.parquet(gone.inputFiles()[0].rsplit("/", 1)[0]).count()
+    with pytest.raises(ValueError):
+        discard(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.llm.common import stored
+from vacancia.llm.common import discard, stored
 
 WINDOW, PHRASE = 35, 8
 SHARD = 2000  # stretches of text in a shard, and in an automaton, about; an anchor with more is dealt to several
@@ -29,7 +29,7 @@ OUTPUT = 4 << 20  # characters of text in an Arrow batch, about
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STRETCH = "doc_id long, row long, start int, n int, anchor long"
-_TEXTS = _STRETCH + ", copies long, words string"
+_TEXTS = _STRETCH + ", copies long, words string, passages array<long>"
 
 
 class Words(dict):
@@ -118,22 +118,27 @@ def anchored(rows: DataFrame, window: int, phrase: int) -> DataFrame:
 
 
 def with_words(rows: DataFrame, hits: DataFrame, window: int) -> DataFrame:
-    """_TEXTS rows: the words under the windows of every stretch in `hits` (doc, copies of its anchor)."""
+    """_TEXTS rows: words and hashes of the windows of every stretch in `hits` (doc, copies of its anchor)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "row", "start", "n", "anchor", "copies", "words"]
+        names = ["doc_id", "row", "start", "n", "anchor", "copies", "words", "passages"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            *plain, passages = zip(*rows, strict=True)
+            ends = np.cumsum([0, *map(len, passages)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(passages)))
+            return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(plain, kinds, strict=True)], lists], names)
 
         for batch in batches:
-            found, size = [], 0
+            found, size, known = [], 0, vocabulary()
             for row in batch.to_pylist():
                 words = row["text"].encode().split()
+                passages = gram_hashes(known.hashed(words), window).view(np.int64)
                 for h in sorted(row["hits"], key=lambda h: h["start"]):
                     text = b" ".join(words[h["start"] : h["start"] + h["n"] + window - 1]).decode()
-                    found.append((row["doc_id"], row["row"], h["start"], h["n"], h["anchor"], h["copies"], text))
+                    own = passages[h["start"] : h["start"] + h["n"]]
+                    found.append((row["doc_id"], row["row"], h["start"], h["n"], h["anchor"], h["copies"], text, own))
                     size += len(text)
                 if size > OUTPUT:
                     yield batch_of(found)
@@ -146,22 +151,23 @@ def with_words(rows: DataFrame, hits: DataFrame, window: int) -> DataFrame:
     return keyed.join(by_doc, "doc").select("doc.doc_id", "doc.row", "text", "hits").mapInArrow(run, _TEXTS)
 
 
-def window_hashes(texts: DataFrame, window: int) -> DataFrame:
-    """anchor, passage (hash of the window's words) of every window under the given stretches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known = vocabulary()
-            hashes = [gram_hashes(known.hashed(t.as_py().encode().split()), window).view(np.int64) for t in batch.column("words")]
-            anchors = np.repeat(batch.column("anchor").to_numpy(), [len(h) for h in hashes])
-            yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(np.concatenate(hashes))], ["anchor", "passage"])
-
-    return texts.select("anchor", "words").mapInArrow(run, "anchor long, passage long")
+def windows_of(texts: list[str], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of several texts at once: numbers of all words, words in each text, and place and hash of every window."""
+    known, words, sizes = vocabulary(), [], []
+    for text in texts:
+        own = text.encode().split()
+        words += own
+        sizes.append(len(own))
+    numbers, sizes = known.numbers(words), np.array(sizes)
+    counts = sizes - window + 1
+    at = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    return numbers, sizes, at, gram_hashes(known.hashes[numbers], window)[at].view(np.int64)
 
 
-def recurring(texts: DataFrame, window: int) -> DataFrame:
+def recurring(texts: DataFrame) -> DataFrame:
     """anchor, passage of the windows whose words stand at two places or more."""
-    counts = window_hashes(texts, window).groupBy("anchor", "passage").agg(F.count("*").alias("n"))
+    windows = texts.select("anchor", F.explode("passages").alias("passage"))
+    counts = windows.groupBy("anchor", "passage").agg(F.count("*").alias("n"))
     return stored(counts.filter("n > 1").select("anchor", "passage"), "repeat-passages", "zstd")
 
 
@@ -174,41 +180,32 @@ def letters(numbers: np.ndarray) -> str:
 def locate(rows: list[tuple], passages: np.ndarray, window: int) -> Iterator[tuple]:
     """(doc_id, row, first word, word behind the last) of what recurring passages cover in (doc_id, row, start, anchor, words) rows.
 
-    Compiles the automaton of the recurring passages of these rows, a word being a letter, and runs all
-    their text through it. `passages` is a sorted array of mixed (anchor, passage) keys.
+    Windows that recur, as `passages` (a sorted array of `passage_keys`) says, and follow each other make one
+    passage. The automaton of all passages of these rows, a word being a letter, runs over all their text.
     """
-    known = vocabulary()
-    numbers = [known.numbers(r[4].encode().split()) for r in rows]
-    sizes = np.array([len(x) for x in numbers])
-    every, ends = np.concatenate(numbers), np.cumsum(sizes)
-    begins = ends - sizes
-    _, local = np.unique(every, return_inverse=True)
-    text = letters(local)
-    hashes = np.concatenate([gram_hashes(known.hashes[x], window).view(np.int64) for x in numbers])
-    counts = sizes - window + 1
-    keys = passage_keys(np.repeat(np.array([r[3] for r in rows], np.int64), counts), hashes)
-    at = np.repeat(begins, counts) + np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts)
-    place = np.searchsorted(passages, keys)
-    recurs = passages[np.minimum(place, len(passages) - 1)] == keys
-    _, first = np.unique(keys[recurs], return_index=True)
-    if not len(first):
+    numbers, sizes, at, hashes = windows_of([r[4] for r in rows], window)
+    text = letters(np.unique(numbers, return_inverse=True)[1])
+    ends = np.cumsum(sizes)
+    keys = passage_keys(np.repeat(np.array([r[3] for r in rows], np.int64), sizes - window + 1), hashes)
+    recurs = at[passages[np.minimum(np.searchsorted(passages, keys), len(passages) - 1)] == keys]
+    if not len(recurs):
         return
+    # Windows of different rows are never neighbours: the last words of a row begin none.
+    cuts = np.flatnonzero(np.diff(recurs) > 1)
+    firsts, lasts = recurs[np.concatenate([[0], cuts + 1])], recurs[np.concatenate([cuts, [len(recurs) - 1]])]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for i in at[recurs][first].tolist():
-        automaton.add_word(text[i : i + window])
+    for passage in {text[i : j + window] for i, j in zip(firsts.tolist(), lasts.tolist(), strict=True)}:
+        automaton.add_word(passage)
     automaton.make_automaton()
-    for row, begin, end in zip(rows, begins.tolist(), ends.tolist(), strict=True):
-        open_at = open_to = None
-        for last, _ in automaton.iter(text, begin, end):
-            start = row[2] + last - begin - window + 1
-            if open_to is not None and start <= open_to:
-                open_to = start + window
-                continue
-            if open_to is not None:
-                yield row[0], row[1], open_at, open_to
-            open_at, open_to = start, start + window
-        if open_to is not None:
-            yield row[0], row[1], open_at, open_to
+    for row, begin, end in zip(rows, (ends - sizes).tolist(), ends.tolist(), strict=True):
+        spans: list[list[int]] = []
+        for first, behind in sorted((last + 1 - length, last + 1) for last, length in automaton.iter(text, begin, end)):
+            if spans and first <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], behind)
+            else:
+                spans.append([first, behind])
+        for first, behind in spans:
+            yield row[0], row[1], row[2] + first - begin, row[2] + behind - begin
 
 
 def passage_keys(anchors: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -305,5 +302,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     shared = stored(places.groupBy("anchor").agg(F.count("*").alias("copies")).filter("copies > 1"), "repeat-shared")
     hits = places.join(shared, "anchor").select(F.struct("doc_id", "row").alias("doc"), "start", "n", "anchor", "copies")
     texts = stored(with_words(rows, hits, window), "repeat-texts", "zstd")
-    covered = stored(occurrences(texts, recurring(texts, window), window, shard), "repeat-covered")
+    for done in (places, shared):
+        discard(done)
+    passages = recurring(texts)
+    covered = stored(occurrences(texts, passages, window, shard), "repeat-covered")
+    for done in (texts, passages):
+        discard(done)
     return cut(rows, covered)
