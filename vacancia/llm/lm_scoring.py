@@ -2,47 +2,95 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.llm.common import WORD, ascii_lower, stored
+from vacancia.llm.common import discard, stored
+from vacancia.llm.repeats import vocabulary
 
 BACKOFF = 0.4
 LEAST = 2  # a pair of words seen less often gives no evidence: its second word is scored alone
 SLICES = 4  # hash ranges of pairs, counted and joined one after another: shuffles hold one at a time
-START = ""  # stands before a document's first word; no word is empty
+START = np.uint64(xxhash.xxh64_intdigest(b""))  # stands before a document's first word; no word is empty
 
 
-def _words() -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0))
+def _hashed(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Hashes of each document's words, A-Z as a-z."""
+    known = vocabulary()
+    return [known.hashed((text.as_py() or "").encode().lower().split()) for text in batch.column("text")]
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words().alias("words"))
+def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return before ^ ((word << np.uint64(1)) | (word >> np.uint64(63)))
+
+
+def _pair_column() -> Column:
+    """`_pair` on the columns before and word."""
+    return F.col("before").bitwiseXOR(F.shiftleft("word", 1).bitwiseOR(F.shiftrightunsigned("word", 63)))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word (64-bit hash), n; START counts once per document that has words. Stored, dealt by hash."""
-    words = _rows(docs).filter(F.size("words") > 0).select(F.explode(F.concat(F.array(F.lit(START)), "words")).alias("w"))
-    return stored(words.groupBy(F.xxhash64("w").alias("word")).agg(F.count("*").alias("n")), "lm-words")
+    """word (64-bit hash), n; START counts once per document that has words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = _hashed(batch)
+            starts = np.full(sum(len(h) > 0 for h in hashes), START)
+            words, counts = np.unique(np.concatenate([starts, *hashes]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts.astype(np.int64))], ["word", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "word long, n long")
+    return stored(counted.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+
+
+def lengths(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words and an empty sum of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [len((text.as_py() or "").encode().split()) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(np.zeros(len(sizes)))], ["doc_id", "n_words", "part"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, n_words long, part double")
+
+
+def pairs(docs: DataFrame, part: int, parts: int, columns: str) -> DataFrame:
+    """`before, word` or `doc_id, pair` (hashes) of every word whose pair's hash falls into one slice."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = _hashed(batch)
+            word = np.concatenate([np.empty(0, np.uint64), *hashes])
+            sizes = np.array([len(h) for h in hashes])
+            before = np.concatenate([[START], word[:-1]]) if len(word) else word
+            before[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
+            pair = _pair(before, word)
+            here = (pair >> np.uint64(17)) % np.uint64(parts) == np.uint64(part)
+            if columns == "before, word":
+                found = [pa.array(x[here].view(np.int64)) for x in (before, word)]
+            else:
+                row = pa.array(np.repeat(np.arange(len(sizes)), sizes)[here])
+                found = [batch.column("doc_id").take(row), pa.array(pair[here].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(found, columns.split(", "))
 
-def pairs(docs: DataFrame, part: int, parts: int) -> DataFrame:
-    """doc_id, pair, before, word (hashes) of every word whose pair's hash falls into one slice."""
-    each = _rows(docs).select("doc_id", "words", F.posexplode("words").alias("at", "w"))
-    before = F.when(F.col("at") == 0, F.lit(START)).otherwise(F.get("words", F.col("at") - 1))
-    each = each.select("doc_id", before.alias("v"), "w")
-    each = each.select("doc_id", F.xxhash64("v", "w").alias("pair"), F.xxhash64("v").alias("before"), F.xxhash64("w").alias("word"))
-    return each.filter(F.pmod(F.col("pair"), F.lit(parts)) == part)
+    return _texts(docs).mapInArrow(run, ", ".join(f"{c} long" for c in columns.split(", ")))
 
 
 def scored_pairs(occurrences: DataFrame, words: DataFrame, total: int, least: int) -> DataFrame:
-    """pair, log_score of each distinct pair: one join, to the count of the context or of the word alone."""
-    counts = occurrences.groupBy("pair").agg(F.count("*").alias("c"), F.min("before").alias("before"), F.min("word").alias("word"))
+    """pair, log_score of each distinct (before, word): one join, to the count of the context or of the word alone."""
+    counts = occurrences.groupBy("before", "word").agg(F.count("*").alias("c"))
     often = F.col("c") >= least
-    asked = counts.select("pair", "c", F.when(often, F.col("before")).otherwise(F.col("word")).alias("asked"))
+    asked = counts.select(_pair_column().alias("pair"), "c", F.when(often, F.col("before")).otherwise(F.col("word")).alias("asked"))
     met = asked.join(words.withColumnRenamed("word", "asked"), "asked")
     score = F.when(often, F.col("c") / F.col("n")).otherwise(F.lit(BACKOFF) * F.col("n") / F.lit(float(total)))
     return met.select("pair", F.log(score).alias("log_score"))
@@ -59,14 +107,14 @@ def score_documents(docs: DataFrame, least: int = LEAST, slices: int = SLICES) -
     into one result row; words of different rows never form a pair. Extra columns are not read.
     """
     words = word_counts(docs)
-    start = F.xxhash64(F.lit(START))
+    start = int(START.view(np.int64))
     total = words.filter(F.col("word") != start).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    sums = [_rows(docs).select("doc_id", F.size("words").cast("long").alias("n_words"), F.lit(0.0).alias("part"))]
+    sums = [lengths(docs)]
     for i in range(slices):
-        occurrences = pairs(docs, i, slices)
-        scores = stored(scored_pairs(occurrences, words, max(total, 1), least), "lm-pairs")
-        met = occurrences.select("doc_id", "pair").join(scores, "pair")
+        scores = stored(scored_pairs(pairs(docs, i, slices, "before, word"), words, max(total, 1), least), "lm-pairs")
+        met = pairs(docs, i, slices, "doc_id, pair").join(scores, "pair")
         sums.append(stored(met.groupBy("doc_id").agg(F.lit(0).cast("long").alias("n_words"), F.sum("log_score").alias("part")), "lm-sums"))
+        discard(scores)
     every = reduce(DataFrame.unionByName, sums).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("part").alias("part"))
     mean = F.when(F.col("n_words") > 0, F.round(F.col("part") / F.col("n_words"), 4))
     return every.select("doc_id", "n_words", (F.round("part", 4) + 0.0).alias("log_score"), mean.alias("mean_log_score"))
