@@ -48,6 +48,16 @@ def _ranked_terms(index: DataFrame, phrases: DataFrame) -> DataFrame:
     return stored(parts.select("key", "size", "off", "term", rank.alias("rank")), "index-phrases")
 
 
+def _lists(index: DataFrame, parts: DataFrame, rank: int) -> DataFrame:
+    """Postings of the terms that have this rank in some phrase.
+
+    The terms are a table of their own, so Spark knows its size: small, it is broadcast and the index is not
+    moved; otherwise a frequent term's postings are dealt out anew as skew.
+    """
+    wanted = stored(parts.filter(F.col("rank") == rank).select("term").distinct(), "index-seeds")
+    return index.join(wanted, "term", "left_semi")
+
+
 def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
     """doc, key (the phrase's terms, blank between), start, size: every place where a phrase stands.
 
@@ -57,12 +67,11 @@ def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
     """
     parts = _ranked_terms(index, phrases)
     seed = parts.filter("rank = 0").select("key", "size", "off", "term")
-    found = index.join(seed, "term").select("doc", "key", "size", (F.col("pos") - F.col("off")).alias("start")).filter("start >= 0")
+    found = _lists(index, parts, 0).join(seed, "term").select("doc", "key", "size", (F.col("pos") - F.col("off")).alias("start")).filter("start >= 0")
     for rank in range(1, SEEDS):
         found = stored(found, "index-candidates")
         with_next = found.filter(F.col("size") > rank).join(parts.filter(F.col("rank") == rank).select("key", "off", "term"), "key")
-        lists = index.join(parts.filter(F.col("rank") == rank).select("term").distinct(), "term", "left_semi")
-        kept = with_next.withColumn("pos", F.col("start") + F.col("off")).join(lists, ["doc", "pos", "term"], "left_semi")
+        kept = with_next.withColumn("pos", F.col("start") + F.col("off")).join(_lists(index, parts, rank), ["doc", "pos", "term"], "left_semi")
         found = kept.select("doc", "key", "size", "start").union(found.filter(F.col("size") <= rank))
     found = stored(found.distinct(), "index-candidates")
     lists = index.join(found.filter(F.col("size") > SEEDS).select("doc").distinct(), "doc", "left_semi")
@@ -82,7 +91,7 @@ def proximity_matches(index: DataFrame, phrases: DataFrame, slop: int) -> DataFr
     parts = _ranked_terms(index, phrases).withColumn("reach", F.col("size") + slop)
     first = parts.groupBy("key", "term", "reach").agg(F.min("rank").alias("rank"))
     kinds = first.groupBy("key").agg(F.count("*").alias("kinds"))
-    seeds = index.join(first.filter("rank = 0").select("key", "term", "reach"), "term").select("doc", "key", "reach", F.col("pos").alias("at"))
+    seeds = _lists(index, parts, 0).join(first.filter("rank = 0").select("key", "term", "reach"), "term").select("doc", "key", "reach", F.col("pos").alias("at"))
     slices = F.explode(F.array(*[F.floor(F.col("at") / F.col("reach")) + i for i in (-1, 0, 1)]))
     wanted = seeds.withColumn("slice", slices).join(first.select("key", "term"), "key")
     reaches = first.select("term", "reach").distinct()
