@@ -1,8 +1,9 @@
 """A corpus from raw documents to token files; every stage reads what the one before it wrote.
 
-A document is known by its doc_id (null is one id): what a stage decides about an id holds for all rows
-that share it. Stages keep all columns of their input, whatever their names, but the last, which returns
-what it read back from the token files. Empty tables go through and give none.
+A document is a row: stages that decide across rows first write their input with a row key and join what
+they decide back on it, so null and repeated doc_ids take no other row with them. Stages keep all columns of
+their input, whatever their names, but the last, which returns what it read back from the token files. Empty
+tables go through and give none.
 """
 
 from __future__ import annotations
@@ -18,9 +19,15 @@ from vacancia.llm.common import configured, stored, table
 from vacancia.session import scratch_path
 
 
-def _by_id(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
-    """Documents joined to `decided` by doc_id; null meets null."""
-    return docs.join(decided, docs["doc_id"].eqNullSafe(decided["_id"]), how)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Written rows: _row (a unique number) and _doc (all columns of the input)."""
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_doc")
+    return stored(docs.select(F.monotonically_increasing_id().alias("_row"), whole), "pipeline-rows", "zstd")
+
+
+def _by_row(keyed: DataFrame) -> DataFrame:
+    """doc_id (the row key), text: for operators that tell rows apart by their id."""
+    return keyed.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,29 +37,32 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id.
-
-    Groups without any id stay: nothing tells their rows apart.
-    """
-    found = simhash.near_duplicates(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return _by_id(docs, kept, "left_semi")
+    """Of each group of near duplicates exactly one row: the one with the smallest doc_id, null last."""
+    keyed = _keyed(docs)
+    found = simhash.near_duplicates(_by_row(keyed)).select(F.col("doc_id").alias("_row"), "component_id")
+    ids = keyed.select("_row", F.col("_doc.doc_id").cast("long").alias("_id"))
+    rows = stored(found.join(ids, "_row"), "pipeline-near")
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_row"))
+    kept = rows.groupBy("component_id").agg(first.alias("_first")).select("_first._row")
+    dropped = stored(rows.select("_row").join(kept, "_row", "left_anti"), "pipeline-dropped")
+    return keyed.join(dropped, "_row", "left_anti").select("_doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    hit = stored(found.filter("contaminated").select(F.col("doc_id").alias("_id")).distinct(), "pipeline-hit")
-    return _by_id(docs, hit, "left_anti")
+    keyed = _keyed(docs)
+    found = decontaminate.contamination(_by_row(keyed), table(spark, sf_dir, "benchmark"))
+    hit = stored(found.filter("contaminated").select(F.col("doc_id").alias("_row")), "pipeline-hit")
+    return keyed.join(hit, "_row", "left_anti").select("_doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix reads it: not at all, or up to three times."""
+    keyed = _keyed(docs)
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    read = mixing.mix(docs).select(F.col("doc_id").alias("_id"), times.alias("_times")).filter("_times > 0")
-    read = stored(read.groupBy("_id").agg(F.max("_times").alias("_times")), "pipeline-mix")
-    copies = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_doc"), docs["doc_id"])
-    many = _by_id(copies, read, "inner").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    mixed = mixing.mix(keyed.select("_row", *[F.col(f"_doc.{c}").alias(c) for c in ("doc_id", "source", "text")]), ["_row"])
+    read = stored(mixed.select("_row", times.alias("_times")).filter("_times > 0"), "pipeline-mix")
+    many = keyed.join(read, "_row").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return many.select("_doc.*")
 
 

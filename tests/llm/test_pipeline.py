@@ -73,3 +73,25 @@ def test_awkward_documents(spark, awkward, clashing, nothing):
         for _, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.stored(stage(spark, docs, SF), "test")
     assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and docs.count() == 0
+
+
+def test_rows_are_told_apart(spark):
+    item = next(r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len((r["text"] or "").split()) >= 12)
+    clean = [" ".join(f"{w}{i}" for i in range(40)) for w in "abc"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    run = lambda stage, rows: rows_of(stage(spark, spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], schema), SF), "doc_id", "text")
+    rows = [(None, clean[0], "s"), (None, item, "s"), (7, clean[1], "s"), (7, item, "s")]
+    assert run(corpus_pipeline.decontamination, rows) == sorted([(None, clean[0]), (7, clean[1])], key=repr)
+    # copies without an id, copies of one id, and an id that stands for one group and belongs to another
+    rows = [(None, clean[0], "s"), (None, clean[0], "s"), (5, clean[1], "s"), (5, clean[1], "s"), (5, clean[2], "s"), (3, clean[2], "s"), (None, clean[2], "s")]
+    assert run(corpus_pipeline.near_dedup, rows) == sorted([(None, clean[0]), (5, clean[1]), (3, clean[2])], key=repr)
+
+
+def test_mix_counts_rows_of_one_id(spark):
+    rows = [(7, " ".join(["w"] * n), "en", s, 1) for s, sizes in (("a", (3, 4, 5, 6)), ("b", (5, 6, 7, 8, 9)), ("c", (2, 3, 10))) for n in sizes]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    wanted = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        wanted[r["size"]] += r["taken"] // r["size"]
+    got = collections.Counter(len(r["text"].split()) for r in corpus_pipeline.mix_sources(spark, docs, SF).collect())
+    assert got == +wanted and sum(n * k for n, k in got.items()) <= sum(len(r[1].split()) for r in rows)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +36,9 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def queued(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, running words of the source up to each document in shuffled order, target."""
-    narrow = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def queued(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """`carry`, doc_id, source, size, running words of the source up to each document in shuffled order, target."""
+    narrow = docs.select(*carry, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     narrow = narrow.withColumn("_order", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(SEED))))
     slice_of = F.conv(F.substring("_order", 1, 3), 16, 10).cast("int")
     narrow = stored(narrow.withColumn("_slice", slice_of), "mix-rows")
@@ -45,10 +47,10 @@ def queued(docs: DataFrame) -> DataFrame:
     # Targets go with the slices: so no join has the source alone, which may hold a third of all rows, as its key.
     ahead = ahead.join(targets(sizes), F.col("source").eqNullSafe(F.col("_source")))
     ahead = ahead.select(F.col("source").alias("_s"), F.col("_slice").alias("_p"), "_before", "source_size", "target")
-    so_far = Window.partitionBy("source", "_slice").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("source", "_slice").orderBy("_order", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, 0)
     rows = narrow.withColumn("_within", F.sum("size").over(so_far))
     rows = rows.join(ahead, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_p")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "_order", (F.col("_before") + F.col("_within")).alias("_upto"))
+    return rows.select(*carry, "doc_id", "source", "size", "source_size", "target", "_order", (F.col("_before") + F.col("_within")).alias("_upto"))
 
 
 def virtual_time(turn) -> Column:
@@ -56,7 +58,7 @@ def virtual_time(turn) -> Column:
     return (F.col("source_size") * turn + F.col("_upto")) / F.col("target")
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken: how many words of each document the mix takes.
 
     Every source is a flow of its documents in a fixed shuffled order, read up to PASSES times. A copy's
@@ -66,9 +68,9 @@ def mix(docs: DataFrame) -> DataFrame:
 
     Null text has size 0 and takes 0. Null sources are one source, sorted last. Rows that repeat a doc_id are
     separate documents; equal ones share their order, so the result is the same in every run. Columns other
-    than doc_id, source, text are not read. No rows, or no words at all, take nothing.
+    than doc_id, source, text and those of `carry`, which come first in the result, are not read. No rows, or no words at all, take nothing.
     """
-    queue = stored(queued(docs), "mix-queue")
+    queue = stored(queued(docs, carry), "mix-queue")
     turns = F.explode(F.array(*[F.lit(i) for i in range(PASSES)]))
     copies = queue.filter("size > 0 AND target > 0").select("doc_id", "size", "_order", "target", "source_size", "_upto", turns.alias("_turn"))
     place = ["_time", "_order", "_turn", "doc_id", "size"]
@@ -85,7 +87,7 @@ def mix(docs: DataFrame) -> DataFrame:
         over = edge.filter(F.col("_sum") > budget).orderBy(*place).first()
         cut = None if over is None else [over[c] for c in place]
         taken = taken_before(cut)
-    return queue.select("doc_id", "size", "source_size", "target", F.when((F.col("size") > 0) & (F.col("target") > 0), taken).otherwise(0).cast("long").alias("taken"))
+    return queue.select(*carry, "doc_id", "size", "source_size", "target", F.when((F.col("size") > 0) & (F.col("target") > 0), taken).otherwise(0).cast("long").alias("taken"))
 
 
 def taken_before(cut: list | None) -> Column:
