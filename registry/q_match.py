@@ -10,14 +10,16 @@ from vacancia.operators import match
 AS_OF = "2024-04-01"
 _LEVELS = "['junior','mid','senior','director','executive']"
 _AGE = f"date_diff('day', posted_date, DATE '{AS_OF}')"
+_NEAR = f"len(list_filter(p.seniority_targets, lambda t: abs(list_position({_LEVELS}, t) - list_position({_LEVELS}, l.seniority)) <= 2)) > 0"
+_SENIORITY = f"greatest(0::DOUBLE, 20 - 10::DOUBLE * list_min(list_transform(seniority_targets, lambda t: abs(list_position({_LEVELS}, t) - list_position({_LEVELS}, seniority)))))"
 SCORED = with_tables(PART_LISTINGS, PROFILES) + f""", pairs AS (
   SELECT l.*, p.*, {FULL_TEXT} AS full_text,
     list_filter({ADJECTIVES + NOUNS}, lambda k: contains({FULL_TEXT}, k)) AS required
-  FROM listings l JOIN profiles p ON len(list_filter(p.seniority_targets, lambda t: abs(list_position({_LEVELS}, t) - list_position({_LEVELS}, l.seniority)) <= 2)) > 0),
+  FROM listings l JOIN profiles p ON {_NEAR}),
 points AS (
   SELECT *,
     CASE WHEN len(required) = 0 THEN 15 ELSE 30::DOUBLE * len(list_intersect(required, skills)) / len(required) END AS score_skills,
-    greatest(0::DOUBLE, 20 - 10::DOUBLE * list_min(list_transform(seniority_targets, lambda t: abs(list_position({_LEVELS}, t) - list_position({_LEVELS}, seniority))))) AS score_seniority,
+    {_SENIORITY} AS score_seniority,
     CASE WHEN len(list_filter(sectors, lambda s: contains(lower(title), s))) > 0 OR list_contains(sectors, lower(p_type)) THEN 20
       WHEN len(list_filter(sectors, lambda s: contains(full_text, s))) > 0 THEN 10 ELSE 0 END::DOUBLE AS score_sector,
     CASE WHEN list_contains(work_modes, work_mode) THEN 15 WHEN work_mode = 'hybrid' OR list_contains(work_modes, 'hybrid') THEN 7.5 ELSE 0 END::DOUBLE AS score_work_mode,
@@ -31,11 +33,30 @@ tiered AS (SELECT *, CASE WHEN match_score >= 80 THEN 1 WHEN match_score >= 60 T
 
 def pairs(spark, sf):
     listings = match.with_required_skills(part_listings(spark, sf), ADJECTIVES + NOUNS)
-    joined = match.listing_profile_pairs(listings, profiles(spark, sf))
+    return _with_sectors(match.listing_profile_pairs(listings, profiles(spark, sf)))
+
+
+def _with_sectors(joined):
     own_sector = F.transform("departments", lambda d: F.lower(d))
     return joined.withColumn("sector_terms", F.col("sectors")).withColumn("company_sectors", own_sector)
 
 
+_RAW = "CASE source WHEN 'himalayas' THEN 'Senior Level' WHEN 'themuse' THEN 'Entry Level' ELSE seniority END"
+EVERY = (
+    SCORED.replace("FROM listings l JOIN profiles p ON " + _NEAR, f"FROM (SELECT * REPLACE ({_RAW} AS seniority) FROM listings) l CROSS JOIN profiles p")
+    .replace(_SENIORITY, f"coalesce({_SENIORITY}, 0)")
+)
+
+
+@query("r8_every_listing", EVERY + "SELECT pos, profile_id, seniority, score_seniority, match_score, tier FROM tiered")
+def r8_every(spark, sf):
+    """Every listing against every profile; two sources spell their levels themselves."""
+    raw = F.when(F.col("source") == "himalayas", "Senior Level").when(F.col("source") == "themuse", "Entry Level").otherwise(F.col("seniority"))
+    listings = match.with_required_skills(part_listings(spark, sf).withColumn("seniority", raw), ADJECTIVES + NOUNS)
+    points = match.match_score(_with_sectors(match.every_pair(listings, profiles(spark, sf))), F.lit(AS_OF).cast("date"))
+    return points.select("pos", "profile_id", "seniority", "score_seniority", "match_score", "tier")
+
+
 def scored(spark, sf):
     return match.match_score(pairs(spark, sf), F.lit(AS_OF).cast("date"))
 

@@ -93,3 +93,13 @@ def test_late_rows_count(spark, tmp_path):
         days = incremental.new_per_day(stream, f"{tmp_path}/days", f"{tmp_path}/days-progress")
         assert sorted(r.id for r in first.collect()) == [["a", "b"], ["a", "b", "c"]][n]
     assert {(str(r.day), r.listings) for r in days.collect()} == {("2024-06-01", 2), ("2024-06-02", 1), ("2023-01-01", 1)}
+
+
+def test_every_listing_meets_every_profile(spark):
+    levels = ("junior", "Mid", "executive", "Senior Level", "Entry Level", "", None)
+    listings = spark.createDataFrame([(s,) for s in levels], "seniority string")
+    profiles = spark.createDataFrame([("p", ["junior"]), ("q", ["odd"]), ("n", [])], "profile_id string, seniority_targets array<string>")
+    pairs = match.every_pair(listings, profiles).withColumn("p", match.seniority_points(F.col("seniority"), F.col("seniority_targets")))
+    got = {(r.profile_id, r.seniority): r.p for r in pairs.collect()}
+    worth = {("p", "junior"): 20.0, ("p", "Mid"): 10.0}
+    assert got == {(p, s): worth.get((p, s), 0.0) for p in "pqn" for s in levels}

@@ -19,7 +19,8 @@ from vacancia.operators.order import rank_within
 SKILLS, SENIORITY, SECTOR, WORK_MODE, VALUES, RECENCY = 30.0, 20.0, 20.0, 15.0, 10.0, 5.0
 UNKNOWN_RECENCY = 3.0
 FULL_RECENCY_DAYS, NO_RECENCY_DAYS = 30, 90
-NEAR_LEVELS = 2  # a level further from every target is not paired
+NEAR_LEVELS = 2  # `listing_profile_pairs` leaves out a level further from every target
+UNKNOWN_LEVEL = "unknown"  # key of listings whose level is none of SENIORITY_ORDER
 TIER_FLOORS = {1: 80.0, 2: 60.0, 3: 40.0}
 
 
@@ -76,7 +77,7 @@ def _text_of(pairs: DataFrame) -> Column:
 
 
 def listing_profile_pairs(listings: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Listings with every profile that targets a level at most NEAR_LEVELS steps from theirs.
+    """Listings with every profile that targets a level at most NEAR_LEVELS steps from theirs (`every_pair`: all).
 
     The level is the equi-join key; `seniority_points` grades the distance. Profiles are one row per level
     in reach; Spark broadcasts them only while they are under its size limit and otherwise shuffles, where
@@ -87,6 +88,19 @@ def listing_profile_pairs(listings: DataFrame, profiles: DataFrame) -> DataFrame
     return listings.withColumn("_level", lowered("seniority")).join(by_level, "_level").drop("_level")
 
 
+def every_pair(listings: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Every listing with every profile, whatever their levels; `seniority_points` gives 0 to far and unknown ones.
+
+    Pairs meet in blocks: a listing's key is its level, or UNKNOWN_LEVEL (a level as the source spells it, or
+    none), and a profile has one row for each key. As in `listing_profile_pairs`, profiles are broadcast only
+    under Spark's size limit, else a level held by most listings is split by the skew rule.
+    """
+    own = lowered("seniority")
+    keyed = listings.withColumn("_level", F.when(own.isin(*SENIORITY_ORDER), own).otherwise(UNKNOWN_LEVEL))
+    keys = F.array(*[F.lit(k) for k in (*SENIORITY_ORDER, UNKNOWN_LEVEL)])
+    return keyed.join(profiles.withColumn("_level", F.explode(keys)), "_level").drop("_level")
+
+
 def score_profiles(pairs: DataFrame, keywords: Column | str = "keywords", exclude: Column | str = "exclude_keywords") -> DataFrame:
     """Keyword score of listing-profile pairs with the keywords held in a column; excluded titles drop out."""
     kw = F.col(keywords) if isinstance(keywords, str) else keywords

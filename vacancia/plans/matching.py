@@ -66,7 +66,7 @@ def merge_and_match(channels: list[DataFrame | None], position: list[Column | st
     placed = dedup.final_position(drop_stale(_scored_column(live), as_of))
     current = materialize(placed, "current")
     offered = match.with_company_sectors(match.with_required_skills(current, skills), companies)
-    pairs = match.listing_profile_pairs(offered, match.with_sector_terms(profiles, sector_keywords))
+    pairs = match.every_pair(offered, match.with_sector_terms(profiles, sector_keywords))
     points = materialize(match.match_score(match.meets_dealbreakers(pairs), as_of), "scored")
     ranks = match.rank_in_tier(points.select("profile_id", "tier", "match_score", "source", "place"), position="place")
     scored = points.join(ranks.select("profile_id", "place", "rank"), ["profile_id", "place"], "left")
