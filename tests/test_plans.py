@@ -49,3 +49,28 @@ def test_landing_to_report(spark, tmp_path):
     assert listed["https://g/1"] == (0, ["x"], ["remotive"]) and listed["https://f/1"][0] == 1
     sinks.write_report(out.sections, str(tmp_path / "report"))
     assert spark.read.parquet(str(tmp_path / "report" / "pool")).first().small_pool
+
+
+def test_large_clusters_are_scored_whole(spark, monkeypatch):
+    monkeypatch.setattr(matching.dedup.array_chunks, "__defaults__", (2,))
+    tags = [f"t{i}" for i in range(5)] + ["machine", "learning", "crypto"]
+    schema = "id string, source string, source_id string, url string, company string, title string, description_text string, departments array<string>, tags array<string>, seniority string, work_mode string, location string, " \
+             "verification_status string, salary_min double, salary_max double, salary_currency string, posted_date_raw string, posted_date date, employment_type string, matched_keywords array<string>"
+    rows = [(f"i{i}", "rss", str(i), f"u{i}", "Acme", "Engineer of things", "", [], [t], "Senior Level", "remote", "", "UNVERIFIED", None, None, None, "", None, "", []) for i, t in enumerate(tags)]
+    listings = spark.createDataFrame(rows, schema)
+    pages = spark.createDataFrame([], "url string, http_code int, final_url string, body string")
+    profiles = spark.createDataFrame(
+        [(p, ["machine learning"], ["junior"], ["x"], ["ai"], [], ["remote"], ["t4"], bad) for p, bad in (("p", []), ("q", ["crypto"]))],
+        "profile_id string, skills array<string>, seniority_targets array<string>, sectors array<string>, keywords array<string>, exclude_keywords array<string>, "
+        "work_modes array<string>, value_terms array<string>, dealbreaker_terms array<string>")
+    companies = spark.createDataFrame([], "name string, sectors array<string>")
+    terms = spark.createDataFrame([("x", "title", "learning")], "sector string, kind string, keyword string")
+    out = matching.merge_and_match([listings], ["source", "source_id"], pages, profiles, ["machine learning"], F.lit("2024-04-01").cast("date"), companies, terms)
+    found = sorted(out.listings.collect(), key=lambda r: r.chunk)
+    assert [t for r in found for t in r.tags] == tags and [a.url for r in found for a in r.alternate_sources] == [f"u{i}" for i in range(1, 8)]
+    # q's dealbreaker is in the last chunk; skills 30 (across two chunks or not), sector 10, mode 15, values 10, no date 3
+    assert [(r.profile_id, r.match_score, r.tier) for r in out.scored.collect()] == [("p", 68.0, 2)]
+    assert out.sections["pool"].first().pool_size == 1 and out.sections["channels"].filter("channel IS NULL").first().listings == 1
+    again = matching.dedup.deduplicate(out.listings.drop("place"), "source", "source_id")
+    merged = matching.dedup.nested(again, size=None).collect()
+    assert len(merged) == 1 and merged[0].tags == tags and [a.url for a in merged[0].alternate_sources] == [f"u{i}" for i in range(1, 8)]

@@ -264,17 +264,27 @@ def fill_fields(clusters: DataFrame) -> DataFrame:
     return survivors.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in clusters.columns])
 
 
-def merged_tags(clusters: DataFrame) -> DataFrame:
+def _entries(clusters: DataFrame, more: DataFrame | None, array: str, name: str) -> DataFrame:
+    """leader, ord, pos and each entry of an array column, those of later chunks behind the others."""
+    rows = clusters.select("leader", "ord", F.posexplode(array).alias("pos", name))
+    if more is None:
+        return rows
+    later = more.select("leader", "ord", "chunk", F.posexplode(array).alias("pos", name))
+    place = F.shiftleft(F.col("chunk").cast("long"), 32) + F.col("pos")
+    return rows.withColumn("pos", F.col("pos").cast("long")).unionByName(later.select("leader", "ord", place.alias("pos"), name))
+
+
+def merged_tags(clusters: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """leader, ord, pos, tag: a tag comes from the first row of the cluster that has it.
 
     Repeats inside that row stay, as they do when lists are appended one member at a time.
     """
-    tagged = clusters.select("leader", "ord", F.posexplode("tags").alias("pos", "tag"))
+    tagged = _entries(clusters, more, "tags", "tag")
     first = tagged.groupBy("leader", "tag").agg(F.min("ord").alias("ord"))
     return tagged.join(first, ["leader", "tag", "ord"]).select("leader", "ord", "pos", "tag")
 
 
-def alternate_sources(clusters: DataFrame) -> DataFrame:
+def alternate_sources(clusters: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """leader, ord, pos, source, url, source_id: what was merged away, in order.
 
     A survivor's alternates of an earlier stage (array column `alternate_sources`) come first, at its own
@@ -285,32 +295,43 @@ def alternate_sources(clusters: DataFrame) -> DataFrame:
     )
     if "alternate_sources" not in clusters.columns:
         return merged
-    earlier = clusters.filter(F.col("ord") == F.col("leader")).select("leader", "ord", F.posexplode("alternate_sources").alias("pos", "a"))
+    earlier = _entries(clusters, more, "alternate_sources", "a").filter(F.col("ord") == F.col("leader"))
     return earlier.select("leader", "ord", "pos", *[F.coalesce(F.col(f"a.{c}"), F.lit("")).alias(c) for c in ALTERNATE]).unionByName(merged)
 
 
-def from_clusters(clusters: DataFrame) -> Deduplicated:
-    return Deduplicated(fill_fields(clusters), clusters, merged_tags(clusters), alternate_sources(clusters))
+def from_clusters(clusters: DataFrame, more: DataFrame | None = None) -> Deduplicated:
+    """`more`: leader, ord, chunk, tags, alternate_sources of rows whose arrays have further chunks."""
+    return Deduplicated(fill_fields(clusters), clusters, merged_tags(clusters, more), alternate_sources(clusters, more))
 
 
 def deduplicate(df: DataFrame, *position: Column | str) -> Deduplicated:
     """Order, cluster and merge a merged listing set; `position` is each row's place in it.
 
-    Rows of an earlier stage keep the alternates of their first chunk: between stages call
-    `nested(result, size=None)`, which makes one.
+    Rows of an earlier stage may come in chunks, as `nested` gives them: chunk 0 is the listing, the entries
+    of the others follow its own. Chunks belong together when all other columns are equal.
     """
     again = [c for c in ("ord", "leader", "ck", "tk", "priority", "chunk") if c in df.columns]  # of an earlier stage
-    kept = df.filter("coalesce(chunk, 0) = 0") if "chunk" in again else df
-    ordered = by_source_priority(with_match_keys(kept.drop(*[c for c in again if c not in position])), *position)
-    return from_clusters(materialize(assign_clusters(ordered), "clusters"))
+    if "chunk" not in again:
+        return from_clusters(_clustered(df.drop(*[c for c in again if c not in position]), position))
+    own = F.struct(*[df[f"`{c}`"] for c in df.columns if c not in ("chunk", "tags", "alternate_sources")])
+    marked = df.withColumn("_mark", F.sha2(F.to_json(own), 256))
+    kept = marked.filter("coalesce(chunk, 0) = 0").drop(*[c for c in again if c not in position])
+    clusters = _clustered(kept, position)
+    first = clusters.groupBy("_mark").agg(F.min(F.struct("ord", "leader")).alias("_at")).select("_mark", "_at.*")
+    later = marked.filter("chunk > 0").select("_mark", "chunk", "tags", "alternate_sources")
+    more = materialize(later.join(first, "_mark").drop("_mark"), "later-chunks")
+    return from_clusters(clusters.drop("_mark"), more)
 
 
-def nested(result: Deduplicated, size: int | None = CHUNK) -> DataFrame:
-    """Survivors with `tags` and `alternate_sources` as arrays, for interchange.
+def _clustered(df: DataFrame, position: tuple[Column | str, ...]) -> DataFrame:
+    return materialize(assign_clusters(by_source_priority(with_match_keys(df), *position)), "clusters")
+
+
+def array_chunks(result: Deduplicated, size: int | None = CHUNK) -> DataFrame:
+    """leader, chunk, tags, alternate_sources: one row per `chunk` 0, 1, 2... of a cluster.
 
-    No array has more than `size` entries (None: no bound): a larger cluster has one row per `chunk` 0, 1, 2..., each with the
-    survivor's columns and the next entries. Entries are numbered by a range sort over all clusters, so a
-    cluster with most of the rows is spread out.
+    No array has more than `size` entries (None: no bound). Entries are numbered by a range sort over all
+    clusters, so a cluster with most of the rows is spread out.
     """
     def chunked(entries: DataFrame, value: Column, name: str) -> DataFrame:
         ranked = rank_within(entries, ["leader"], [F.col("ord"), F.col("pos")], "_n")
@@ -324,12 +345,20 @@ def nested(result: Deduplicated, size: int | None = CHUNK) -> DataFrame:
     lists = first.join(tags, ["leader", "chunk"], "full").join(alternates, ["leader", "chunk"], "full")
     empty = F.array().cast("array<struct<source:string,url:string,source_id:string>>")
     return (
-        result.survivors.drop("tags", "alternate_sources").join(lists, "leader")
-        .withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+        lists.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
         .withColumn("alternate_sources", F.coalesce("alternate_sources", empty))
     )
 
 
+def nested(result: Deduplicated, size: int | None = CHUNK) -> DataFrame:
+    """Survivors with `tags` and `alternate_sources` as arrays, for interchange.
+
+    A cluster with more than `size` entries has further rows (`array_chunks`), each with the survivor's columns
+    and the next entries.
+    """
+    return result.survivors.drop("tags", "alternate_sources").join(array_chunks(result, size), "leader")
+
+
 def _final(survivors: DataFrame) -> tuple[DataFrame, list[Column | str]]:
     """Best score first (none counts as 0), then source priority, then survivor order."""
     keyed = survivors.withColumn("_score", F.coalesce("preliminary_relevance_score", F.lit(0.0))).withColumn("_rank", source_priority("source"))

@@ -66,11 +66,39 @@ def with_required_skills(listings: DataFrame, dictionary: Sequence[str]) -> Data
     """Add `search_text` and `required_skills`: dictionary skills that are substrings of the text, in dictionary order.
 
     The dictionary is a setting, like a search's keywords: it travels inside the plan, so no join is needed.
+    Terms found in tags that are not in the row (`later_terms`) follow the text, behind NULs.
     """
-    work = listings.withColumn("search_text", searchable_text())
+    text = searchable_text()
+    if "later_terms" in listings.columns:
+        nul = F.lit("\u0000")
+        text = F.when(F.col("later_terms").isNull(), text).otherwise(F.concat(text, nul, F.array_join("later_terms", "\u0000")))
+    work = listings.withColumn("search_text", text).drop("later_terms")
     return work.withColumn("required_skills", terms_found(F.col("search_text"), dictionary))
 
 
+def profile_terms(profiles: DataFrame, dictionary: Sequence[str]) -> DataFrame:
+    """term: every lower-case term that scores and dealbreakers look for in a listing's text, each once."""
+    own = [profiles.select(F.explode(c).alias("term")).select(F.lower("term").alias("term")) for c in ("sector_terms", "value_terms", "dealbreaker_terms")]
+    out = profiles.sparkSession.createDataFrame([(t.lower(),) for t in dictionary], "term string")
+    for terms in own:
+        out = out.unionByName(terms)
+    return out.filter("term <> ''").distinct()
+
+
+def terms_in_later_tags(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """leader, later_terms: the terms found in tags of chunks above 0 (of `dedup.array_chunks`), chunk by chunk.
+
+    A term spans one tag more than it has blanks at most, so each chunk is read with that many tags before it.
+    """
+    before = terms.agg(F.coalesce(F.max(F.regexp_count("term", F.lit(" "))), F.lit(0)).alias("n")).first()["n"]
+    later = chunks.filter("chunk > 0 AND size(tags) > 0").select("leader", "chunk", "tags")
+    ends = chunks.select("leader", (F.col("chunk") + 1).alias("chunk"), F.slice("tags", -F.least(F.size("tags"), F.lit(before)), before).alias("_end")) if before else None
+    read = later.join(ends, ["leader", "chunk"]).withColumn("tags", F.concat("_end", "tags")) if before else later
+    text = read.select("leader", F.lower(F.array_join("tags", " ")).alias("_text"))
+    found = text.join(terms, F.contains("_text", "term")).select("leader", "term").distinct()
+    return found.groupBy("leader").agg(F.sort_array(F.collect_list("term")).alias("later_terms"))
+
+
 def _text_of(pairs: DataFrame) -> Column:
     """The searchable text, taken over where it was made once per listing before the join."""
     return F.col("search_text") if "search_text" in pairs.columns else searchable_text()

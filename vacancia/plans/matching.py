@@ -46,9 +46,9 @@ def _scored_column(listings: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Matched:
-    listings: DataFrame      # verified, dated survivors with merged tags, alternates and `place` in the final order
+    listings: DataFrame      # verified, dated survivors with merged tags, alternates and `place` in the final order; see dedup.nested on `chunk`
     duplicates: dedup.Deduplicated
-    scored: DataFrame        # listing-profile pairs with scores, tiers and, where tiered, rank
+    scored: DataFrame        # listing-profile pairs with scores, tiers and, where tiered, rank; tags and alternates are in `listings`
     sections: dict[str, DataFrame]
 
 
@@ -57,16 +57,20 @@ def merge_and_match(channels: list[DataFrame | None], position: list[Column | st
     """Union, deduplicate, verify, drop the old, score against the profiles, rank, and count for the report.
 
     A listing has the sectors of the company of its name in `companies`; a profile's sector terms are those
-    `sector_keywords` has for its sectors. Listings and scores are written once, as every section reads them.
+    `sector_keywords` has for its sectors. Listings and scores are written once, as every section reads them:
+    one row per survivor; of tags beyond a first chunk the text holds the terms that some profile asks for.
     """
     merged = report.union_channels(*channels)
     deduplicated = dedup.deduplicate(merged, *position)
-    whole = dedup.nested(deduplicated).filter("chunk = 0").drop("chunk")
-    live = verify.merge_status(whole, verify.check_pages(pages))
+    chunks = materialize(dedup.array_chunks(deduplicated), "chunks")
+    live = verify.merge_status(deduplicated.survivors.drop("tags", "alternate_sources"), verify.check_pages(pages))
     placed = dedup.final_position(drop_stale(_scored_column(live), as_of))
     current = materialize(placed, "current")
-    offered = match.with_company_sectors(match.with_required_skills(current, skills), companies)
-    pairs = match.every_pair(offered, match.with_sector_terms(profiles, sector_keywords))
+    asking = match.with_sector_terms(profiles, sector_keywords)
+    later = match.terms_in_later_tags(chunks, materialize(match.profile_terms(asking, skills), "terms"))
+    first = chunks.filter("chunk = 0").select("leader", "tags")
+    texts = match.with_required_skills(current.join(first, "leader").join(later, "leader", "left"), skills).drop("tags")
+    pairs = match.every_pair(match.with_company_sectors(texts, companies), asking)
     points = materialize(match.match_score(match.meets_dealbreakers(pairs), as_of), "scored")
     ranks = match.rank_in_tier(points.select("profile_id", "tier", "match_score", "source", "place"), position="place")
     scored = points.join(ranks.select("profile_id", "place", "rank"), ["profile_id", "place"], "left")
@@ -82,4 +86,4 @@ def merge_and_match(channels: list[DataFrame | None], position: list[Column | st
         "coverage": report.source_coverage(current),
         "pool": verify.pool_notice(current),
     }
-    return Matched(current, deduplicated, scored, sections)
+    return Matched(current.join(chunks, "leader"), deduplicated, scored, sections)
