@@ -50,3 +50,11 @@ def test_edges(spark, awkward, clashing, nothing):
     assert len(empty) == 1
     assert {r["score"] for r in quality.classify(awkward, labels.limit(0)).collect()} == {0.5}
     assert quality.classify(nothing, labels).count() == 0
+
+
+def test_long_documents_are_learnt_whole(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(500 * quality.PASSAGE)))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 9)], "doc_id long, quality int")
+    named = docs.crossJoin(spark.range(1, 9)).selectExpr("id AS doc_id", "text")
+    bags, _ = quality.training_bags(named, labels)
+    assert bags and all(len(x) == 500 for x in bags)

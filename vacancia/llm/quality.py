@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 PASSAGE = 64  # words
 SAMPLE = 2000  # training documents of each label
-SAMPLE_PASSAGES = 400  # passages of a training document, evenly spread; scoring always takes all
 BIGRAMS = 48  # buckets for pairs of neighbouring bytes
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 24, 12, 30, 64, 0.01, 1e-4
 
@@ -126,7 +125,11 @@ def held_out() -> Column:
 
 
 def training_bags(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most `sample` documents of each label, the first by a hash of doc_id, none held out."""
+    """Features and labels of at most `sample` documents of each label, the first by a hash of doc_id, none held out.
+
+    A document's bag has all its passages; the number of documents is what bounds the driver's memory (280
+    bytes a passage, five times that while learning begins).
+    """
     known = labels.select("doc_id", "quality").filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     parts = [known.filter(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
@@ -135,7 +138,6 @@ def training_bags(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [passage_features(text.as_py() or "") for text in batch.column("text")]
-            rows = [x[np.unique(np.linspace(0, len(x) - 1, SAMPLE_PASSAGES).astype(int))] if len(x) > SAMPLE_PASSAGES else x for x in rows]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([x.tobytes() for x in rows])], ["doc_id", "quality", "bag"])
 
     # 2 * sample rows of two numbers at most are broadcast.
@@ -161,7 +163,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= 0.5): one row per row of `docs`.
 
     Only the text is an input of a score. Labels are learnt from rows whose crc32(doc_id as text) mod 3 is
-    not 1, at most `sample` of each label; a label other than 0 or 1, or null, is ignored, of several labels
+    not 1, at most `sample` of each label, each with all its passages; a label other than 0 or 1, or null, is ignored, of several labels
     of one id the largest counts.
 
     A null text is scored as the empty one: one passage without features. Null doc_ids are never learnt from
