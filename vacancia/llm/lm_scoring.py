@@ -101,7 +101,8 @@ def score_documents(docs: DataFrame, least: int = LEAST, slices: int = SLICES) -
 
     A word w after v scores c(v w) / c(v) if the corpus has that pair `least` times or more, else BACKOFF
     times c(w) / all words. Counts are over all of `docs`, A-Z as a-z. Words and pairs are known by 64-bit
-    hashes, so two that collide share a count. Nothing is pruned or sampled.
+    hashes, so two that collide share a count. The order is two words; with `least` above 1 rarer pairs give
+    no evidence (1 takes every pair, as stupid backoff does). No row or word is left out or sampled.
 
     Null and blank texts have no words and score 0. Rows that share a doc_id (null is one id) are summed
     into one result row; words of different rows never form a pair. Extra columns are not read.
