@@ -22,7 +22,8 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     Rows are equal when their texts are, after each run of ASCII blanks became one blank; null is the empty
     text. Three stages compare digest and whole text: within a map task (the partial aggregate), within a
     salt of a digest (`salts` of them, so a text of a third of all rows is spread out), and among the
-    salts' winners. A digest shared by different texts stays apart.
+    salts' winners. A digest shared by different texts stays apart. The last join, which gives each row its
+    group, knows the text by SHA-256 and a second, 64-bit hash only.
 
     The row with the smallest key stays. Null keys count as rows but win only among themselves; of
     repeated smallest keys every row is kept. Extra columns are not read. No rows give no rows.
