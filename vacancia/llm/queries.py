@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vacancia.llm import decontaminate, exact_dedup, lm_scoring, mixing, quality, repeats, simhash, token_counts, token_files, warc
+from vacancia.llm import decontaminate, exact_dedup, lm_scoring, mixing, quality, repeats, sharding, simhash, spelling, token_counts, token_files, warc, whitening
 from vacancia.llm.common import configured, table
 from vacancia.session import scratch_path
 
@@ -139,3 +140,48 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_substring_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+OP11 = r"""
+WITH RECURSIVE
+     t0 AS (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+            FROM (SELECT unnest(range(256)) AS b)),
+     d AS (SELECT CAST(coalesce(CAST(doc_id AS VARCHAR), '') AS VARCHAR) || ':' AS id,
+                  unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents),
+     r AS (SELECT id, w, count(*) AS n, hex(encode(id || w)) AS h FROM d GROUP BY id, w),
+     tk AS (SELECT 0 AS k, b, c FROM t0 UNION ALL
+            SELECT k + 1, tk.b, xor(tk.c >> 8, t0.c) FROM tk JOIN t0 ON t0.b = tk.c & 255 WHERE k < (SELECT max(len(h)) // 2 FROM r)),
+     z AS (SELECT 0 AS k, 4294967295 AS c UNION ALL
+           SELECT k + 1, xor(z.c >> 8, t0.c) FROM z JOIN t0 ON t0.b = z.c & 255 WHERE k < (SELECT max(len(h)) // 2 FROM r)),
+     y AS (SELECT id, w, len(h) // 2 AS m, unnest(range(len(h) // 2)) AS i, h FROM r),
+     x AS (SELECT y.id, y.w, any_value(y.m) AS m, bit_xor(tk.c) AS c FROM y JOIN tk ON tk.k = y.m - 1 - y.i AND tk.b = CAST('0x' || substr(y.h, 2 * y.i + 1, 2) AS BIGINT) GROUP BY y.id, y.w),
+     s AS (SELECT r.w, r.n, xor(xor(x.c, z.c), 4294967295) AS crc FROM r JOIN x USING (id, w) JOIN z ON z.k = x.m),
+     u AS (SELECT CASE WHEN crc % 97 = 0 THEN substr(w, 1, CAST(crc % len(w) AS BIGINT)) || substr(w, CAST(crc % len(w) AS BIGINT) + 2) ELSE w END AS word, n FROM s),
+     v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM u WHERE len(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+     p AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS del FROM (SELECT word, n, unnest(range(len(word))) AS i FROM v)),
+     e AS (SELECT a.word, b.word AS other, b.n AS m FROM p a JOIN p b ON a.del = b.del AND a.i = b.i AND a.word <> b.word
+           UNION SELECT p.word, v.word, v.n FROM p JOIN v ON v.word = p.del
+           UNION SELECT v.word, p.word, p.n FROM p JOIN v ON v.word = p.del),
+     f AS (SELECT word, count(*) AS n_near, min({'m': -m, 'o': other}) AS best FROM e GROUP BY word),
+     g AS (SELECT v.word, v.n, coalesce(f.n_near, 0) AS n_near, CASE WHEN -f.best.m >= 2 * v.n THEN f.best.o END AS form, CASE WHEN -f.best.m >= 2 * v.n THEN -f.best.m END AS form_n
+           FROM v LEFT JOIN f USING (word)),
+     l AS (SELECT word, coalesce(form, word) AS root, form IS NOT NULL AS more FROM g UNION ALL
+           SELECT l.word, g.form, true FROM l JOIN g ON g.word = l.root WHERE l.more AND g.form IS NOT NULL),
+     q AS (SELECT l.word, l.root FROM l JOIN g ON g.word = l.root WHERE g.form IS NULL)
+SELECT g.word, g.form, q.root, g.n, CAST(g.n_near AS BIGINT) AS n_near, CAST(g.form_n AS BIGINT) AS form_n FROM g JOIN q USING (word)"""
+
+
+@query("op11_spelling_groups", OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_sharding")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), rows)
