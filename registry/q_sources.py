@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from registry import openings as op
 from registry import payloads as pl
 from registry.base import query
 from registry.sql import COMPANIES, SECTOR_KEYWORDS, with_tables
@@ -101,10 +102,11 @@ def s15(spark, sf):
 @query("j2_manifest_payloads", _DOCS + """
 SELECT k::VARCHAR AS source_id, 'greenhouse' AS source, CASE k % 3 WHEN 0 THEN p_brand WHEN 1 THEN 'Board' ELSE 'Owner ' || doc % 4 END AS company FROM p""")
 def j2(spark, sf):
-    """Documents find their company through the manifest entry of their file."""
-    manifest = landing.scan_manifest(spark, pl.land(spark, pl.manifest_documents(spark, sf), "manifest"))
-    docs = pl.documents(spark, sf, "greenhouse").select("file", "raw")
-    joined = landing.join_manifest(landing.parse_payloads(docs), manifest).withColumnRenamed("company", "fallback_company")
+    """Landed files find their company through the manifest entry of their name."""
+    path, entries = op.land_named(spark, pl.documents(spark, sf, "greenhouse").select("doc", "source", F.col("fallback_company").alias("company"), "raw"), "named")
+    manifest = landing.scan_manifest(spark, op.manifest_of(spark, entries))
+    docs = landing.parse_payloads(landing.scan_payloads(spark, path, TXT))
+    joined = landing.join_manifest(docs, manifest).withColumnRenamed("company", "fallback_company")
     listings = mappings.with_company_fallback(mappings.normalize(joined, "greenhouse"))
     return listings.select("source_id", "source", "company")
 

@@ -2,14 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacancia.functions.infer import channel
+from vacancia.operators import verify
+from vacancia.session import materialize
 
 IMPORTANCE = ["High", "Med", "Low"]
 
 
+def _listings(df: DataFrame) -> Column:
+    """Listings a row stands for: those counted by `pool_facts`, else one."""
+    return F.sum(F.col("_n") if "_n" in df.columns else F.lit(1).cast("bigint"))
+
+
+def pool_facts(df: DataFrame) -> DataFrame:
+    """`_n` listings for each combination of what the counted sections look at.
+
+    One pass over the listings; the sections then read these narrow, already counted rows.
+    """
+    return df.groupBy("source", "company", "verification_status", "seniority", "salary_currency", "salary_min", "salary_max").agg(F.count("*").alias("_n"))
+
+
+def pool_sections(df: DataFrame) -> dict[str, DataFrame]:
+    """Every section that counts the pool. `df` is read twice: for the stored facts and for the keywords."""
+    facts = materialize(pool_facts(df), "pool-facts")
+    return {
+        "sources": sources_scanned(facts),
+        "verification": verification_counts(facts),
+        "salaries": salary_ranges(facts),
+        "demand": keyword_demand(df),
+        "channels": channel_totals(facts),
+        "coverage": source_coverage(facts),
+        "pool": verify.pool_notice(facts),
+    }
+
+
 def union_channels(*channels: DataFrame | None) -> DataFrame:
     """All channel results one after the other; channels that were not run are left out."""
     present = [c for c in channels if c is not None]
@@ -29,11 +58,11 @@ def scan_stats(found: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def verification_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("verification_status").agg(F.count("*").alias("listings"))
+    return df.groupBy("verification_status").agg(_listings(df).alias("listings"))
 
 
 def sources_scanned(df: DataFrame) -> DataFrame:
-    return df.groupBy("source").agg(F.count("*").alias("listings"), F.countDistinct("company").alias("companies"))
+    return df.groupBy("source").agg(_listings(df).alias("listings"), F.countDistinct("company").alias("companies"))
 
 
 def salary_ranges(df: DataFrame) -> DataFrame:
@@ -44,7 +73,7 @@ def salary_ranges(df: DataFrame) -> DataFrame:
     """
     listed = df.filter(F.col("salary_min").isNotNull() & F.col("salary_currency").isNotNull())
     group = ["salary_currency", "seniority"]
-    amounts = listed.groupBy(*group, "salary_min").agg(F.count("*").alias("n"), F.max(F.coalesce("salary_max", "salary_min")).alias("most"))
+    amounts = listed.groupBy(*group, "salary_min").agg(_listings(df).alias("n"), F.max(F.coalesce("salary_max", "salary_min")).alias("most"))
     every = Window.partitionBy(*group)
     upto = F.sum("n").over(every.orderBy("salary_min").rowsBetween(Window.unboundedPreceding, 0))
     placed = amounts.withColumn("upto", upto).withColumn("all", F.sum("n").over(every))
@@ -78,12 +107,12 @@ def tier_counts(scored: DataFrame) -> DataFrame:
 
 def source_coverage(df: DataFrame) -> DataFrame:
     """Listings per source and the share that states a salary."""
-    return df.groupBy("source").agg(
-        F.count("*").alias("listings"),
-        F.avg(F.when(F.col("salary_min").isNotNull(), 1.0).otherwise(0.0)).alias("salary_share"),
-    )
+    listings = _listings(df)
+    stated = F.count_if(F.col("salary_min").isNotNull()) if "_n" not in df.columns else F.sum(F.when(F.col("salary_min").isNotNull(), F.col("_n")).otherwise(0))
+    return df.groupBy("source").agg(listings.alias("listings"), (stated / listings).alias("salary_share"))
 
 
 def channel_totals(df: DataFrame) -> DataFrame:
     """Listings by channel and source with channel totals and the overall total (nulls)."""
-    return df.select(channel("source").alias("channel"), "source").rollup("channel", "source").agg(F.count("*").alias("listings"))
+    counted = df.groupBy("source").agg(_listings(df).alias("_n"))  # the rollup then expands a row per source
+    return counted.select(channel("source").alias("channel"), "source", "_n").rollup("channel", "source").agg(F.sum("_n").alias("listings"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from vacancia.functions.infer import channel
 
@@ -22,3 +22,17 @@ def write_report(sections: dict[str, DataFrame], path: str, mode: str = "errorif
     """Each report section as its own Parquet table under `path`."""
     for name, section in sections.items():
         section.write.mode(mode).parquet(f"{path}/{name}")
+
+
+COMMITTED = "_sections"
+
+
+def commit_report(spark: SparkSession, sections: list[str], path: str, mode: str = "errorifexists") -> None:
+    """List the sections of a report after the last one was written; a report without the list is unfinished."""
+    spark.createDataFrame([(s,) for s in sections], "section string").coalesce(1).write.mode(mode).parquet(f"{path}/{COMMITTED}")
+
+
+def read_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The sections of a committed report; Spark's own error for one that was not committed."""
+    listed = spark.read.parquet(f"{path}/{COMMITTED}").collect()  # one row per section
+    return {r["section"]: spark.read.parquet(f"{path}/{r['section']}") for r in listed}

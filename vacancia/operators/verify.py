@@ -126,4 +126,5 @@ def search_status(url: Column | str, enriched: Column) -> Column:
 
 def pool_notice(df: DataFrame) -> DataFrame:
     """pool_size and whether it is small enough to say so in the report."""
-    return df.agg(F.count("*").alias("pool_size"), (F.count("*") < SMALL_POOL).alias("small_pool"))
+    size = F.coalesce(F.sum("_n"), F.lit(0).cast("bigint")) if "_n" in df.columns else F.count("*")  # counted by report.pool_facts
+    return df.agg(size.alias("pool_size"), (size < SMALL_POOL).alias("small_pool"))

@@ -11,37 +11,49 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancia.operators import dedup, match, report, verify
+from vacancia.operators import dedup, match, report, sinks, verify
 from vacancia.operators.filters import SearchConfig, drop_stale, filter_and_score
-from vacancia.schema import API_SOURCES, ATS_SOURCES
+from vacancia.schema import API_SOURCES, ATS_SOURCES, LISTING
 from vacancia.session import materialize
 from vacancia.sources import feeds, landing, mappings
 
 
-def scan_boards(spark: SparkSession, landing_path: str, manifest_path: str, cfg: SearchConfig, sources=ATS_SOURCES + API_SOURCES) -> DataFrame:
+@dataclass(frozen=True)
+class Landing:
+    """Folders (or files) of a landing zone; `feeds` and `boards` may be None where that channel was not run."""
+
+    boards: str | None
+    manifest: str | None
+    feeds: str | None
+    pages: str
+    companies: str
+    sector_keywords: str
+    glob: str | None = None  # which files of boards and feeds are read; None for the usual endings
+
+
+def scan_boards(spark: SparkSession, landing_path: str, manifest_path: str, cfg: SearchConfig, sources=ATS_SOURCES + API_SOURCES, glob: str = landing.PAYLOAD_SUFFIXES) -> DataFrame:
     """Landed board and search responses to scored listings, companies filled in from the manifest.
 
     Files and manifest are read once, into a folder for each source, so every mapping reads its own documents only.
     """
     manifest = landing.scan_manifest(spark, manifest_path)
-    docs = materialize(landing.join_manifest(landing.scan_payloads(spark, landing_path), manifest), "payloads", "source")
+    docs = materialize(landing.join_manifest(landing.scan_payloads(spark, landing_path, glob), manifest), "payloads", "source")
     docs = landing.parse_payloads(docs.withColumnRenamed("company", "fallback_company"))
     listings = mappings.normalize_all(docs, sources)
     named = mappings.with_company_fallback(listings)
     return filter_and_score(named, cfg)
 
 
-def scan_feeds(spark: SparkSession, landing_path: str, cfg: SearchConfig) -> DataFrame:
+def scan_feeds(spark: SparkSession, landing_path: str, cfg: SearchConfig, glob: str = feeds.FEED_FILES) -> DataFrame:
     """Landed RSS and Atom files to scored listings."""
-    items = feeds.scan_rss(spark, landing_path).unionByName(feeds.scan_atom(spark, landing_path))
+    items = feeds.scan_rss(spark, landing_path, glob).unionByName(feeds.scan_atom(spark, landing_path, glob=glob))
     return filter_and_score(mappings.normalize(feeds.as_payloads(items), "rss"), cfg)
 
 
-def _scored_column(listings: DataFrame) -> DataFrame:
-    """Listings that no keyword score was made for sort as if it were 0."""
-    if "preliminary_relevance_score" in listings.columns:
-        return listings
-    return listings.withColumn("preliminary_relevance_score", F.lit(0.0))
+def _scored_columns(listings: DataFrame) -> DataFrame:
+    """Listings that no keyword score was made for sort as if it were 0 and match no keyword."""
+    missing = {"preliminary_relevance_score": F.lit(0.0), "matched_keywords": F.array().cast("array<string>")}
+    return listings.withColumns({c: v for c, v in missing.items() if c not in listings.columns})
 
 
 @dataclass(frozen=True)
@@ -60,11 +72,12 @@ def merge_and_match(channels: list[DataFrame | None], position: list[Column | st
     `sector_keywords` has for its sectors. Listings and scores are written once, as every section reads them:
     one row per survivor; of tags beyond a first chunk the text holds the terms that some profile asks for.
     """
-    merged = report.union_channels(*channels)
+    ran = [c for c in channels if c is not None]
+    merged = report.union_channels(*ran) if ran else profiles.sparkSession.createDataFrame([], LISTING)
     deduplicated = dedup.deduplicate(merged, *position)
     chunks = materialize(dedup.array_chunks(deduplicated), "chunks")
     live = verify.merge_status(deduplicated.survivors.drop("tags", "alternate_sources"), verify.check_pages(pages))
-    placed = dedup.final_position(drop_stale(_scored_column(live), as_of))
+    placed = dedup.final_position(drop_stale(_scored_columns(live), as_of))
     current = materialize(placed, "current")
     asking = match.with_sector_terms(profiles, sector_keywords)
     later = match.terms_in_later_tags(chunks, materialize(match.profile_terms(asking, skills), "terms"))
@@ -75,15 +88,29 @@ def merge_and_match(channels: list[DataFrame | None], position: list[Column | st
     ranks = match.rank_in_tier(points.select("profile_id", "tier", "match_score", "source", "place"), position="place")
     scored = points.join(ranks.select("profile_id", "place", "rank"), ["profile_id", "place"], "left")
     ranked = points.filter(F.col("tier").isNotNull())
-    sections = {
-        "sources": report.sources_scanned(current),
-        "verification": report.verification_counts(current),
-        "salaries": report.salary_ranges(current),
-        "demand": report.keyword_demand(current),
+    sections = report.pool_sections(current) | {
         "tiers": report.tier_counts(points),
         "gaps": report.skill_gaps(match.missing_skills(ranked, profiles)),
-        "channels": report.channel_totals(current),
-        "coverage": report.source_coverage(current),
-        "pool": verify.pool_notice(current),
     }
     return Matched(current.join(chunks, "leader"), deduplicated, scored, sections)
+
+
+def run(spark: SparkSession, landed: Landing, cfg: SearchConfig, profiles: DataFrame, skills: list[str], as_of: Column, report_path: str) -> Matched:
+    """From landed files to a committed report: both scans, the merge, and every section written to `report_path`.
+
+    Both channels are written before they are merged, as a run's result sets are; a channel that was not run
+    (None) adds nothing. `sinks.read_report` reads the sections back.
+    """
+    usual = landed.glob is None
+    channels: list[DataFrame | None] = []
+    if landed.boards is not None:
+        scanned = scan_boards(spark, landed.boards, landed.manifest, cfg, glob=landing.PAYLOAD_SUFFIXES if usual else landed.glob)
+        channels.append(materialize(scanned, "boards-channel"))
+    if landed.feeds is not None:
+        channels.append(materialize(scan_feeds(spark, landed.feeds, cfg, feeds.FEED_FILES if usual else landed.glob), "feeds-channel"))
+    out = merge_and_match(
+        channels, ["source", "source_id"], landing.scan_pages(spark, landed.pages), profiles, skills, as_of,
+        landing.scan_companies(spark, landed.companies), landing.scan_sector_keywords(spark, landed.sector_keywords))
+    sinks.write_report(out.sections, report_path)
+    sinks.commit_report(spark, list(out.sections), report_path)
+    return out
