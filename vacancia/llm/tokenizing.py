@@ -20,7 +20,8 @@ import regex
 MEMO_SIZE = 250_000  # entries of a memo's generation; it saves time, never changes a result
 
 _CHUNK = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
-_OTHER = regex.compile(r"[^\x20-\x7E\xA1-\xFF\x09-\x0D]|<\|")  # also what may begin a special token
+# Bytes of Latin-1 texts that are taken apart; "<|" may begin a special token.
+_KNOWN = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA1, 0x100)])
 # Fixed value: the pattern that byte-level tokenizers use unless their file names another.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -31,6 +32,17 @@ def version(path: str) -> bytes:
         return hashlib.sha256(f.read()).digest()
 
 
+def vocabulary_size(path: str) -> int:
+    """One above the largest id of a tokenizer file."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=path).get_piece_size()
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
+
+
 def byte_letters() -> list[str]:
     """The letter a byte-level vocabulary writes for each byte: itself if printable, else one from U+0100 on."""
     printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
@@ -38,6 +50,15 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+def taken_whole(text: str) -> bool:
+    """Whether a text has characters on which Unicode tables may differ, or what may begin a special token."""
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return True
+    return b"<|" in data or bool(data.translate(None, _KNOWN))
+
+
 class Memo(dict):
     """Results of `make` by key. A full generation becomes the old one, from which what is asked again returns."""
 
@@ -45,11 +66,11 @@ class Memo(dict):
         self.make, self.old = make, {}
 
     def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        found = self[key] = self.make(key) if found is None else found
         if len(self) >= MEMO_SIZE:
             self.old = dict(self)
             self.clear()
-        found = self.old.get(key)
-        found = self[key] = self.make(key) if found is None else found
         return found
 
 
@@ -92,20 +113,23 @@ class Encoder:
         self.letters = dict(enumerate(byte_letters()))
 
     def ids(self, text: str) -> bytes:
-        if self.model is None or _OTHER.search(text):
+        if self.model is None or taken_whole(text):
             return self.whole(text)
-        return b"".join(map(self.chunks.__getitem__, self.taken_apart(text)))
+        return b"".join(map(self.chunks.__getitem__, self.taken_apart(text.lower() if self.lower else text)))
 
     def of_chunk(self, chunk: str) -> bytes:
         if self.lower:
             chunk = chunk.lower()
         if chunk.isalpha() or chunk[0] == " " and chunk[1:].isalpha():
-            return self.pieces[chunk]  # letters, at most one blank before them: a single piece
+            return self.of_piece(chunk)  # letters, at most one blank before them: a single piece
+        if chunk[-1] in ".,;:!?)" and (chunk[:-1].isalpha() or chunk[0] == " " and chunk[1:-1].isalpha()):
+            return self.chunks[chunk[:-1]] + self.pieces[chunk[-1]]  # the same and a mark, which is a piece
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk)))
 
     def of_piece(self, piece: str) -> bytes:
-        letters = piece.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        if not (piece.isascii() and piece.isalpha()):  # those letters write themselves
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
 
 @lru_cache(maxsize=2)

@@ -24,6 +24,7 @@ from vacancia.llm.common import stored
 REVISIT_LEAST = 1000  # smaller payloads are always written out
 FILE_BYTES = 256 << 20  # a monolithic file is closed once it has taken in so many bytes: one task inflates it
 CHUNK = 1 << 20
+READ_BYTES = 8 << 20  # bytes of records a reading task takes, about
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILES = "path string, records long"
@@ -198,7 +199,10 @@ def parsed(data: bytes) -> dict:
 
 
 def read_records(index: DataFrame) -> DataFrame:
-    """Read the records that an INDEX table names, each by its own offset and length."""
+    """Read the records that a stored INDEX table names, each by its own offset and length.
+
+    As many tasks read as the bytes of the records need, however few splits the index has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, file = None, None
@@ -219,7 +223,10 @@ def read_records(index: DataFrame) -> DataFrame:
             if rows:
                 yield records_batch(rows)
 
-    return index.mapInArrow(run, RECORDS)
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+    near = F.floor(F.col("offset") / READ_BYTES)  # neighbours in a file stay together
+    dealt = index.repartition(max(1, -(-size // READ_BYTES)), "path", near).sortWithinPartitions("path", "offset")
+    return dealt.mapInArrow(run, RECORDS)
 
 
 _RECORDS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string()), ("payload", pa.binary())])
