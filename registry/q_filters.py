@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from registry.base import query
 from registry.sql import COMPANIES, DOCUMENT_LISTINGS, EVENTS, FULL_TEXT, PART_LISTINGS, PART_PAGES, PROFILES, SECTOR_KEYWORDS, seniority, with_tables
-from registry.tables import companies, document_listings, event_listings, part_listings, part_pages, profiles, sector_keywords
+from registry.tables import companies, document_listings, event_listings, load, part_listings, part_pages, profiles, sector_keywords
 from vacancia.functions import text
 from vacancia.functions.infer import backfill_company
 from vacancia.operators import filters as fl
 from vacancia.operators import match, order, report, verify
+from vacancia.operators.containment import contained_terms
 
 PART = with_tables(PART_LISTINGS)
 KEYWORDS = ["senior", "widget", "economy", "Brand#1 ", "nowhere"]
@@ -154,3 +155,25 @@ def j4(spark, sf):
 
     return hits(part_listings(spark, sf), "part", ["red", "bolt", "brand#2", "work on"]).unionByName(
         hits(document_listings(spark, sf), "document", ["tion", "src1", "the "]))
+
+
+def dictionary_terms(spark, sf):
+    """Thousands of terms of one to many letters: words of benchmark texts, phrases of parts, ends of customer names."""
+    words = load(spark, sf, "benchmark").select(F.explode(F.split("text", " ")).alias("w"))
+    phrases = load(spark, sf, "part").select(F.concat("p_type", F.lit(" line "), "p_name"))
+    return words.union(phrases).union(load(spark, sf, "customer").select(F.substring("c_name", 10, 2))).filter("w <> ''").select(F.lower("w").alias("term")).distinct()
+
+
+@query("j4_dictionary_terms", with_tables(PART_LISTINGS, DOCUMENT_LISTINGS) + f"""SELECT kind, pos, count(*) AS terms, md5(string_agg(term, ',' ORDER BY term)) AS digest FROM (
+  SELECT kind, pos, term FROM (SELECT 'part' AS kind, pos, {FULL_TEXT} AS f FROM listings UNION ALL SELECT 'document', pos, {FULL_TEXT} FROM doc_listings),
+    (SELECT DISTINCT lower(w) AS term FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark UNION ALL SELECT p_type || ' line ' || p_name FROM part UNION ALL SELECT substr(c_name, 10, 2) FROM customer) WHERE w <> '')
+  WHERE contains(f, term)) GROUP BY kind, pos""")
+def j4_dictionary(spark, sf):
+    """Which terms of a dictionary table each listing holds."""
+    texts = [df.select(F.concat(F.lit(f"{kind} "), F.col("pos").cast("string")).alias("key"), text.searchable_text().alias("full"))
+             for kind, df in (("part", part_listings(spark, sf)), ("document", document_listings(spark, sf)))]
+    found = contained_terms(texts[0].union(texts[1]), "key", "full", dictionary_terms(spark, sf))
+    digest = F.md5(F.array_join(F.sort_array(F.collect_list("term")), ","))
+    out = found.groupBy("key").agg(F.count("*").alias("terms"), digest.alias("digest"))
+    at = F.split("key", " ")
+    return out.select(at[0].alias("kind"), at[1].cast("bigint").alias("pos"), "terms", "digest")

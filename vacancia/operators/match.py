@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacancia.functions.infer import SENIORITY_ORDER, company_key, source_priority
 from vacancia.functions.text import lowered, searchable_text, terms_found
+from vacancia.operators.containment import contained_terms
 from vacancia.operators.filters import keyword_score
 from vacancia.operators.order import rank_within
+from vacancia.session import materialize
 
 SKILLS, SENIORITY, SECTOR, WORK_MODE, VALUES, RECENCY = 30.0, 20.0, 20.0, 15.0, 10.0, 5.0
 UNKNOWN_RECENCY = 3.0
@@ -95,12 +97,56 @@ def terms_in_later_tags(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     ends = chunks.select("leader", (F.col("chunk") + 1).alias("chunk"), F.slice("tags", -F.least(F.size("tags"), F.lit(before)), before).alias("_end")) if before else None
     read = later.join(ends, ["leader", "chunk"]).withColumn("tags", F.concat("_end", "tags")) if before else later
     text = read.select("leader", F.lower(F.array_join("tags", " ")).alias("_text"))
-    found = text.join(terms, F.contains("_text", "term")).select("leader", "term").distinct()
+    keyed = materialize(text.withColumn("_part", F.monotonically_increasing_id()), "later-texts")
+    met = contained_terms(keyed, "_part", "_text", terms)
+    found = met.join(keyed.select("_part", "leader"), "_part").select("leader", "term").distinct()
     return found.groupBy("leader").agg(F.sort_array(F.collect_list("term")).alias("later_terms"))
 
 
+def skill_dictionary(spark: SparkSession, skills: Sequence[str]) -> DataFrame:
+    """ord, skill, term (as it is looked for in a text) of the skills that are not blank."""
+    rows = [(i, t, t.lower().strip()) for i, t in enumerate(skills) if t.strip()]
+    return spark.createDataFrame(rows, "ord int, skill string, term string")
+
+
+def _listed(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.sort_array(F.collect_set(value)).alias(name))
+
+
+def with_found_terms(listings: DataFrame, key: str, texts: DataFrame, profiles: DataFrame, dictionary: DataFrame, later: DataFrame | None = None) -> DataFrame:
+    """Add `found_terms`, `title_terms` and `required_skills` (in dictionary order) to listings with a unique `key`.
+
+    `texts` has key, `title` and `full`, both in lower case. The terms that profiles (with `sector_terms`) and
+    `dictionary` (see `skill_dictionary`) ask for are looked for once per listing by the containment join,
+    so pairs with profiles compare sets. `later` is key, later_terms of what the text does not hold.
+    """
+    asked = materialize(profile_terms(profiles, []).union(dictionary.select("term")).distinct(), "terms")
+    found = contained_terms(texts, key, "full", asked)
+    if later is not None:
+        found = found.union(later.select(key, F.explode("later_terms")))
+    found = materialize(found, "found-terms")
+    sector = profiles.select(F.explode("sector_terms").alias("term")).select(F.lower("term").alias("term"))
+    titles = contained_terms(texts, key, "title", sector)
+    in_order = found.distinct().join(dictionary, "term").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ord", "skill"))).alias("_skills"))
+    in_order = in_order.select(key, F.transform("_skills", lambda s: s["skill"]).alias("required_skills"))
+    out = listings
+    for part in (_listed(found, key, "term", "found_terms"), _listed(titles, key, "term", "title_terms"), in_order):
+        out = out.join(part, key, "left")
+    empty = F.array().cast("array<string>")
+    return out.withColumns({c: F.coalesce(c, empty) for c in ("found_terms", "title_terms", "required_skills")})
+
+
+def _holds(found: str, text: Column, pairs: DataFrame):
+    """Test of a term: whether it was found before the pairs were made (`with_found_terms`), else whether the text has it."""
+    if found in pairs.columns:
+        return lambda t: (F.lower(t) == "") | F.array_contains(F.col(found), F.lower(t))
+    return lambda t: F.contains(text, F.lower(t))
+
+
 def _text_of(pairs: DataFrame) -> Column:
     """The searchable text, taken over where it was made once per listing before the join."""
+    if "found_terms" in pairs.columns:
+        return F.lit(None).cast("string")  # the terms are known, the text is not looked at
     return F.col("search_text") if "search_text" in pairs.columns else searchable_text()
 
 
@@ -148,7 +194,7 @@ def meets_dealbreakers(pairs: DataFrame) -> DataFrame:
     """Pairs in an accepted work mode whose text has none of the profile's dealbreaker terms."""
     mode_ok = (F.size("work_modes") == 0) | F.array_contains("work_modes", F.col("work_mode"))
     return pairs.filter(mode_ok).withColumn("_full", _text_of(pairs)).filter(
-        ~F.exists("dealbreaker_terms", lambda t: F.contains(F.col("_full"), F.lower(t)))
+        ~F.exists("dealbreaker_terms", _holds("found_terms", F.col("_full"), pairs))
     ).drop("_full")
 
 
@@ -179,13 +225,10 @@ def seniority_points(seniority: Column, targets: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.0), SENIORITY - 10.0 * nearest), F.lit(0.0))
 
 
-def sector_points(title: Column, full: Column, sector_terms: Column, sectors: Column, company_sectors: Column) -> Column:
+def sector_points(in_title, in_text, sector_terms: Column, sectors: Column, company_sectors: Column) -> Column:
     """All points for a sector term in the title or a shared company sector, half for one in the text."""
-    def found(text):
-        return F.exists(sector_terms, lambda k: F.contains(text, F.lower(k)))
-
     shared = F.coalesce(F.arrays_overlap(sectors, company_sectors), F.lit(False))
-    return F.when(found(title) | shared, SECTOR).when(found(full), SECTOR / 2).otherwise(0.0)
+    return F.when(F.exists(sector_terms, in_title) | shared, SECTOR).when(F.exists(sector_terms, in_text), SECTOR / 2).otherwise(0.0)
 
 
 def work_mode_points(mode: Column, preferred: Column) -> Column:
@@ -198,9 +241,9 @@ def work_mode_points(mode: Column, preferred: Column) -> Column:
     )
 
 
-def values_points(full: Column, terms: Column) -> Column:
+def values_points(in_text, terms: Column) -> Column:
     """Share of the profile's value terms found in the text."""
-    hits = F.size(F.filter(terms, lambda t: F.contains(full, F.lower(t))))
+    hits = F.size(F.filter(terms, in_text))
     return F.when(F.size(terms) == 0, 0.0).otherwise(F.lit(VALUES) * hits / F.greatest(F.size(terms), F.lit(1)))
 
 
@@ -224,13 +267,14 @@ def match_score(pairs: DataFrame, as_of: Column) -> DataFrame:
     Pairs carry the profile columns, plus `sector_terms`, `company_sectors` and `required_skills`.
     """
     work = pairs.select("*", lowered("title").alias("_title"), _text_of(pairs).alias("_full"))
+    in_title, in_text = _holds("title_terms", F.col("_title"), pairs), _holds("found_terms", F.col("_full"), pairs)
     work = work.select(
         "*",
         skills_points(F.col("required_skills"), F.col("skills")).alias("score_skills"),
         seniority_points(F.col("seniority"), F.col("seniority_targets")).alias("score_seniority"),
-        sector_points(F.col("_title"), F.col("_full"), F.col("sector_terms"), F.col("sectors"), F.col("company_sectors")).alias("score_sector"),
+        sector_points(in_title, in_text, F.col("sector_terms"), F.col("sectors"), F.col("company_sectors")).alias("score_sector"),
         work_mode_points(F.col("work_mode"), F.col("work_modes")).alias("score_work_mode"),
-        values_points(F.col("_full"), F.col("value_terms")).alias("score_values"),
+        values_points(in_text, F.col("value_terms")).alias("score_values"),
         recency_points(F.col("posted_date"), as_of).alias("score_recency"),
     ).drop("_title", "_full")
     total = sum((F.col(f"score_{d}") for d in DIMENSIONS[1:]), F.col("score_skills"))

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vacancia.functions.text import lowered, searchable_text
 from vacancia.operators import dedup, match, report, sinks, verify
 from vacancia.operators.filters import SearchConfig, drop_stale, filter_and_score
 from vacancia.schema import API_SOURCES, ATS_SOURCES, LISTING
@@ -79,11 +80,13 @@ def merge_and_match(channels: list[DataFrame | None], position: list[Column | st
     live = verify.merge_status(deduplicated.survivors.drop("tags", "alternate_sources"), verify.check_pages(pages))
     placed = dedup.final_position(drop_stale(_scored_columns(live), as_of))
     current = materialize(placed, "current")
-    asking = match.with_sector_terms(profiles, sector_keywords)
-    later = match.terms_in_later_tags(chunks, materialize(match.profile_terms(asking, skills), "terms"))
+    asking = materialize(match.with_sector_terms(profiles, sector_keywords), "asking")
+    dictionary = match.skill_dictionary(profiles.sparkSession, skills)
+    later = match.terms_in_later_tags(chunks, materialize(match.profile_terms(asking, [t.strip() for t in skills]), "terms"))
     first = chunks.filter("chunk = 0").select("leader", "tags")
-    texts = match.with_required_skills(current.join(first, "leader").join(later, "leader", "left"), skills).drop("tags")
-    pairs = match.every_pair(match.with_company_sectors(texts, companies), asking)
+    texts = materialize(current.join(first, "leader").select("leader", lowered("title").alias("title"), searchable_text().alias("full")), "texts")
+    known = match.with_found_terms(match.with_company_sectors(current, companies), "leader", texts, asking, dictionary, later)
+    pairs = match.every_pair(known, asking)
     points = materialize(match.match_score(match.meets_dealbreakers(pairs), as_of), "scored")
     ranks = match.rank_in_tier(points.select("profile_id", "tier", "match_score", "source", "place"), position="place")
     scored = points.join(ranks.select("profile_id", "place", "rank"), ["profile_id", "place"], "left")
