@@ -2,8 +2,10 @@
 
 A window is WINDOW consecutive words. Its anchor is its phrase of PHRASE words with the least hash, so equal
 windows have equal anchors, at the same place in the window. Windows whose anchor occurs nowhere else are
-out; the others are counted, and those seen twice or more are the recurring passages. The anchor also names
-the shard in which a passage's automaton is compiled and through which all text around that anchor streams.
+out. Around each other anchor, windows are compared word by word; those that stand at two places or more
+make up the recurring passages, a table of texts with one row for each. The anchor also names the shard in
+which the automaton of its passages is compiled from that table, and through which all text around the
+anchor streams: what the automaton meets is what is removed.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ OUTPUT = 4 << 20  # characters of text in an Arrow batch, about
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STRETCH = "doc_id long, row long, start int, n int, anchor long"
-_TEXTS = _STRETCH + ", copies long, words string, passages array<long>"
+_TEXTS = _STRETCH + ", copies long, words string"
+_PASSAGES = "anchor long, copies long, words string"
 
 
 class Words(dict):
@@ -118,31 +121,26 @@ def anchored(rows: DataFrame, window: int, phrase: int) -> DataFrame:
 
 
 def with_words(rows: DataFrame, hits: DataFrame, window: int) -> DataFrame:
-    """_TEXTS rows: words and hashes of the windows of every stretch in `hits` (doc, copies of its anchor)."""
+    """_TEXTS rows: the words of the windows of every stretch in `hits` (doc, copies of its anchor)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "row", "start", "n", "anchor", "copies", "words", "passages"]
+        names = ["doc_id", "row", "start", "n", "anchor", "copies", "words"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            *plain, passages = zip(*rows, strict=True)
-            ends = np.cumsum([0, *map(len, passages)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(passages)))
-            return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(plain, kinds, strict=True)], lists], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for batch in batches:
-            found, size, known = [], 0, vocabulary()
+            found, size = [], 0
             for row in batch.to_pylist():
                 words = row["text"].encode().split()
-                passages = gram_hashes(known.hashed(words), window).view(np.int64)
                 for h in sorted(row["hits"], key=lambda h: h["start"]):
-                    text = b" ".join(words[h["start"] : h["start"] + h["n"] + window - 1]).decode()
-                    own = passages[h["start"] : h["start"] + h["n"]]
-                    found.append((row["doc_id"], row["row"], h["start"], h["n"], h["anchor"], h["copies"], text, own))
+                    text = b" ".join(words[h["start"] : h["start"] + h["n"] + window - 1])
+                    found.append((row["doc_id"], row["row"], h["start"], h["n"], h["anchor"], h["copies"], text))
                     size += len(text)
-                if size > OUTPUT:
-                    yield batch_of(found)
-                    found, size = [], 0
+                    if size > OUTPUT:
+                        yield batch_of(found)
+                        found, size = [], 0
             if found:
                 yield batch_of(found)
 
@@ -151,24 +149,102 @@ def with_words(rows: DataFrame, hits: DataFrame, window: int) -> DataFrame:
     return keyed.join(by_doc, "doc").select("doc.doc_id", "doc.row", "text", "hits").mapInArrow(run, _TEXTS)
 
 
-def windows_of(texts: list[str], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of several texts at once: numbers of all words, words in each text, and place and hash of every window."""
-    known, words, sizes = vocabulary(), [], []
-    for text in texts:
-        own = text.encode().split()
-        words += own
-        sizes.append(len(own))
-    numbers, sizes = known.numbers(words), np.array(sizes)
+def windows_of(texts: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of several texts at once: numbers of all words, and text, place and hash of every window."""
+    known, sizes = vocabulary(), np.array([len(t) for t in texts])
+    numbers = known.numbers([w for t in texts for w in t])
     counts = sizes - window + 1
     at = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    return numbers, sizes, at, gram_hashes(known.hashes[numbers], window)[at].view(np.int64)
+    return numbers, np.repeat(np.arange(len(texts)), counts), at, gram_hashes(known.hashes[numbers], window)[at]
 
 
-def recurring(texts: DataFrame) -> DataFrame:
-    """anchor, passage of the windows whose words stand at two places or more."""
-    windows = texts.select("anchor", F.explode("passages").alias("passage"))
-    counts = windows.groupBy("anchor", "passage").agg(F.count("*").alias("n"))
-    return stored(counts.filter("n > 1").select("anchor", "passage"), "repeat-passages", "zstd")
+def same_windows(numbers: np.ndarray, at: np.ndarray, groups: np.ndarray, hashes: np.ndarray, window: int) -> np.ndarray:
+    """For each window a class such that windows of one group have the same one if and only if all their words are equal.
+
+    Windows sort by group and hash; each is then compared word by word with the first of its run. Where a
+    run holds different words (two hashes collided), its windows are told apart by the words themselves.
+    """
+    order = np.lexsort((hashes, groups))
+    new = np.concatenate([[True], (groups[order][1:] != groups[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])])
+    run = np.cumsum(new) - 1
+    mine, first = at[order], at[order][new][run]
+    equal = np.ones(len(at), bool)
+    for k in range(window):
+        equal &= numbers[mine + k] == numbers[first + k]
+    if not equal.all():
+        kinds: dict[tuple, int] = {}
+        for i in np.flatnonzero(np.isin(run, run[~equal])).tolist():
+            key = (int(run[i]), numbers[mine[i] : mine[i] + window].tobytes())
+            run[i] = kinds.setdefault(key, len(order) + len(kinds))
+    out = np.empty(len(at), np.int64)
+    out[order] = run
+    return out
+
+
+def passages_of(rows: list[tuple], window: int) -> Iterator[tuple]:
+    """(anchor, copies, words) of the recurring passages in all (anchor, copies, words) rows of some anchors, each once.
+
+    A passage is a run of neighbouring windows of one text that each stand at two places or more.
+    """
+    texts = [row[2].split() for row in rows]
+    numbers, text, at, hashes = windows_of(texts, window)
+    groups = np.unique([row[0] for row in rows], return_inverse=True)[1][text]
+    _, kind, often = np.unique(same_windows(numbers, at, groups, hashes, window), return_inverse=True, return_counts=True)
+    recurs = np.flatnonzero(often[kind] > 1)
+    if not len(recurs):
+        return
+    cuts = np.flatnonzero((np.diff(recurs) > 1) | (np.diff(text[recurs]) > 0))
+    firsts, lasts = recurs[np.concatenate([[0], cuts + 1])], recurs[np.concatenate([cuts, [len(recurs) - 1]])]
+    begin, seen = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])), set()
+    for i, j in zip(firsts.tolist(), lasts.tolist(), strict=True):
+        own, at_first = text[i], begin[np.searchsorted(begin, i, "right") - 1]
+        passage = (rows[own][0], rows[own][1], b" ".join(texts[own][i - at_first : j - at_first + window]))
+        if passage not in seen:
+            seen.add(passage)
+            yield passage
+
+
+def recurring(texts: DataFrame, window: int, shard: int) -> DataFrame:
+    """_PASSAGES rows: the passages that recur, confirmed by their words, one row for each text.
+
+    All texts around an anchor are compared in one task, many anchors to a task. An anchor with more than
+    `shard` texts has its windows counted one by one, by anchor and words, and each that recurs is a passage.
+    """
+    shards = max(1, -(-texts.count() // shard))
+
+    def of_batch(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)], ["anchor", "copies", "words"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            for anchor, copies, words in zip(batch.column("anchor").to_pylist(), batch.column("copies").to_pylist(), batch.column("words"), strict=True):
+                if len(held) >= shard and anchor != last:
+                    if found := list(passages_of(held, window)):
+                        yield of_batch(found)
+                    held = []
+                held.append((anchor, copies, words.as_buffer().to_pybytes()))
+                last = anchor
+        if held and (found := list(passages_of(held, window))):
+            yield of_batch(found)
+
+    def singly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for anchor, copies, text in zip(batch.column("anchor").to_pylist(), batch.column("copies").to_pylist(), batch.column("words"), strict=True):
+                words = text.as_py().encode().split()
+                for at in range(0, len(words) - window + 1, shard):
+                    yield of_batch([(anchor, copies, b" ".join(words[i : i + window])) for i in range(at, min(at + shard, len(words) - window + 1))])
+
+    columns = texts.select("anchor", "copies", "words")
+    few = columns.filter(F.col("copies") <= shard).withColumn("group", F.pmod("anchor", F.lit(shards)))
+    few = few.repartition("group").sortWithinPartitions("anchor").select("anchor", "copies", "words").mapInArrow(together, _PASSAGES)
+    # Copies of a text count once, with their number: a crowd of equal texts is one row before it is taken apart.
+    many = columns.filter(F.col("copies") > shard).groupBy("anchor", "copies", "words").agg(F.count("*").alias("n"))
+    apart = many.filter("n = 1").select("anchor", "copies", "words").mapInArrow(singly, _PASSAGES).withColumn("n", F.lit(1).cast("long"))
+    twice = many.filter("n > 1").select("anchor", "copies", "words")
+    apart = apart.union(twice.mapInArrow(singly, _PASSAGES).withColumn("n", F.lit(2).cast("long")))
+    counted = apart.groupBy("anchor", "copies", "words").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor", "copies", "words")
+    return stored(few.union(counted), "repeat-passages", "zstd")
 
 
 def letters(numbers: np.ndarray) -> str:
@@ -177,91 +253,62 @@ def letters(numbers: np.ndarray) -> str:
     return (codes + 0x800 * (codes >= 0xD800)).astype("<u4").tobytes().decode("utf-32-le")
 
 
-def locate(rows: list[tuple], passages: np.ndarray, window: int) -> Iterator[tuple]:
-    """(doc_id, row, first word, word behind the last) of what recurring passages cover in (doc_id, row, start, anchor, words) rows.
-
-    Windows that recur, as `passages` (a sorted array of `passage_keys`) says, and follow each other make one
-    passage. The automaton of all passages of these rows, a word being a letter, runs over all their text.
-    """
-    numbers, sizes, at, hashes = windows_of([r[4] for r in rows], window)
-    text = letters(np.unique(numbers, return_inverse=True)[1])
-    ends = np.cumsum(sizes)
-    keys = passage_keys(np.repeat(np.array([r[3] for r in rows], np.int64), sizes - window + 1), hashes)
-    recurs = at[passages[np.minimum(np.searchsorted(passages, keys), len(passages) - 1)] == keys]
-    if not len(recurs):
-        return
-    # Windows of different rows are never neighbours: the last words of a row begin none.
-    cuts = np.flatnonzero(np.diff(recurs) > 1)
-    firsts, lasts = recurs[np.concatenate([[0], cuts + 1])], recurs[np.concatenate([cuts, [len(recurs) - 1]])]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for passage in {text[i : j + window] for i, j in zip(firsts.tolist(), lasts.tolist(), strict=True)}:
-        automaton.add_word(passage)
-    automaton.make_automaton()
-    for row, begin, end in zip(rows, (ends - sizes).tolist(), ends.tolist(), strict=True):
-        spans: list[list[int]] = []
-        for first, behind in sorted((last + 1 - length, last + 1) for last, length in automaton.iter(text, begin, end)):
-            if spans and first <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], behind)
+class Locator:
+    """Automaton of passages, a word being a letter; words that no passage has are all the same letter."""
+
+    def __init__(self, passages: list[bytes]):
+        self.words: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for passage in passages:
+            number = self.words.setdefault
+            self.automaton.add_word(letters(np.array([number(w, len(self.words) + 1) for w in passage.split()])))
+        self.automaton.make_automaton()
+
+    def spans(self, words: bytes) -> list[list[int]]:
+        """First word and word behind the last of what passages cover in a text, from the automaton alone."""
+        number, found = self.words.get, []
+        text = letters(np.fromiter((number(w, 0) for w in words.split()), np.int64))
+        for first, behind in sorted((last + 1 - length, last + 1) for last, length in self.automaton.iter(text)):
+            if found and first <= found[-1][1]:
+                found[-1][1] = max(found[-1][1], behind)
             else:
-                spans.append([first, behind])
-        for first, behind in spans:
-            yield row[0], row[1], row[2] + first - begin, row[2] + behind - begin
-
-
-def passage_keys(anchors: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """One 64-bit key for an anchor and a window's hash."""
-    mixed = anchors.view(np.uint64) * _BASE ^ hashes.view(np.uint64)
-    return mixed ^ (mixed >> np.uint64(32))
+                found.append([first, behind])
+        return found
 
 
-def occurrences(texts: DataFrame, passages: DataFrame, window: int, shard: int) -> DataFrame:
+def occurrences(texts: DataFrame, passages: DataFrame, shard: int) -> DataFrame:
     """doc_id, row, start, stop: words covered by recurring passages. Stretches of a document may overlap.
 
-    Texts and passages of a shard meet in one sorted stream: keys first, then texts, at most `shard` of
-    them in an automaton. An anchor with more stretches than that goes to several shards by document, each
-    with all of the anchor's passages.
+    Texts and passages of a shard meet in one sorted stream: passages first, which make the automaton, then
+    texts, which run through it. An anchor with more than `shard` texts goes to several shards by document,
+    each with all of the anchor's passages. Texts around an anchor without passages are not sent.
     """
     shards = max(1, -(-texts.count() // shard))
-    group = F.pmod("anchor", F.lit(shards))
-    parts = F.ceil(F.col("copies") / shard).cast("int")
-    nothing = {c: F.lit(None).cast(t) for c, t in (("doc_id", "long"), ("row", "long"), ("start", "int"), ("words", "string"), ("passage", "long"))}
-    columns = ["group", "part", "kind", "anchor", "passage", "doc_id", "row", "start", "words"]
-    streams = texts.withColumns({"group": group, "part": F.pmod(F.xxhash64("doc_id", "row", "start"), parts).cast("int"), "kind": F.lit(1), "passage": nothing["passage"]})
-    dealt = texts.filter(F.col("copies") > shard).groupBy("anchor").agg(F.max("copies").alias("copies"))
-    keys = passages.join(dealt, "anchor", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1)))
-    keys = keys.withColumns({"group": group, "kind": F.lit(0)} | {c: nothing[c] for c in ("doc_id", "row", "start", "words")})
+    group, parts = F.pmod("anchor", F.lit(shards)), F.ceil(F.col("copies") / shard).cast("int")
+    place = {"doc_id": "long", "row": "long", "start": "int"}
+    columns = ["group", "part", "kind", *place, "words"]
+    anchors = stored(passages.select("anchor").distinct(), "repeat-anchored")
+    met = texts.join(anchors, "anchor", "left_semi")
+    streams = met.withColumns({"group": group, "part": F.pmod(F.xxhash64("doc_id", "row", "start"), parts).cast("int"), "kind": F.lit(1)})
+    keys = passages.withColumns({"group": group, "part": F.explode(F.sequence(F.lit(0), parts - 1)), "kind": F.lit(0)} | {c: F.lit(None).cast(t) for c, t in place.items()})
     both = streams.select(*columns).union(keys.select(*columns)).repartition("group", "part").sortWithinPartitions("group", "part", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, sorted_keys, held = None, [], None, []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held and len(sorted_keys):
-                found = list(locate(held, sorted_keys, window))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "row", "start", "stop"])
-            held.clear()
-
+        now, passages, locator = None, [], None
         for batch in batches:
-            groups = np.stack([batch.column("group").to_numpy(), batch.column("part").to_numpy(), batch.column("kind").to_numpy()], axis=1)
-            cuts = np.flatnonzero((groups[1:] != groups[:-1]).any(axis=1)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(groups)], strict=True):
-                part = batch.slice(a, b - a)
-                if (here := tuple(groups[a, :2])) != now:
-                    if held:
-                        yield from flush()
-                    now, keys, sorted_keys = here, [], None
-                if groups[a, 2] == 0:
-                    keys.append(passage_keys(part.column("anchor").to_numpy(), part.column("passage").to_numpy()))
+            found = []
+            for group, part, kind, doc_id, row, start, words in zip(*(batch.column(c).to_pylist() for c in columns[:6]), batch.column("words"), strict=True):
+                if (group, part) != now:
+                    now, passages, locator = (group, part), [], None
+                words = words.as_buffer().to_pybytes()
+                if kind == 0:
+                    passages.append(words)
                     continue
-                if sorted_keys is None:
-                    sorted_keys, keys = np.sort(np.concatenate(keys)) if keys else np.empty(0, np.uint64), []
-                for row in zip(*(part.column(c).to_pylist() for c in ("doc_id", "row", "start", "anchor", "words")), strict=True):
-                    held.append(row)
-                    if len(held) == shard:
-                        yield from flush()
-        if held:
-            yield from flush()
+                if locator is None:
+                    locator, passages = Locator(passages), []
+                found += [(doc_id, row, start + first, start + behind) for first, behind in locator.spans(words)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "row", "start", "stop"])
 
     return both.mapInArrow(run, "doc_id long, row long, start int, stop int")
 
@@ -304,8 +351,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     texts = stored(with_words(rows, hits, window), "repeat-texts", "zstd")
     for done in (places, shared):
         discard(done)
-    passages = recurring(texts)
-    covered = stored(occurrences(texts, passages, window, shard), "repeat-covered")
+    passages = recurring(texts, window, shard)
+    covered = stored(occurrences(texts, passages, shard), "repeat-covered")
     for done in (texts, passages):
         discard(done)
     return cut(rows, covered)
