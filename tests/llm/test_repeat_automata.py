@@ -38,3 +38,26 @@ def test_passages_around_one_phrase(spark):
     expected = brute_repeats([(i, t or "") for i, t in rows], 35)
     for shard in (1, 7, 5000):
         assert rows_of(repeats.remove_repeats(docs, shard=shard), "doc_id", "n_words", "n_removed", "kept_sha256") == expected
+
+
+def test_word_hashes(monkeypatch):
+    """A word has one hash wherever it stands and however the text is cut into pieces; different words have others."""
+    from vacancia.llm import wordhash
+
+    data = "a bb  ab ba\tabc été 中文 a \n x\x00y ".encode() + b"w" * 70 + b" tail " + b"w" * 71 + b" a"
+    whole = wordhash.word_hashes(data)
+    assert len(whole) == len(data.split()) and wordhash.word_hashes(b"").tolist() == wordhash.word_hashes(b" \n").tolist() == []
+    by_word = dict(zip(data.split(), whole.tolist(), strict=True))
+    assert [by_word[w] for w in data.split()] == whole.tolist() and len(set(by_word.values())) == len(by_word)
+    monkeypatch.setattr(wordhash, "PIECE", 75)
+    assert wordhash.word_hashes(data).tolist() == whole.tolist()
+    monkeypatch.setattr(wordhash, "PIECE", 16)  # the two long words are now hashed alone
+    short = [w for w in data.split() if len(w) < 16]
+    assert [h for w, h in zip(data.split(), wordhash.word_hashes(data).tolist(), strict=True) if len(w) < 16] == [by_word[w] for w in short]
+
+
+def test_leftmost_least():
+    rng = np.random.default_rng(1)
+    for n, width in ((1, 1), (28, 28), (50, 28), (40, 7), (9, 2)):
+        values = rng.integers(0, 9, n)
+        assert repeats.leftmost_least(values, width).tolist() == [k + int(np.argmin(values[k : k + width])) for k in range(n - width + 1)]

@@ -11,6 +11,7 @@ anchor streams: what the automaton meets is what is removed.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,14 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacancia.llm.common import discard, stored
+from vacancia.llm.wordhash import gram_hashes, word_hashes
 
 WINDOW, PHRASE = 35, 8
 SHARD = 2000  # stretches of text in a shard, and in an automaton, about; an anchor with more is dealt to several
 VOCABULARY = 400_000  # words a task remembers before it starts afresh
 OUTPUT = 4 << 20  # characters of text in an Arrow batch, about
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STRETCH = "doc_id long, row long, start int, n int, anchor long"
 _TEXTS = _STRETCH + ", copies long, words string"
 _PASSAGES = "anchor long, copies long, words string"
@@ -69,28 +69,22 @@ def vocabulary() -> Words:
     return held[0]
 
 
-@lru_cache(maxsize=4)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.ones(size, np.uint64), np.ones(size, np.uint64)
-    up[1:], down[1:] = _BASE, _INVERSE
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def gram_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hash of every run of `width` words, from running sums of a polynomial modulo 2**64."""
-    n = len(hashes)
-    up, down = _powers(1 << max(10, n.bit_length()))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:n], dtype=np.uint64)])
-    found = (sums[width:] - sums[:-width]) * down[: n - width + 1]
-    found = (found ^ (found >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return found ^ (found >> np.uint64(29))
+def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Index of the first least value of every run of `width` values: runs of 1, 2, 4... and then two that overlap."""
+    at, step = np.arange(len(values)), 1
+    while step < width:
+        ahead = min(step, width - step)
+        right = values[ahead:] < values[:-ahead]
+        at, values = np.where(right, at[ahead:], at[:-ahead]), np.where(right, values[ahead:], values[:-ahead])
+        step += ahead
+    return at
 
 
 def stretches(hashes: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, number of windows and anchor of each run of windows with the same anchor place."""
     phrases = gram_hashes(hashes, phrase)
     n, per = len(hashes) - window + 1, window - phrase + 1
-    least = np.lib.stride_tricks.sliding_window_view(phrases, per).argmin(axis=1) + np.arange(n)
+    least = leftmost_least(phrases, per)
     starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     return starts, np.diff(np.append(starts, n)), phrases[least[starts]].view(np.int64)
 
@@ -105,12 +99,12 @@ def anchored(rows: DataFrame, window: int, phrase: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known, index, found = vocabulary(), [], []
+            index, found = [], []
             for i, text in enumerate(batch.column("text")):
-                words = text.as_py().encode().split()
-                if len(words) >= window:
+                hashes = word_hashes(text.as_py().encode())
+                if len(hashes) >= window:
                     index.append(i)
-                    found.append(stretches(known.hashed(words), window, phrase))
+                    found.append(stretches(hashes, window, phrase))
             if found:
                 starts, counts, anchors = (np.concatenate(x) for x in zip(*found, strict=True))
                 at = pa.array(np.repeat(index, [len(x[0]) for x in found]))
@@ -184,13 +178,17 @@ def same_windows(numbers: np.ndarray, at: np.ndarray, groups: np.ndarray, hashes
 def passages_of(rows: list[tuple], window: int) -> Iterator[tuple]:
     """(anchor, copies, words) of the recurring passages in all (anchor, copies, words) rows of some anchors, each once.
 
-    A passage is a run of neighbouring windows of one text that each stand at two places or more.
+    A passage is a run of neighbouring windows of one text that each stand at two places or more. Equal texts
+    are taken apart once and count as often as they occur.
     """
+    copies = Counter(rows)
+    rows = list(copies)
     texts = [row[2].split() for row in rows]
     numbers, text, at, hashes = windows_of(texts, window)
     groups = np.unique([row[0] for row in rows], return_inverse=True)[1][text]
-    _, kind, often = np.unique(same_windows(numbers, at, groups, hashes, window), return_inverse=True, return_counts=True)
-    recurs = np.flatnonzero(often[kind] > 1)
+    kind = np.unique(same_windows(numbers, at, groups, hashes, window), return_inverse=True)[1]
+    times = np.fromiter(copies.values(), np.int64, len(copies))
+    recurs = np.flatnonzero(np.bincount(kind, times[text])[kind] > 1)
     if not len(recurs):
         return
     cuts = np.flatnonzero((np.diff(recurs) > 1) | (np.diff(text[recurs]) > 0))
@@ -264,16 +262,29 @@ class Locator:
             self.automaton.add_word(letters(np.array([number(w, len(self.words) + 1) for w in passage.split()])))
         self.automaton.make_automaton()
 
+    def located(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, first word and word behind the last of what passages cover, from the automaton alone.
+
+        All texts run through it in a row, with a letter between them that no passage has.
+        """
+        words = [t.split() for t in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        line = np.zeros(int(sizes.sum()) + len(words), np.int64)
+        number = self.words.get
+        at = np.arange(int(sizes.sum())) + np.repeat(np.arange(len(words)), sizes)
+        line[at] = np.fromiter((number(w, 0) for t in words for w in t), np.int64, len(at))
+        met = np.array(list(self.automaton.iter(letters(line))), np.int64).reshape(-1, 2)
+        behind, order = met[:, 0] + 1, np.argsort(met[:, 0] + 1 - met[:, 1], kind="stable")
+        first, behind = (behind - met[:, 1])[order], np.maximum.accumulate(behind[order])
+        new = np.flatnonzero(np.concatenate([[True], first[1:] > behind[:-1]]))[: len(first)]
+        first, behind = first[new], behind[np.concatenate([new[1:] - 1, [len(behind) - 1]])] if len(new) else behind
+        text = np.searchsorted(begin, first, "right") - 1
+        return text, first - begin[text], behind - begin[text]
+
     def spans(self, words: bytes) -> list[list[int]]:
-        """First word and word behind the last of what passages cover in a text, from the automaton alone."""
-        number, found = self.words.get, []
-        text = letters(np.fromiter((number(w, 0) for w in words.split()), np.int64))
-        for first, behind in sorted((last + 1 - length, last + 1) for last, length in self.automaton.iter(text)):
-            if found and first <= found[-1][1]:
-                found[-1][1] = max(found[-1][1], behind)
-            else:
-                found.append([first, behind])
-        return found
+        """`located` of one text."""
+        return [[a, b] for _, a, b in zip(*(x.tolist() for x in self.located([words])), strict=True)]
 
 
 def occurrences(texts: DataFrame, passages: DataFrame, shard: int) -> DataFrame:
@@ -296,19 +307,22 @@ def occurrences(texts: DataFrame, passages: DataFrame, shard: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, passages, locator = None, [], None
         for batch in batches:
-            found = []
-            for group, part, kind, doc_id, row, start, words in zip(*(batch.column(c).to_pylist() for c in columns[:6]), batch.column("words"), strict=True):
-                if (group, part) != now:
-                    now, passages, locator = (group, part), [], None
-                words = words.as_buffer().to_pybytes()
-                if kind == 0:
-                    passages.append(words)
+            keys = np.stack([batch.column(c).to_numpy() for c in ("group", "part", "kind")], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+                here, part = tuple(keys[a, :2].tolist()), batch.slice(a, b - a)
+                if here != now:
+                    now, passages, locator = here, [], None
+                words = part.column("words").cast(pa.binary()).to_pylist()
+                if keys[a, 2] == 0:
+                    passages += words
                     continue
                 if locator is None:
                     locator, passages = Locator(passages), []
-                found += [(doc_id, row, start + first, start + behind) for first, behind in locator.spans(words)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "row", "start", "stop"])
+                text, first, behind = locator.located(words)
+                at = part.column("start").to_numpy()[text]
+                found = [pa.array((at + x).astype(np.int32)) for x in (first, behind)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(text)) for c in ("doc_id", "row")), *found], ["doc_id", "row", "start", "stop"])
 
     return both.mapInArrow(run, "doc_id long, row long, start int, stop int")
 
