@@ -114,6 +114,13 @@ def anchored(rows: DataFrame, window: int, phrase: int) -> DataFrame:
     return rows.select("doc_id", "row", "text").mapInArrow(run, _STRETCH)
 
 
+def lists(column: pa.Array, fields: tuple[str, ...]) -> tuple[list[tuple[int, int]], list[list]]:
+    """First and behind the last entry of each list of structs in a column (null: none), and the fields of all entries."""
+    sizes = column.value_lengths().fill_null(0).to_numpy()
+    behind, entries = np.cumsum(sizes), column.flatten()
+    return list(zip((behind - sizes).tolist(), behind.tolist(), strict=True)), [entries.field(f).to_pylist() for f in fields]
+
+
 def with_words(rows: DataFrame, hits: DataFrame, window: int) -> DataFrame:
     """_TEXTS rows: the words of the windows of every stretch in `hits` (doc, copies of its anchor)."""
 
@@ -126,12 +133,14 @@ def with_words(rows: DataFrame, hits: DataFrame, window: int) -> DataFrame:
 
         for batch in batches:
             found, size = [], 0
-            for row in batch.to_pylist():
-                words = row["text"].encode().split()
-                for h in sorted(row["hits"], key=lambda h: h["start"]):
-                    text = b" ".join(words[h["start"] : h["start"] + h["n"] + window - 1])
-                    found.append((row["doc_id"], row["row"], h["start"], h["n"], h["anchor"], h["copies"], text))
-                    size += len(text)
+            parts, (starts, counts, anchors, copies) = lists(batch.column("hits"), ("start", "n", "anchor", "copies"))
+            docs = zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("text"), parts, strict=True)
+            for doc_id, row, text, (a, b) in docs:
+                words = text.as_py().encode().split()
+                for start, n, anchor, many in zip(starts[a:b], counts[a:b], anchors[a:b], copies[a:b], strict=True):
+                    stretch = b" ".join(words[start : start + n + window - 1])
+                    found.append((doc_id, row, start, n, anchor, many, stretch))
+                    size += len(stretch)
                     if size > OUTPUT:
                         yield batch_of(found)
                         found, size = [], 0
@@ -333,13 +342,16 @@ def cut(rows: DataFrame, covered: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                words = row["text"].encode().split()
-                kept = np.ones(len(words), bool)
-                for span in row["spans"] or []:
-                    kept[span["start"] : span["stop"]] = False
-                left = b" ".join(words if kept.all() else [words[i] for i in np.flatnonzero(kept).tolist()])
-                out.append((row["doc_id"], len(words), len(words) - int(kept.sum()), hashlib.sha256(left).hexdigest(), left.decode()))
+            parts, (starts, stops) = lists(batch.column("spans"), ("start", "stop"))
+            for doc_id, text, (a, b) in zip(batch.column("doc_id").to_pylist(), batch.column("text"), parts, strict=True):
+                words, kept, at = text.as_py().encode().split(), [], 0
+                for start, stop in sorted(zip(starts[a:b], stops[a:b], strict=True)):
+                    if start > at:
+                        kept += words[at:start]
+                    at = max(at, stop)
+                kept = kept + words[at:] if at else words
+                left = b" ".join(kept)
+                out.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest(), left.decode()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     spans = covered.groupBy(F.struct("doc_id", "row").alias("doc")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
