@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacancia.llm.common import discard, stored
-from vacancia.llm.repeats import vocabulary
+from vacancia.llm.wordhash import word_hashes
 
 BACKOFF = 0.4
 LEAST = 2  # a pair of words seen less often gives no evidence: its second word is scored alone
@@ -22,8 +22,7 @@ START = np.uint64(xxhash.xxh64_intdigest(b""))  # stands before a document's fir
 
 def _hashed(batch: pa.RecordBatch) -> list[np.ndarray]:
     """Hashes of each document's words, A-Z as a-z."""
-    known = vocabulary()
-    return [known.hashed((text.as_py() or "").encode().lower().split()) for text in batch.column("text")]
+    return [word_hashes((text.as_py() or "").encode().lower()) for text in batch.column("text")]
 
 
 def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
