@@ -12,6 +12,7 @@ SHARDS, SEED = 16, 42
 BUCKET_BYTES = 16 << 20  # text of a bucket, about; one bucket at a time is in a task's memory
 SLICE_BITS = 20  # seeded hashes fall into so many slices; buckets are runs of slices, so their number has a bound
 TASKS = 20_000  # partitions of the scatter at most; a task then takes several buckets, one after another
+SPARE = 4  # partitions for each bucket below that, so that few tasks get two
 OBJECT_HASH = "spark.sql.execution.useObjectHashAggregateExec"
 
 
@@ -79,7 +80,7 @@ def write_shards(docs: DataFrame, folder: str, rows: list[Column] | None = None,
 
     order = F.xxhash64(F.lit(seed + 1), *rows)
     scattered = docs.select(F.shiftright(_slice(rows, seed), SLICE_BITS - bits).alias("_bucket"), order.alias("_order"), body.alias("doc"))
-    scattered = scattered.repartition(min(TASKS, 1 << bits), "_bucket").sortWithinPartitions("_bucket", "_order")
+    scattered = scattered.repartition(min(TASKS, SPARE << bits), "_bucket").sortWithinPartitions("_bucket", "_order")
     buckets = scattered.groupBy("_bucket").agg(F.collect_list("doc").alias("_docs"))
     mixed = buckets.select("_bucket", F.posexplode(F.shuffle("_docs", seed)).alias("_at", "doc")).join(first, "_bucket")
     shard, slot = dealt(F.col("_first") + F.col("_at"), total["n"], shards)
