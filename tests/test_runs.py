@@ -59,3 +59,11 @@ def _written(df, spark):
     path = scratch_path(spark, "listings")
     df.write.parquet(path)
     return path
+
+
+def test_files_do_not_follow_the_tasks(spark, tmp_path):
+    df = part_listings(spark, SF)
+    sinks.write_results(df.repartition(40), str(tmp_path / "r"))
+    files = list((tmp_path / "r").rglob("*.parquet"))
+    assert len(files) == df.select("source").distinct().count() == 10
+    assert spark.read.parquet(str(tmp_path / "r")).count() == df.count()

@@ -8,8 +8,12 @@ from vacancia.functions.infer import channel
 
 
 def write_results(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Listings as Parquet, one folder per channel and source; a source with most rows is many files."""
-    out = df.withColumn("channel", channel("source"))
+    """Listings as Parquet, one folder per channel and source.
+
+    Rows are rebalanced by folder first: the number of files follows the size of each folder, not the number
+    of tasks, and a source with most rows is split over several tasks.
+    """
+    out = df.withColumn("channel", channel("source")).hint("rebalance", "channel", "source")
     out.write.mode(mode).partitionBy("channel", "source").option("maxRecordsPerFile", 5_000_000).parquet(path)
 
 
