@@ -1,24 +1,24 @@
 """Order, matching and merging of duplicates over whole tables.
 
-The fuzzy ratio has no SQL form, so queries that need it are checked by brute force in the tests. The
-merge steps are also registered over clusters of equal match keys, which SQL can follow.
+Every merge step is registered twice: over clusters of equal match keys and over clusters of similar ones, whose
+SQL computes the ratio itself (`registry.fuzzy`).
 """
 
 from pyspark.sql import functions as F
 
+from registry import fuzzy
 from registry.base import query
-from registry.sql import PART_LISTINGS, priority, with_tables
+from registry.sql import PART_LISTINGS, company_fold, priority, with_tables
 from registry.tables import part_listings
 from vacancia.operators import dedup, order
+from vacancia.schema import API_SOURCES
 from vacancia.session import materialize
 
-_FOLD = "lower(trim(company))"
-for _s in ["inc", "inc\\.", "llc", "ltd", "ltd\\.", "gmbh", "pty", "co\\.", "corp", "corporation", "limited"]:
-    _FOLD = f"regexp_replace({_FOLD}, ' {_s}$', '')"
 KEYED = with_tables(PART_LISTINGS) + f""", keyed AS (
-  SELECT *, row_number() OVER (ORDER BY priority, pos) - 1 AS ord, trim(regexp_replace({_FOLD}, '[^a-z0-9\\s]', '', 'g')) AS ck, trim(lower(title)) AS tk FROM listings),
+  SELECT *, row_number() OVER (ORDER BY priority, pos) - 1 AS ord, {company_fold('company')} AS ck, trim(lower(title)) AS tk FROM listings),
 clusters AS (SELECT *, min(ord) OVER (PARTITION BY ck, tk) AS leader FROM keyed)
 """
+FUZZY = KEYED.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\n" + ",\n".join(fuzzy.key_ratios("keyed") + fuzzy.leaders("keyed")) + "\n"
 _FILLS = {"salary_min": "nullif(salary_min, 0)", "salary_max": "nullif(salary_max, 0)", "salary_currency": "nullif(salary_currency, '')",
           "posted_date_raw": "nullif(posted_date_raw, '')", "employment_type": "nullif(employment_type, '')"}
 
@@ -48,46 +48,76 @@ def d2_keys(spark, sf):
     return exact_clusters(spark, sf).select("pos", "ck", "tk", "leader")
 
 
-@query("j5_fuzzy_pairs")
+@query("j5_fuzzy_pairs", FUZZY + "SELECT earlier, later FROM edges")
 def j5(spark, sf):
     """Every matching pair of distinct keys, earlier and later."""
     return dedup.duplicate_edges(dedup.match_nodes(ordered(spark, sf)))
 
 
-@query("d2_duplicate_predicate")
+@query("j5_match_classes", FUZZY + """
+SELECT f.ord, f.leader, coalesce(links, 0) AS links, CASE WHEN f.ck = '' OR f.tk = '' THEN 0.0 ELSE r.ratio END AS title_ratio
+FROM fuzzy f JOIN keyed l ON l.ord = f.leader LEFT JOIN tk_ratio r ON r.a = f.tk AND r.b = l.tk
+LEFT JOIN (SELECT ck, tk, count(*) AS links FROM (SELECT earlier_ck AS ck, earlier_tk AS tk FROM edges UNION ALL SELECT later_ck, later_tk FROM edges) GROUP BY ck, tk) n ON n.ck = f.ck AND n.tk = f.tk""")
+def j5_classes(spark, sf):
+    """Matches as classes: every row with its leader, its title's ratio to the leader's and how many other keys its own key matches."""
+    return dedup.match_classes(materialize(ordered(spark, sf).select("ord", "ck", "tk"), "rows")).select("ord", "leader", "links", "title_ratio")
+
+
+@query("d2_duplicate_predicate", FUZZY + "SELECT earlier, later, earlier_ck, earlier_tk, later_ck, later_tk FROM edges")
 def d2(spark, sf):
     """The pairs again with their titles and companies, as the predicate's verdict reads."""
-    rows = ordered(spark, sf).select("ord", "ck", "tk")
-    edges = dedup.duplicate_edges(dedup.match_nodes(ordered(spark, sf)))
+    rows = materialize(ordered(spark, sf).select("ord", "ck", "tk"), "rows")
+    edges = dedup.duplicate_edges(dedup.match_nodes(rows))
     a = rows.select(F.col("ord").alias("later"), F.col("ck").alias("later_ck"), F.col("tk").alias("later_tk"))
     b = rows.select(F.col("ord").alias("earlier"), F.col("ck").alias("earlier_ck"), F.col("tk").alias("earlier_tk"))
     return edges.join(a, "later").join(b, "earlier")
 
 
-@query("d3_leader_clusters")
+@query("d3_leader_clusters", FUZZY + "SELECT pos, ord, leader FROM fuzzy")
 def d3(spark, sf):
     return fuzzy_clusters(spark, sf).select("pos", "ord", "leader")
 
 
-@query("d4_fill_fields", KEYED + "SELECT leader AS ord, "
-       + ", ".join(f"coalesce(first({v} ORDER BY ord) FILTER ({v} IS NOT NULL), '')" f" AS {c}" if not c.startswith("salary_m") else f"first({v} ORDER BY ord) FILTER ({v} IS NOT NULL) AS {c}" for c, v in _FILLS.items() if c != "salary_currency")
-       + ", first(nullif(salary_currency, '') ORDER BY ord) FILTER (nullif(salary_currency, '') IS NOT NULL) AS salary_currency FROM clusters GROUP BY leader")
+def _first_filled(c: str, value: str) -> str:
+    kept = f"first({value} ORDER BY ord) FILTER ({value} IS NOT NULL)"
+    return f"{kept} AS {c}" if c.startswith("salary_") else f"coalesce({kept}, '') AS {c}"
+
+
+_FILLED = ", ".join(_first_filled(c, v) for c, v in _FILLS.items())
+
+
+@query("d4_fill_fields", KEYED + f"SELECT leader AS ord, {_FILLED} FROM clusters GROUP BY leader")
 def d4(spark, sf):
     return dedup.fill_fields(exact_clusters(spark, sf)).select("ord", *_FILLS)
 
 
-@query("d4_fill_fields_fuzzy")
+@query("d4_fill_fields_fuzzy", FUZZY + f"SELECT leader AS ord, first(id ORDER BY ord) AS id, {_FILLED} FROM fuzzy GROUP BY leader")
 def d4_fuzzy(spark, sf):
     return dedup.fill_fields(fuzzy_clusters(spark, sf)).select("ord", "id", *_FILLS)
 
 
-@query("d5_merge_tags", KEYED + """, tagged AS (SELECT leader, ord, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS tag_pos FROM clusters)
-SELECT leader, ord, tag_pos, tag FROM tagged QUALIFY ord = min(ord) OVER (PARTITION BY leader, tag)""")
+@query("d4_dates", KEYED + """, dated AS (
+  SELECT leader, ord, CASE WHEN pos % 3 = 0 THEN '' WHEN pos % 3 = 1 THEN 'soon' ELSE posted_date_raw END AS raw, CASE WHEN pos % 3 = 2 THEN posted_date END AS typed FROM clusters)
+SELECT leader AS ord, coalesce(first(raw ORDER BY ord) FILTER (raw <> ''), '') AS posted_date_raw,
+  strftime(first(typed ORDER BY ord) FILTER (raw <> ''), '%Y-%m-%d') AS posted_date FROM dated GROUP BY leader""")
+def d4_dates(spark, sf):
+    """A third of the dates is blank and a third unreadable: the typed date is that of the row whose text counts."""
+    rest = F.col("pos") % 3
+    raw = F.when(rest == 0, "").when(rest == 1, "soon").otherwise(F.col("posted_date_raw"))
+    rows = exact_clusters(spark, sf).withColumns({"posted_date_raw": raw, "posted_date": F.when(rest == 2, F.col("posted_date"))})
+    return dedup.fill_fields(rows).select("ord", "posted_date_raw", F.col("posted_date").cast("string").alias("posted_date"))
+
+
+_TAGS = """, tagged AS (SELECT leader, ord, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS tag_pos FROM {clusters})
+SELECT leader, ord, tag_pos, tag FROM tagged QUALIFY ord = min(ord) OVER (PARTITION BY leader, tag)"""
+
+
+@query("d5_merge_tags", KEYED + _TAGS.format(clusters="clusters"))
 def d5(spark, sf):
     return dedup.merged_tags(exact_clusters(spark, sf)).withColumnRenamed("pos", "tag_pos")
 
 
-@query("d5_merge_tags_fuzzy")
+@query("d5_merge_tags_fuzzy", FUZZY + _TAGS.format(clusters="fuzzy"))
 def d5_fuzzy(spark, sf):
     return dedup.merged_tags(fuzzy_clusters(spark, sf)).withColumnRenamed("pos", "tag_pos")
 
@@ -97,11 +127,36 @@ def d6(spark, sf):
     return dedup.alternate_sources(exact_clusters(spark, sf)).drop("pos")
 
 
-@query("d6_alternate_sources_fuzzy")
+@query("d6_alternate_sources_fuzzy", FUZZY + "SELECT leader, ord, source, url, source_id FROM fuzzy WHERE ord <> leader")
 def d6_fuzzy(spark, sf):
     return dedup.alternate_sources(fuzzy_clusters(spark, sf)).drop("pos")
 
 
+_API = "'" + "', '".join(API_SOURCES) + "'"
+TWO_STAGE = KEYED.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\n" + ",\n".join([
+    *fuzzy.key_ratios("keyed"),
+    f"keyed1 AS MATERIALIZED (SELECT pos, source, url, source_id, priority, ck, tk, row_number() OVER (ORDER BY priority, pos) - 1 AS ord FROM keyed WHERE source IN ({_API}))",
+    *fuzzy.leaders("keyed1", "1"),
+    f"""keyed2 AS MATERIALIZED (
+  SELECT pos, source, url, source_id, ck, tk, row_number() OVER (ORDER BY priority, pos) - 1 AS ord FROM keyed
+  WHERE source NOT IN ({_API}) OR pos IN (SELECT pos FROM fuzzy1 WHERE ord = leader))""",
+    *fuzzy.leaders("keyed2", "2"),
+]) + """
+SELECT leader, ord, 0 AS place, source, url, source_id FROM fuzzy2 WHERE ord <> leader
+UNION ALL SELECT s.leader, s.ord, row_number() OVER (PARTITION BY a.leader ORDER BY a.ord) - 1, a.source, a.url, a.source_id
+FROM fuzzy1 a JOIN fuzzy1 h ON h.ord = a.leader JOIN fuzzy2 s ON s.pos = h.pos WHERE a.ord <> a.leader AND s.ord = s.leader"""
+
+
+@query("d6_two_stage", TWO_STAGE)
+def d6_two_stage(spark, sf):
+    """Listings of the search services are merged first, their survivors then with all others; alternates of both stages."""
+    rows = part_listings(spark, sf)
+    api = F.col("source").isin(*API_SOURCES)
+    first = dedup.nested(dedup.deduplicate(rows.filter(api), "pos"))
+    both = dedup.deduplicate(first.unionByName(rows.filter(~api), allowMissingColumns=True), "pos")
+    return both.alternates.withColumnRenamed("pos", "place")
+
+
 @query("d7_final_order", KEYED + f"""
 SELECT ord, row_number() OVER (ORDER BY score DESC, {priority()}, ord) - 1 AS place FROM (
   SELECT ord, source, CASE WHEN pos % 4 = 0 THEN 0 ELSE salary_min % 7 END AS raw, coalesce(raw, 0) AS score FROM clusters WHERE ord = leader)""")
@@ -112,13 +167,15 @@ def d7(spark, sf):
     return dedup.final_position(scored).select("ord", "place")
 
 
-@query("d8_dedup_stats", KEYED + """
-SELECT count(*) AS total_input, count(*) FILTER (ord = leader) AS total_output, count(*) FILTER (ord <> leader) AS duplicates_removed FROM clusters""")
+_STATS = "SELECT count(*) AS total_input, count(*) FILTER (ord = leader) AS total_output, count(*) FILTER (ord <> leader) AS duplicates_removed FROM {clusters}"
+
+
+@query("d8_dedup_stats", KEYED + _STATS.format(clusters="clusters"))
 def d8(spark, sf):
     return dedup.dedup_stats(exact_clusters(spark, sf))
 
 
-@query("d8_dedup_stats_fuzzy")
+@query("d8_dedup_stats_fuzzy", FUZZY + _STATS.format(clusters="fuzzy"))
 def d8_fuzzy(spark, sf):
     return dedup.dedup_stats(fuzzy_clusters(spark, sf))
 

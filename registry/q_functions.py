@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from registry import fuzzy
 from registry.base import query
-from registry.sql import DOCUMENT_LISTINGS, FULL_TEXT, PAGES, PART_LISTINGS, PHRASES, priority, seniority, with_tables, work_mode
+from registry.sql import DOCUMENT_LISTINGS, FULL_TEXT, PAGES, PART_LISTINGS, PHRASES, company_fold, priority, seniority, with_tables, work_mode
 from registry.tables import document_listings, fetched_pages, load, part_listings
 from vacancia.functions import infer, similarity, text
 from vacancia.functions.html import strip_html
@@ -99,13 +100,8 @@ def n11(spark, sf):
     return part_listings(spark, sf).select("pos", text.company_from_title(headline).alias("company"))
 
 
-_SUFFIX_FOLD = "lower(trim(company || x))"
-for _s in ["inc", "inc\\.", "llc", "ltd", "ltd\\.", "gmbh", "pty", "co\\.", "corp", "corporation", "limited"]:
-    _SUFFIX_FOLD = f"regexp_replace({_SUFFIX_FOLD}, ' {_s}$', '')"
-
-
 @query("n12_company_key", with_tables(PART_LISTINGS) + f"""
-SELECT pos, trim(regexp_replace({_SUFFIX_FOLD}, '[^a-z0-9\\s]', '', 'g')) AS ck
+SELECT pos, {company_fold('company || x')} AS ck
 FROM (SELECT pos, company, ['', ' Corp', ', Inc', ' Pty Ltd.', ' GmbH', ' Co. Limited'][pos % 6 + 1] AS x FROM listings)""")
 def n12(spark, sf):
     from registry.tables import pick
@@ -126,7 +122,15 @@ def n13(spark, sf):
     return part_listings(spark, sf).select("pos", infer.title_key(t).alias("tk"))
 
 
-@query("n14_fuzzy_match")
+_MATCHED = with_tables(PART_LISTINGS).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""",
+matched AS (SELECT pos, trim(lower(title)) AS t, trim(lower(description_text)) AS d, {company_fold('company')} AS c, {company_fold('title')} AS n FROM listings),
+compared AS (SELECT t AS a, d AS b FROM matched UNION SELECT c, n FROM matched),
+""" + ",\n".join(fuzzy.ratios("compared"))
+
+
+@query("n14_fuzzy_match", _MATCHED + """
+SELECT pos, coalesce(x.ratio, 0) AS ratio, coalesce(y.ratio, 0) >= 0.8 AS same_company
+FROM matched LEFT JOIN ratios x ON x.a = t AND x.b = d LEFT JOIN ratios y ON y.a = c AND y.b = n""")
 def n14(spark, sf):
     """Title of every listing against its description and its company against its brand."""
     a, b = infer.title_key("title"), infer.title_key("description_text")

@@ -33,6 +33,14 @@ def priority(s: str = "source") -> str:
     return PRIORITY.format(s=s)
 
 
+def company_fold(name: str) -> str:
+    """Company name as a match key."""
+    out = f"lower(trim({name}))"
+    for suffix in ["inc", "inc\\.", "llc", "ltd", "ltd\\.", "gmbh", "pty", "co\\.", "corp", "corporation", "limited"]:
+        out = f"regexp_replace({out}, ' {suffix}$', '')"
+    return f"trim(regexp_replace({out}, '[^a-z0-9\\s]', '', 'g'))"
+
+
 PART_LISTINGS = f"""
 part_base AS (
   SELECT p_partkey AS pos, p_name, p_type, p_brand,

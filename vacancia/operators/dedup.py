@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacancia.functions.infer import company_key, source_priority, title_key
-from vacancia.functions.similarity import fuzzy_match, near_in_edits, near_in_size
+from vacancia.functions.similarity import fuzzy_match, near_in_edits, near_in_size, ratio
 from vacancia.functions.text import blank_to_null, lowered
 from vacancia.operators.order import by_source_priority, rank_within, with_position
 from vacancia.operators.similar import candidate_pairs, signatures, similar_names
@@ -229,6 +229,27 @@ def assign_clusters(ordered: DataFrame) -> DataFrame:
     return ordered.join(keyed, ["ck", "tk"], "left").withColumn("leader", F.coalesce("leader", "ord"))
 
 
+def match_classes(rows: DataFrame) -> DataFrame:
+    """Written rows (ord, ck, tk) with leader, links and title_ratio: one row each, not one per pair.
+
+    `links` counts the other keys that match the row's own; pairs are counted where they are verified and never
+    stored. `title_ratio` is that of the row's title against its leader's (1 for a leader, 0 without match keys).
+    """
+    clusters = materialize(assign_clusters(rows), "classes")
+    nodes = materialize(match_nodes(rows), "nodes")
+    edges = duplicate_edges(nodes)
+    ends = edges.select(F.explode(F.array("earlier", "later")).alias("node"))
+    links = ends.groupBy("node").agg(F.count("*").alias("links"))
+    linked = nodes.join(links, nodes["ord"] == links["node"]).select("ck", "tk", "links")
+    leads = clusters.filter("ord = leader").select("leader", F.col("tk").alias("_leader_tk"))
+    return (
+        clusters.join(leads, "leader").join(linked, ["ck", "tk"], "left")
+        .withColumn("links", F.coalesce("links", F.lit(0).cast("bigint")))
+        .withColumn("title_ratio", F.when(F.col("ck") == "", 0.0).otherwise(ratio(F.col("tk"), F.col("_leader_tk"))))
+        .drop("_leader_tk")
+    )
+
+
 @dataclass(frozen=True)
 class Deduplicated:
     survivors: DataFrame   # one row per cluster, fields filled, tags and alternates left to the tables below
