@@ -69,6 +69,17 @@ def s12(spark, sf):
     return feeds.scan_rss(spark, pl.land(spark, pl.rss_documents(spark, sf), "rss-xml"), TXT).select(*feeds.FIELDS)
 
 
+@query("s12_last_element", _DOCS + """
+SELECT 'https://f/' || k AS link, CASE WHEN k % 2 = 0 THEN 'Ann' ELSE 'Bob' END AS author,
+  CASE WHEN k % 3 <> 0 THEN 'Base' WHEN doc % 2 = 0 THEN 'Later' ELSE place END AS location FROM p WHERE doc % 9 <> 4""")
+def s12_last(spark, sf):
+    """Every item has an author and a creator, most a region and a location, in either order: the last one counts."""
+    both = F.replace(F.replace("raw", F.lit("<author>Bob"), F.lit("<dc:creator>Eve</dc:creator><author>Bob")), F.lit("<dc:creator> Ann"), F.lit("<author>Zed</author><dc:creator> Ann"))
+    early = F.replace(both, F.lit("<title>"), F.lit("<location>Base</location><title>"))
+    docs = pl.rss_documents(spark, sf).withColumn("raw", F.when(F.col("doc") % 2 == 0, F.replace(early, F.lit("</region>"), F.lit("</region><location>Later</location>"))).otherwise(early))
+    return feeds.scan_rss(spark, pl.land(spark, docs, "rss-both"), TXT).select("link", "author", "location")
+
+
 _ATOM = """SELECT t AS title, 'https://a/' || k AS link, {date} AS "pubDate", {text} AS description, CASE WHEN k % 4 = 0 THEN p_type ELSE 'plain' END AS category,
   '' AS company, replace(p_brand, '#', ' ') AS author, '' AS location FROM p WHERE doc % 9 <> 4"""
 
@@ -90,6 +101,17 @@ def s14(spark, sf):
     return env.select(F.regexp_extract("file", r"doc=(\d+)", 1).cast("bigint").alias("doc"), "item_count", "feed_url", F.col("fetched_at").isNotNull().alias("dated"))
 
 
+@query("s14_manifest_envelopes", _DOCS + """
+SELECT doc, CASE WHEN doc % 9 = 4 THEN 0 ELSE count(*) END AS item_count, CASE WHEN doc % 5 = 0 THEN '' ELSE 'https://feed/' || doc END AS feed_url,
+  CASE WHEN doc % 18 = 4 THEN 'mismatched tag: line ' || count(*) WHEN doc % 18 = 13 THEN 'no element found: line ' || (count(*) + 1) END AS error FROM p GROUP BY doc""")
+def s14_manifest(spark, sf):
+    """Envelopes with the feed address of the manifest (a fifth has no entry) and the parser's message up to its line."""
+    path, entries = op.land_named(spark, pl.rss_documents(spark, sf).select("doc", F.lit("rss").alias("source"), F.lit("").alias("company"), "raw"), "named-feeds")
+    manifest = entries.filter("doc % 5 <> 0").select(F.col("file").alias("path"), F.concat(F.lit("https://feed/"), F.col("doc").cast("string")).alias("feed_url"))
+    env = feeds.envelopes_of(feeds.parse(spark, path, TXT), manifest).withColumn("doc", F.regexp_extract("file", r"doc=(\d+)", 1))
+    return env.select(F.col("doc").cast("bigint").alias("doc"), "item_count", "feed_url", F.regexp_extract("error", r"^(.*line \d+)", 1).alias("error"))
+
+
 @query("s15_scan_manifest", _DOCS + """
 SELECT CASE src WHEN 'greenhouse' THEN 'ats' WHEN 'workable' THEN 'ats' WHEN 'rss' THEN 'rss' ELSE 'api' END AS channel, src || '-' || doc || '.json' AS path, src AS source,
   CASE WHEN src IN ('greenhouse', 'workable') THEN 'Owner ' || doc % 4 END AS company, CASE WHEN src = 'rss' THEN 'https://feed/' || doc END AS feed_url,

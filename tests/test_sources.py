@@ -50,6 +50,27 @@ def test_feeds(spark, tmp_path):
     assert counts == {"a.xml": 1, "b.xml": 0, "c.xml": 0, "d.xml": 0}
 
 
+def test_feed_elements_in_document_order(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(
+        '<rss xmlns:dc="urn:d"><channel><item><dc:creator>C</dc:creator><author>A</author><location>L</location><region/></item>'
+        "<item><author>A</author><dc:creator>C</dc:creator><region>R</region><location>L</location><title>x<b>y</b></title></item></channel></rss>")
+    (tmp_path / "b.xml").write_text(
+        '<feed xmlns="http://www.w3.org/2005/Atom"><entry><author><uri>u</uri></author><author><name> N </name></author><summary>S<i/></summary><content>C</content>'
+        "<published>P</published></entry></feed>")
+    (tmp_path / "c.xml").write_text("<rss><channel>\n<item><title>cut</channel></rss>")
+    (tmp_path / "d.xml").write_text(" ")
+    (tmp_path / "e.xml").write_text('<r xmlns="urn:other"><item><title>T</title></item><entry><title>T</title></entry></r>')
+    parsed = feeds.parse(spark, str(tmp_path))
+    rows = [(r.author, r.location, r.title, r.description, r.pubDate) for r in feeds.items_of(parsed).collect()]
+    assert sorted(rows) == [("A", "", "", "", ""), ("C", "L", "x", "", ""), ("N", "", "", "S", "")]
+    bad = {r.file[-5:]: (r.reason, r.error) for r in feeds.rejects_of(parsed).collect()}
+    assert bad == {"c.xml": ("broken XML", "mismatched tag: line 2, column 18"), "d.xml": ("empty", "no element found: line 1, column 1")}
+    env = {r.file[-5:]: (r.item_count, r.feed_url, r.error is None) for r in feeds.envelopes_of(parsed).collect()}
+    assert env == {"a.xml": (2, "", True), "b.xml": (1, "", True), "c.xml": (0, "", False), "d.xml": (0, "", False), "e.xml": (0, "", True)}
+    plan = feeds.scan_feeds(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
 def test_dimensions_and_override(spark, tmp_path):
     base, local = tmp_path / "companies.json", tmp_path / "companies.local.json"
     base.write_text(json.dumps({"_comment": "c", "companies": [{"name": "A", "ats": "lever", "slug": "a", "sectors": ["s"], "notes": ""}]}))

@@ -47,7 +47,7 @@ def scan_boards(spark: SparkSession, landing_path: str, manifest_path: str, cfg:
 
 def scan_feeds(spark: SparkSession, landing_path: str, cfg: SearchConfig, glob: str = feeds.FEED_FILES) -> DataFrame:
     """Landed RSS and Atom files to scored listings."""
-    items = feeds.scan_rss(spark, landing_path, glob).unionByName(feeds.scan_atom(spark, landing_path, glob=glob))
+    items = feeds.scan_feeds(spark, landing_path, glob)
     return filter_and_score(mappings.normalize(feeds.as_payloads(items), "rss"), cfg)
 
 

@@ -1,125 +1,117 @@
-"""RSS 2.0 and Atom scans to eight-field items, with Spark's XML reader."""
+"""RSS 2.0 and Atom feeds to eight-field items: every file is read and parsed once."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vacancia.functions.feedxml import PART, take_apart
 from vacancia.functions.text import blank_to_null, company_from_title, strip_ws
 
 FEED_FILES = "*.xml"
 FIELDS = ("title", "link", "pubDate", "description", "category", "company", "author", "location")
-_TEXT = ("title", "link", "pubDate", "description", "author", "creator", "region", "location", "category")
-# A feed element may repeat and may carry attributes; both are read as lists of (text, attribute).
-_RSS_SCHEMA = ", ".join(f"{f} array<struct<_VALUE:string>>" for f in _TEXT)
-_ATOM_SCHEMA = (
-    "title array<struct<_VALUE:string>>, link array<struct<_VALUE:string,_href:string>>, "
-    "published array<struct<_VALUE:string>>, updated array<struct<_VALUE:string>>, "
-    "summary array<struct<_VALUE:string>>, content array<struct<_VALUE:string>>, "
-    "category array<struct<_VALUE:string,_term:string>>, author array<struct<name:array<string>>>"
-)
-
-
-def _raw_elements(spark: SparkSession, path: str, row: str, schema: str, glob: str) -> DataFrame:
-    raw = (
-        spark.read.format("xml").schema(schema + ", _broken string").option("rowTag", row)
-        .option("ignoreNamespace", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken")
-        .option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("ignoreMissingFiles", "true")
-        .load(path).select("*", F.col("_metadata.file_path").alias("file"))
-    )
-    # The reader refuses a scan of the broken column alone, so a data column is looked at as well.
-    return raw.filter("coalesce(size(title), 0) >= 0")
+_PARSED = f"file string, fetched_at timestamp, blank boolean, kind string, parts array<{PART}>, error string"
 
 
-def _elements(spark: SparkSession, path: str, row: str, schema: str, glob: str) -> DataFrame:
-    """Elements of every well-formed feed file; a file that breaks off anywhere gives none.
+def parse(spark: SparkSession, path: str, glob: str = FEED_FILES) -> DataFrame:
+    """file, fetched_at, blank, kind, parts, error: a row of kind "file" per feed file, then its items and entries.
 
-    An element that cannot be read marks its file, and so does a root that is never closed.
+    `parts` are the children of an item in document order. A file that breaks off anywhere gives no items and the
+    parser's message as `error`. The file listing leaves out files of zero length.
     """
-    raw = _raw_elements(spark, path, row, schema, glob)
-    broken = raw.filter("_broken IS NOT NULL").select("file").union(_unclosed(spark, path, glob).select("file")).distinct()
-    return raw.filter("_broken IS NULL").drop("_broken").join(broken, "file", "left_anti")
-
-
-# From the prolog over the root's name to the same name closing the document.
-_CLOSED = r"(?s)^\uFEFF?(?:\s|<\?.*?\?>|<!--.*?-->|<!\w[^>]*>)*+<([\w:.-]+)[^>]*>.*</\1\s*>(?:\s|<!--.*?-->)*+$"
-
-
-def _unclosed(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """file, reason of feed files that are blank or whose root element is not closed at their end."""
     whole = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("ignoreMissingFiles", "true")
-        .text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+        .text(path, wholetext=True)
     )
-    reason = F.when(strip_ws("value") == "", "empty").when(~F.rlike("value", F.lit(_CLOSED)), "broken XML")
-    return whole.select("file", reason.alias("reason")).filter("reason IS NOT NULL")
+    documents = whole.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("fetched_at"),
+        (strip_ws("value") == "").alias("blank"), "value",
+    )
+    return documents.mapInArrow(take_apart, _PARSED)
+
+
+def rejects_of(parsed: DataFrame) -> DataFrame:
+    """file, reason, error of feed files that give no items because they cannot be read as XML."""
+    reason = F.when(F.col("blank"), "empty").otherwise("broken XML")
+    return parsed.filter("kind = 'file' AND error IS NOT NULL").select("file", reason.alias("reason"), "error")
 
 
 def rejects(spark: SparkSession, path: str, glob: str = FEED_FILES) -> DataFrame:
-    """file, reason of feed files that give no items because they cannot be read as XML."""
-    schemas = (("item", _RSS_SCHEMA), ("entry", _ATOM_SCHEMA))
-    bad = _unclosed(spark, path, glob)
-    for row, schema in schemas:
-        raw = _raw_elements(spark, path, row, schema, glob).filter("_broken IS NOT NULL")
-        bad = bad.union(raw.select("file", F.lit("broken XML").alias("reason")))
-    return bad.groupBy("file").agg(F.max("reason").alias("reason"))
+    return rejects_of(parse(spark, path, glob))
 
 
-def _texts(c: str) -> Column:
-    return F.transform(F.coalesce(c, F.expr("cast(array() as array<struct<_VALUE:string>>)")), lambda x: strip_ws(F.coalesce(x["_VALUE"], F.lit(""))))
+def _named(*tags: str) -> Column:
+    return F.filter("parts", lambda p: p["tag"].isin(*tags))
 
 
-def _last(c: str) -> Column:
-    return F.coalesce(F.try_element_at(_texts(c), F.lit(-1)), F.lit(""))
+def _last(*tags: str) -> Column:
+    """Text of the last of the elements with one of these names."""
+    return strip_ws(F.coalesce(F.try_element_at(_named(*tags), F.lit(-1))["text"], F.lit("")))
 
 
-def _first(c: str, field: str = "_VALUE") -> Column:
-    return F.coalesce(F.get(F.transform(c, lambda x: x[field]), F.lit(0)), F.lit(""))
+def _first(tag: str, field: str = "text") -> Column:
+    return F.coalesce(F.get(_named(tag), F.lit(0))[field], F.lit(""))
 
 
 def _joined_categories() -> Column:
     """Categories with ", " between; blank ones before the first filled one leave no mark."""
-    return F.aggregate(_texts("category"), F.lit(""), lambda a, x: F.when(a == "", x).otherwise(F.concat(a, F.lit(", "), x)))
+    texts = F.transform(_named("category"), lambda p: strip_ws(p["text"]))
+    return F.aggregate(texts, F.lit(""), lambda a, x: F.when(a == "", x).otherwise(F.concat(a, F.lit(", "), x)))
+
+
+def _rss() -> dict[str, Column]:
+    """Categories joined; of other repeated elements the last one counts, author and creator being one, region and location too."""
+    fields = {c: _last(c) for c in ("title", "link", "pubDate", "description")}
+    return fields | {"category": _joined_categories(), "author": _last("author", "creator"), "location": _last("region", "location")}
 
 
-def _items(df: DataFrame) -> DataFrame:
-    """Known fields, company taken from the headline, and the file the item came from."""
-    return df.withColumn("company", company_from_title("title")).select("file", *FIELDS)
+def _atom(fixed: bool) -> dict[str, Column]:
+    """The first element of each name. `published` and `summary` count only with elements inside, else `updated` and
+    `content` do; with `fixed` the first of the two that has text."""
+    def either(a: str, b: str) -> Column:
+        first, second = strip_ws(_first(a)), strip_ws(_first(b))
+        if fixed:
+            return F.coalesce(blank_to_null(first), second)
+        return F.when(F.coalesce(F.get(_named(a), F.lit(0))["nested"], F.lit(False)), first).otherwise(second)
+
+    return {
+        "title": strip_ws(_first("title")), "link": _first("link", "href"), "pubDate": either("published", "updated"),
+        "description": either("summary", "content"),
+        "category": F.coalesce(blank_to_null(_first("category", "term")), strip_ws(_first("category"))),
+        "author": strip_ws(_first("author/name")), "location": F.lit(""),
+    }
+
+
+def items_of(parsed: DataFrame, fixed: bool = False) -> DataFrame:
+    """file and the eight fields of all items and entries; the company is taken from the headline."""
+    rss, atom = _rss(), _atom(fixed)
+    fields = [F.when(F.col("kind") == "item", rss[c]).otherwise(atom[c]).alias(c) for c in rss]
+    rows = parsed.filter("kind <> 'file'").select("file", *fields)
+    return rows.withColumn("company", company_from_title("title")).select("file", *FIELDS)
+
+
+def scan_feeds(spark: SparkSession, path: str, glob: str = FEED_FILES) -> DataFrame:
+    """RSS items and Atom entries of all feed files."""
+    return items_of(parse(spark, path, glob))
 
 
 def scan_rss(spark: SparkSession, path: str, glob: str = FEED_FILES) -> DataFrame:
-    """Items of RSS files: categories joined by ", ", of other repeated elements the last one counts."""
-    raw = _elements(spark, path, "item", _RSS_SCHEMA, glob)
-    return _items(raw.select(
-        "file", *[_last(c).alias(c) for c in ("title", "link", "pubDate", "description")],
-        _joined_categories().alias("category"),
-        F.coalesce(blank_to_null(_last("creator")), _last("author")).alias("author"),
-        F.coalesce(blank_to_null(_last("region")), _last("location")).alias("location"),
-    ))
+    return items_of(parse(spark, path, glob).filter("kind = 'item'"))
 
 
 def scan_atom(spark: SparkSession, path: str, fixed: bool = False, glob: str = FEED_FILES) -> DataFrame:
-    """Entries of Atom files.
+    return items_of(parse(spark, path, glob).filter("kind = 'entry'"), fixed)
 
-    As in the input rules a `published` or `summary` element is passed over in favour of `updated` and
-    `content`; `fixed=True` takes the first one that has text.
-    """
-    raw = _elements(spark, path, "entry", _ATOM_SCHEMA, glob)
-
-    def either(a, b):
-        second = strip_ws(_first(b))
-        return F.coalesce(blank_to_null(strip_ws(_first(a))), second) if fixed else second
-
-    return _items(raw.select(
-        "file",
-        strip_ws(_first("title")).alias("title"),
-        _first("link", "_href").alias("link"),
-        either("published", "updated").alias("pubDate"),
-        either("summary", "content").alias("description"),
-        F.coalesce(blank_to_null(_first("category", "_term")), strip_ws(_first("category"))).alias("category"),
-        strip_ws(F.coalesce(F.get(F.get(F.col("author"), F.lit(0))["name"], F.lit(0)), F.lit(""))).alias("author"),
-        F.lit("").alias("location"),
-    ))
+
+def envelopes_of(parsed: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """file, feed_url, fetched_at, item_count, error per feed file; the address is that of the manifest entry of its name."""
+    counted = parsed.groupBy("file").agg(
+        F.max("fetched_at").alias("fetched_at"), F.count_if(F.col("kind") != "file").alias("item_count"), F.max("error").alias("error"))
+    if manifest is None:
+        return counted.select("file", F.lit("").alias("feed_url"), "fetched_at", "item_count", "error")
+    urls = manifest.select(F.col("path").alias("_name"), "feed_url")
+    named = counted.withColumn("_name", F.element_at(F.split("file", "/"), -1)).join(urls, "_name", "left")
+    return named.select("file", F.coalesce("feed_url", F.lit("")).alias("feed_url"), "fetched_at", "item_count", "error")
 
 
 def envelopes(items: DataFrame, files: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
