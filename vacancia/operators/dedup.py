@@ -67,35 +67,40 @@ def _company_links(nodes: DataFrame) -> DataFrame:
     return materialize(links.unionByName(own), "company-links")
 
 
-def _edges(home: DataFrame, guest: DataFrame, links: DataFrame, keep: Column) -> DataFrame:
+def _edges(home: DataFrame, guest: DataFrame, links: DataFrame, guest_after: bool = True, home_after: bool = True) -> DataFrame:
     """Matching pairs between two sets of signed nodes as (earlier, later).
 
-    `keep` may use `h_ord`, `g_ord`, `home` and `guest`; it decides which of the candidate pairs count.
-    Only the smaller company of a matched couple is copied to the other's key.
+    Pairs in which the guest is the later one count with `guest_after`, those in which the home is the later one
+    with `home_after`; inside a company the home is always the earlier one. Only the smaller company of a matched
+    couple is copied to the other's key, and a title that several guests of a company share is compared once.
     """
     left = home.select(F.col("ck").alias("home"), F.col("ord").alias("h_ord"), F.col("tk").alias("h_tk"), F.col("sig").alias("h_sig"), F.col("mask").alias("h_mask"), F.col("len").alias("h_len"))
-    right = (
-        guest.select(F.col("ck").alias("guest"), F.col("ord").alias("g_ord"), F.col("tk").alias("g_tk"), F.col("sig").alias("g_sig"), F.col("mask").alias("g_mask"), F.col("len").alias("g_len"))
-        .join(links, "guest")
-    )
-    h_tk, g_tk = F.col("h_tk"), F.col("g_tk")
-    guest_is_later = F.col("g_ord") > F.col("h_ord")
-    companies_match = F.when(guest_is_later, F.col("guest_later")).otherwise(F.col("home_later"))
-    cheap = keep & companies_match & near_in_size(F.col("h_len"), F.col("g_len"), F.col("h_mask"), F.col("g_mask"), TITLE_THRESHOLD)
-    pairs = candidate_pairs(left, right, ["home"], "h_ord", "g_ord", "h_sig", "g_sig", cheap)
-    pairs = pairs.filter(near_in_edits(h_tk, g_tk, F.col("h_len"), F.col("g_len"), TITLE_THRESHOLD))
-    directed = pairs.select(
-        F.least("h_ord", "g_ord").alias("earlier"),
-        F.greatest("h_ord", "g_ord").alias("later"),
-        F.when(guest_is_later, F.col("g_tk")).otherwise(F.col("h_tk")).alias("later_tk"),
-        F.when(guest_is_later, F.col("h_tk")).otherwise(F.col("g_tk")).alias("earlier_tk"),
-    )
-    return directed.filter(fuzzy_match(F.col("later_tk"), F.col("earlier_tk"), TITLE_THRESHOLD)).select("earlier", "later")
-
-
-def _once() -> Column:
-    """Each couple once: inside a company only with the home side first."""
-    return (F.col("home") != F.col("guest")) | (F.col("h_ord") < F.col("g_ord"))
+    visits = guest.withColumnRenamed("ck", "guest").join(links, "guest")
+    guest_may = F.lit(guest_after) & F.col("guest_later")
+    home_may = F.lit(home_after) & F.col("home_later") & (F.col("home") != F.col("guest"))
+    right = visits.groupBy("home", F.col("tk").alias("g_tk")).agg(
+        F.first("sig").alias("g_sig"), F.first("mask").alias("g_mask"), F.first("len").alias("g_len"),
+        F.max(F.when(guest_may, F.col("ord"))).alias("g_last"), F.min(F.when(home_may, F.col("ord"))).alias("g_first"))
+    some_after = F.coalesce(F.col("g_last") > F.col("h_ord"), F.lit(False))
+    some_before = F.coalesce(F.col("g_first") < F.col("h_ord"), F.lit(False))
+    cheap = (some_after | some_before) & near_in_size(F.col("h_len"), F.col("g_len"), F.col("h_mask"), F.col("g_mask"), TITLE_THRESHOLD)
+    pairs = candidate_pairs(left, right, ["home"], "h_ord", "g_tk", "h_sig", "g_sig", cheap)
+    pairs = pairs.filter(near_in_edits(F.col("h_tk"), F.col("g_tk"), F.col("h_len"), F.col("g_len"), TITLE_THRESHOLD))
+    open_pairs = materialize(pairs.select("home", "h_ord", "h_tk", "g_tk", some_after.alias("after"), some_before.alias("before")), "open-pairs")
+    # Every couple of titles is judged once, whatever companies share it. The ratio is that of the later title against
+    # the earlier one; a direction nobody needs is asked with a blank.
+    titles = open_pairs.groupBy("h_tk", "g_tk").agg(F.bool_or("after").alias("after"), F.bool_or("before").alias("before"))
+    judged = titles.select(
+        "h_tk", "g_tk",
+        fuzzy_match(F.when(F.col("after"), F.col("g_tk")).otherwise(""), F.col("h_tk"), TITLE_THRESHOLD).alias("guest_matches"),
+        fuzzy_match(F.when(F.col("before"), F.col("h_tk")).otherwise(""), F.col("g_tk"), TITLE_THRESHOLD).alias("home_matches"),
+    ).filter("guest_matches OR home_matches")
+    judged = open_pairs.join(judged, ["h_tk", "g_tk"])
+    rows = visits.select("home", F.col("tk").alias("g_tk"), F.col("ord").alias("g_ord"), guest_may.alias("guest_may"), home_may.alias("home_may"))
+    later_guest = F.col("guest_matches") & F.col("guest_may") & (F.col("g_ord") > F.col("h_ord"))
+    later_home = F.col("home_matches") & F.col("home_may") & (F.col("g_ord") < F.col("h_ord"))
+    return judged.join(rows, ["home", "g_tk"]).filter(later_guest | later_home).select(
+        F.least("h_ord", "g_ord").alias("earlier"), F.greatest("h_ord", "g_ord").alias("later"))
 
 
 def duplicate_edges(nodes: DataFrame) -> DataFrame:
@@ -103,37 +108,40 @@ def duplicate_edges(nodes: DataFrame) -> DataFrame:
     nodes = materialize(nodes, "nodes")
     links = _company_links(nodes)
     signed = materialize(signatures(nodes, "ord", "tk", TITLE_THRESHOLD), "title-keys")
-    return _edges(signed, signed, links, _once())
+    return _edges(signed, signed, links)
 
 
 def _settle(members: DataFrame, edges: DataFrame) -> DataFrame:
     """First-match survivors over `edges`; members are (ord, sure). Returns (ord, st) with st L, M or U.
 
-    A member that is not sure may have earlier matches outside the set: it can be absorbed but not survive.
+    A member that is not sure may have earlier matches outside the set: it can be absorbed but not survive. Each round
+    works on the undecided members and the edges between them alone: a sure one without an open earlier match
+    survives, whatever matches it is absorbed, and both leave with their edges.
     """
-    state = materialize(members.select("ord", "sure", F.lit("U").alias("st")), "state")
-
-    def step(s: DataFrame) -> DataFrame:
-        seen = (
-            edges.join(s.select(F.col("ord").alias("earlier"), F.col("st").alias("e_st")), "earlier")
-            .groupBy(F.col("later").alias("ord"))
-            .agg(F.bool_or(F.col("e_st") == "L").alias("met"), F.bool_or(F.col("e_st") == "U").alias("open"))
-        )
-        undecided = F.col("st") == "U"
-        return s.join(seen, "ord", "left").select(
-            "ord", "sure",
-            F.when(undecided & F.coalesce("met", F.lit(False)), "M")
-            .when(undecided & F.col("sure") & ~F.coalesce("open", F.lit(False)), "L")
-            .otherwise(F.col("st")).alias("st"),
-        )
-
-    undecided = None
+    decided, left = [], None
     while True:
-        state = materialize(step(step(state)), "state")
-        left = state.filter("st = 'U'").count()
-        if left == 0 or left == undecided:
-            return state.select("ord", "st")
-        undecided = left
+        waiting = edges.groupBy(F.col("later").alias("ord")).agg(F.lit(True).alias("waits"))
+        marked = members.join(waiting, "ord", "left").select("ord", "sure", (F.col("sure") & F.col("waits").isNull()).alias("survives"))
+        met = (
+            edges.join(marked.filter("survives").select(F.col("ord").alias("earlier")), "earlier")
+            .groupBy(F.col("later").alias("ord")).agg(F.lit(True).alias("met"))
+        )
+        st = F.when(F.col("survives"), "L").when(F.col("met"), "M").otherwise("U")
+        state = materialize(marked.join(met, "ord", "left").select("ord", "sure", st.alias("st")), "state")
+        done = state.filter("st <> 'U'").select("ord", "st")
+        decided.append(done)
+        members = state.filter("st = 'U'").select("ord", "sure")
+        undecided = members.count()
+        if undecided in (0, left):
+            break
+        left = undecided
+        edges = materialize(
+            edges.join(done.select(F.col("ord").alias("later")), "later", "left_anti")
+            .join(done.select(F.col("ord").alias("earlier")), "earlier", "left_anti"), "open-edges")
+    out = members.select("ord", F.lit("U").alias("st"))
+    for done in decided:
+        out = out.unionByName(done)
+    return materialize(out, "settled")
 
 
 def _first_match(edges: DataFrame, leaders: DataFrame) -> DataFrame:
@@ -151,7 +159,7 @@ def leader_assignment(nodes: DataFrame) -> DataFrame:
     signed = materialize(signatures(nodes, "ord", "tk", TITLE_THRESHOLD), "title-keys")
     largest = nodes.groupBy("ck").count().agg(F.max("count")).first()[0] or 0
     if largest <= PORTION_NODES:
-        edges = materialize(_edges(signed, signed, links, _once()), "edges")
+        edges = materialize(_edges(signed, signed, links), "edges")
         state = _settle(nodes.select("ord", F.lit(True).alias("sure")), edges)
         first = _first_match(edges, state.filter("st = 'L'"))
         return nodes.select("ord").join(first, "ord", "left").select("ord", F.coalesce("leader", "ord").alias("leader"))
@@ -192,14 +200,14 @@ def _assign_in_portions(nodes: DataFrame, links: DataFrame, signed: DataFrame) -
             "portion",
         )
         chosen = signed.join(portion.select("ord"), "ord")
-        edges = materialize(_edges(chosen, chosen, links, _once()), "edges")
+        edges = materialize(_edges(chosen, chosen, links), "edges")
         state = _settle(portion, edges)
         leaders = state.filter("st = 'L'").select("ord")
         signed_leaders = materialize(signed.join(leaders, "ord"), "leaders")
         # Everything outside the portion that does not survive already meets the new survivors.
         rest = signed.join(placed.filter("st <> 'L'").select("ord"), "ord").join(portion.select("ord"), "ord", "left_anti")
-        as_guest = _edges(signed_leaders, rest, links, F.col("h_ord") < F.col("g_ord"))
-        as_home = _edges(rest, signed_leaders, links, (F.col("home") != F.col("guest")) & (F.col("g_ord") < F.col("h_ord")))
+        as_guest = _edges(signed_leaders, rest, links, home_after=False)
+        as_home = _edges(rest, signed_leaders, links, guest_after=False)
         met = _first_match(edges.unionByName(as_guest).unionByName(as_home), leaders).withColumnRenamed("leader", "met")
         placed = materialize(
             placed.join(leaders.withColumn("new", F.lit(True)), "ord", "left").join(met, "ord", "left").select(
