@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from registry.base import query
+from registry.q_filters import AS_OF
 from registry.sql import PAGES, PART_LISTINGS, PART_PAGES, PHRASES, with_tables
 from registry.tables import fetched_pages, part_listings, part_pages
 from vacancia.operators import verify
+from vacancia.plans.search import search_pool
 from vacancia.session import scratch_path
 from vacancia.sources import landing
 
@@ -101,3 +103,32 @@ def v7(spark, sf):
 SELECT count(*) AS pool_size, count(*) < 10 AS small_pool FROM listings LEFT JOIN checks USING (url) WHERE verification_status = 'GUARANTEED' OR coalesce(status, '') <> 'EXPIRED'""")
 def v8(spark, sf):
     return verify.pool_notice(verify.merge_status(part_listings(spark, sf), _checks(spark, sf)))
+
+
+_SEARCH = _PART_CHECKS.rstrip() + f""", named AS (SELECT * REPLACE (CASE WHEN pos % 50 = 7 THEN '' ELSE company END AS company, CASE WHEN pos % 50 = 7 THEN '' ELSE title END AS title) FROM listings),
+hits AS (
+  SELECT pos * 2 AS place, 'snippet' AS kind, source, company, title, location, NULL::DOUBLE AS salary_min, NULL::DOUBLE AS salary_max, CASE WHEN pos % 2 = 0 THEN posted_date END AS posted_date,
+    '' AS description_text, '' AS employment_type, url FROM named
+  UNION ALL SELECT pos * 2 + 1, 'filled', source, company, title, location, salary_min, salary_max, posted_date, description_text, employment_type, url FROM named WHERE pos % 3 <> 0),
+best AS (
+  SELECT * FROM hits WHERE company = '' AND title = ''
+  UNION ALL SELECT * FROM hits WHERE company <> '' OR title <> '' QUALIFY row_number() OVER (PARTITION BY lower(company), lower(title) ORDER BY
+    (location <> '')::INT + (salary_min IS NOT NULL)::INT + (salary_max IS NOT NULL)::INT + (posted_date IS NOT NULL)::INT + (description_text <> '')::INT + (employment_type <> '')::INT DESC,
+    length(description_text) DESC, place) = 1)
+SELECT place, kind, CASE WHEN posted_date IS NULL THEN 'date unknown' WHEN date_diff('day', posted_date, DATE '{AS_OF}') < 60 THEN 'fresh' ELSE 'stale' END AS age_band,
+  CASE WHEN source IN ('greenhouse', 'ashby') THEN 'GUARANTEED' WHEN status = 'VERIFIED' THEN 'VERIFIED' ELSE 'UNVERIFIED' END AS verification_status
+FROM best LEFT JOIN checks USING (url)
+WHERE (posted_date IS NULL OR date_diff('day', posted_date, DATE '{AS_OF}') <= 90) AND (source IN ('greenhouse', 'ashby') OR coalesce(status, '') <> 'EXPIRED')"""
+
+
+@query("v9_search_pool", _SEARCH)
+def v9(spark, sf):
+    """A snippet of every listing and, of two thirds, the filled-in row; a fiftieth has neither company nor title."""
+    rows, nameless, nothing = part_listings(spark, sf), F.col("pos") % 50 == 7, F.lit(None)
+    named = rows.withColumns({c: F.when(nameless, "").otherwise(F.col(c)) for c in ("company", "title")})
+    snippet = named.withColumns({
+        "place": F.col("pos") * 2, "kind": F.lit("snippet"), "salary_min": nothing.cast("double"), "salary_max": nothing.cast("double"),
+        "posted_date": F.when(F.col("pos") % 2 == 0, F.col("posted_date")), "description_text": F.lit(""), "employment_type": F.lit("")})
+    filled = named.filter(F.col("pos") % 3 != 0).withColumns({"place": F.col("pos") * 2 + 1, "kind": F.lit("filled")})
+    pool = search_pool(snippet.unionByName(filled), _checks(spark, sf), F.lit(AS_OF).cast("date"), "place")
+    return pool.select("place", "kind", "age_band", "verification_status")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from vacancia.operators import dedup, match, order, report
+from vacancia.plans.search import search_pool
 from vacancia.sources import landing, mappings
 from vacancia.streaming import incremental
 
@@ -103,3 +104,18 @@ def test_every_listing_meets_every_profile(spark):
     got = {(r.profile_id, r.seniority): r.p for r in pairs.collect()}
     worth = {("p", "junior"): 20.0, ("p", "Mid"): 10.0}
     assert got == {(p, s): worth.get((p, s), 0.0) for p in "pqn" for s in levels}
+
+
+def test_search_pool(spark):
+    rows = [
+        (0, "https://a/1", "Acme", "Dev", "", None), (1, "https://a/1", "ACME", "dev", "long text", "2024-03-01"), (2, "https://a/2", "Tide", "Ops", "", None),
+        (3, "https://boards.greenhouse.io/x/jobs/1", "X", "Y", "", None), (4, "https://a/4", "Old", "Ops", "t", "2023-01-01"), (5, "https://a/5", "Shut", "Ops", "", None),
+        (6, "https://a/6", "", "", "", None), (7, "https://a/7", None, None, "", None), (8, None, "No", "Address", "", None)]
+    hits = spark.createDataFrame(rows, "pos long, url string, company string, title string, description_text string, d string").withColumns(
+        {"posted_date": F.to_date("d"), "location": F.lit(""), "salary_min": F.lit(None).cast("double"), "salary_max": F.lit(None).cast("double"),
+         "employment_type": F.lit(""), "source": F.lit("web"), "source_id": F.lit("")})
+    checks = spark.createDataFrame([("https://a/1", "VERIFIED", "r"), ("https://a/2", "UNVERIFIABLE", "r"), ("https://a/5", "EXPIRED", "r"),
+                                    ("https://boards.greenhouse.io/x/jobs/1", "EXPIRED", "r")], "url string, status string, reason string")
+    pool = search_pool(hits, checks, F.lit("2024-04-01").cast("date"), "pos")
+    assert {r.pos: r.verification_status for r in pool.collect()} == {1: "VERIFIED", 2: "UNVERIFIED", 3: "GUARANTEED", 6: "UNVERIFIED", 7: "UNVERIFIED", 8: "UNVERIFIED"}
+    assert search_pool(hits.limit(0), checks.limit(0), F.lit("2024-04-01").cast("date"), "pos").count() == 0
