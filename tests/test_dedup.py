@@ -116,3 +116,23 @@ def test_position_is_dense_and_total(spark):
     df = spark.range(1000).select(F.col("id"), F.pmod(F.hash("id"), F.lit(7)).alias("k"))
     got = [r[0] for r in order.with_position(df, "k", "id").orderBy("k", "id").select("ord").collect()]
     assert got == list(range(1000))
+
+
+def test_small_blocks_are_paired_without_signatures(spark):
+    """Both ways of finding candidates give the same edges; small blocks need no signature rows."""
+    from pyspark.sql import functions as F
+
+    from vacancia.operators import similar
+
+    rows = [(i, f"firm{i % 3}", f"senior engineer {'ab'[i % 2] * (i % 7)} {i % 5}") for i in range(60)]
+    nodes = spark.createDataFrame(rows, "ord long, ck string, tk string").groupBy("ck", "tk").agg(F.min("ord").alias("ord"))
+    by_block = sorted(map(tuple, dedup.duplicate_edges(nodes).collect()))
+    limit, similar.SMALL_BLOCK = similar.SMALL_BLOCK, 0
+    try:
+        by_signature = sorted(map(tuple, dedup.duplicate_edges(nodes).collect()))
+    finally:
+        similar.SMALL_BLOCK = limit
+    assert by_block == by_signature and by_block
+    side = spark.createDataFrame([(1, 7, [1]), (1, 8, [2])], "b int, id int, s array<int>")
+    found = similar.candidate_pairs(side, side.select("b", F.col("id").alias("other"), F.col("s").alias("t")), ["b"], "id", "other", "s", "t", F.lit(True))
+    assert found.count() == 4  # no shared signature is asked for in a small block

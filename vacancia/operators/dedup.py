@@ -78,9 +78,9 @@ def _edges(home: DataFrame, guest: DataFrame, links: DataFrame, guest_after: boo
     visits = guest.withColumnRenamed("ck", "guest").join(links, "guest")
     guest_may = F.lit(guest_after) & F.col("guest_later")
     home_may = F.lit(home_after) & F.col("home_later") & (F.col("home") != F.col("guest"))
-    right = visits.groupBy("home", F.col("tk").alias("g_tk")).agg(
+    right = materialize(visits.groupBy("home", F.col("tk").alias("g_tk")).agg(
         F.first("sig").alias("g_sig"), F.first("mask").alias("g_mask"), F.first("len").alias("g_len"),
-        F.max(F.when(guest_may, F.col("ord"))).alias("g_last"), F.min(F.when(home_may, F.col("ord"))).alias("g_first"))
+        F.max(F.when(guest_may, F.col("ord"))).alias("g_last"), F.min(F.when(home_may, F.col("ord"))).alias("g_first")), "guests")
     some_after = F.coalesce(F.col("g_last") > F.col("h_ord"), F.lit(False))
     some_before = F.coalesce(F.col("g_first") < F.col("h_ord"), F.lit(False))
     cheap = (some_after | some_before) & near_in_size(F.col("h_len"), F.col("g_len"), F.col("h_mask"), F.col("g_mask"), TITLE_THRESHOLD)

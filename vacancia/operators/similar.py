@@ -27,6 +27,7 @@ from vacancia.functions.similarity import (
 from vacancia.session import materialize
 
 CELL_ROWS = 2000  # strings of one key and side per join cell
+SMALL_BLOCK = 128  # rows of a side up to which a block is paired without signatures
 
 
 def signatures(strings: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
@@ -67,13 +68,14 @@ def signatures(strings: DataFrame, id_col: str, text_col: str, threshold: float)
     return sized.withColumn("sig", F.array_distinct(F.transform(chosen, lambda k: k["key"]))).drop("_keys", "_id")
 
 
+def _sizes(df: DataFrame, on: list[str], name: str) -> DataFrame:
+    return df.groupBy(*on).agg(F.count("*").alias(name))
+
+
 def _cells(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str) -> tuple[DataFrame, DataFrame]:
     """Add `_row`, `_col`: one cell for ordinary keys, a grid for keys with many rows on a side."""
-    def sizes(df, name):
-        return df.groupBy(*on).agg(F.count("*").alias(name))
-
     hot = (
-        sizes(left, "_nl").join(sizes(right, "_nr"), on)
+        _sizes(left, on, "_nl").join(_sizes(right, on, "_nr"), on)
         .filter((F.col("_nl") > CELL_ROWS) | (F.col("_nr") > CELL_ROWS))
         .select(*on, F.ceil(F.col("_nl") / CELL_ROWS).alias("_sl"), F.ceil(F.col("_nr") / CELL_ROWS).alias("_sr"))
     )
@@ -91,14 +93,33 @@ def _cells(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right
 
 def candidate_pairs(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str,
                     left_sig: str, right_sig: str, keep: Column) -> DataFrame:
-    """Rows of left and right equal on `on` that share a signature key; each pair once."""
+    """Rows of left and right equal on `on` that share a signature key; each pair once.
+
+    Blocks of equal `on` with few rows on either side are paired as they are: their signatures would be more rows than
+    their pairs.
+    """
+    if not on:
+        return _keyed_pairs(left, right, on, left_id, right_id, left_sig, right_sig, keep)
+    few = _sizes(left, on, "_nl").join(_sizes(right, on, "_nr"), on).filter((F.col("_nl") <= SMALL_BLOCK) & (F.col("_nr") <= SMALL_BLOCK))
+    few = materialize(few.select(*on), "small-blocks")
+    parts = _pair_tasks(left)
+    small = left.drop(left_sig).join(few, on, "left_semi").repartition(parts, *on).join(
+        right.drop(right_sig).join(few, on, "left_semi").repartition(parts, *on), on).filter(keep)
+    large = [side.join(few, on, "left_anti") for side in (left, right)]
+    return small.unionByName(_keyed_pairs(*large, on, left_id, right_id, left_sig, right_sig, keep))
+
+
+def _pair_tasks(left: DataFrame) -> int:
+    """A few rows become many pairs. A fixed partition count keeps the adaptive rules from packing the small inputs into a task or two."""
+    spark = left.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def _keyed_pairs(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str, left_sig: str, right_sig: str, keep: Column) -> DataFrame:
     l_keys = left.withColumn("_key", F.explode(left_sig))
     r_keys = right.withColumn("_key", F.explode(right_sig))
     l_cells, r_cells = _cells(l_keys, r_keys, [*on, "_key"], left_id, right_id)
-    # A few rows here become many pairs. A fixed partition count keeps the adaptive rules from packing
-    # the small inputs into a task or two.
-    spark = left.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    parts = _pair_tasks(left)
     cell = [*on, "_key", "_row", "_col"]
     pairs = l_cells.repartition(parts, *cell).join(r_cells.repartition(parts, *cell), cell).filter(keep)
     first_shared = F.get(F.array_intersect(left_sig, right_sig), F.lit(0))
