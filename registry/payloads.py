@@ -209,6 +209,19 @@ def land(spark: SparkSession, docs: DataFrame, name: str) -> str:
     return path
 
 
+def land_files(spark: SparkSession, docs: DataFrame, name: str) -> str:
+    """Write the `raw` of documents as one file each into one folder, for scans that need no number of the document.
+
+    Spark numbers the files that a task writes, so neither a task nor a folder is spent on each.
+    """
+    from vacancia.session import scratch_path
+
+    path = scratch_path(spark, name)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    docs.select("doc", "raw").repartition(parts, "doc").select("raw").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 def rss_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RSS 2.0 feeds of 50 parts: repeated categories, a namespaced author, every ninth feed cut off."""
     item = F.concat(

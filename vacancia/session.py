@@ -14,6 +14,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+SPLITS_PER_TASK = 32  # of a scan of small files with very many splits
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "vacancia") -> SparkSession:
@@ -46,6 +47,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def packed(scan: DataFrame) -> DataFrame:
+    """Give a task of a scan of many small files more of them.
+
+    Spark counts a file as a few megabytes at least (`openCostInBytes`), so a landing zone would be read with a task
+    for every handful of documents. A scan of few splits keeps them all; files are streamed, none is held for longer.
+    """
+    splits, enough = scan.rdd.getNumPartitions(), 16 * scan.sparkSession.sparkContext.defaultParallelism
+    return scan if splits <= enough else scan.coalesce(max(enough, splits // SPLITS_PER_TASK))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for cut-lineage tables: the cluster's `spark.checkpoint.dir`.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vacancia.functions.feedxml import PART, take_apart
 from vacancia.functions.text import blank_to_null, company_from_title, strip_ws
+from vacancia.session import packed
 
 FEED_FILES = "*.xml"
 FIELDS = ("title", "link", "pubDate", "description", "category", "company", "author", "location")
@@ -27,7 +28,7 @@ def parse(spark: SparkSession, path: str, glob: str = FEED_FILES) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("fetched_at"),
         (strip_ws("value") == "").alias("blank"), "value",
     )
-    return documents.mapInArrow(take_apart, _PARSED)
+    return packed(documents).mapInArrow(take_apart, _PARSED)
 
 
 def rejects_of(parsed: DataFrame) -> DataFrame:
