@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from vacancia.functions.text import strip_ws
 from vacancia.schema import ADDED, LISTING, conform
+from vacancia.session import packed
 from vacancia.sources import mappings
 
 PAYLOAD_SUFFIXES = "*.json"
@@ -24,7 +25,7 @@ def scan_payloads(spark: SparkSession, path: str, glob: str = PAYLOAD_SUFFIXES)
     """
     docs = spark.read.option("ignoreMissingFiles", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
     folders = [c for c in docs.columns if c != "value"]
-    return docs.select(F.col("_metadata.file_name").alias("file"), *folders, F.col("value").alias("raw"))
+    return packed(docs.select(F.col("_metadata.file_name").alias("file"), *folders, F.col("value").alias("raw")))
 
 
 def parse_payloads(raw: DataFrame) -> DataFrame:
@@ -63,17 +64,24 @@ def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
         "rss_files array<struct<path:string,source:string,feed_url:string>>"
     )
     doc = spark.read.schema(schema).option("multiLine", "true").json(path)
-    return manifest_entries(doc)
+    return manifest_entries(packed(doc))
+
+
+_LISTED = {"ats": ("slug", "company"), "api": ("params",), "rss": ("feed_url",)}  # fields beside path and source
 
 
 def manifest_entries(doc: DataFrame) -> DataFrame:
-    parts = [
-        doc.select("mode", "fetched_at", F.inline(f"{name}_files")).withColumn("channel", F.lit(name))
-        for name in ("ats", "api", "rss")
-    ]
-    out = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
-    wanted = ("channel", "path", "source", "slug", "company", "params", "feed_url", "mode", "fetched_at")
-    return out.select(*wanted)
+    """The entries of the three lists in one pass over the documents."""
+    fields = ("path", "source", "slug", "company", "params", "feed_url")
+
+    def entries(name, own):
+        def entry(e):
+            return F.struct(F.lit(name).alias("channel"), *[(e[f] if f in ("path", "source", *own) else F.lit(None).cast("string")).alias(f) for f in fields])
+
+        return F.coalesce(F.transform(f"{name}_files", entry), F.array())
+
+    every = F.concat(*[entries(name, own) for name, own in _LISTED.items()])
+    return doc.select("mode", "fetched_at", F.inline(every)).select("channel", *fields, "mode", "fetched_at")
 
 
 def join_manifest(payloads: DataFrame, manifest: DataFrame) -> DataFrame:
