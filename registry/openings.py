@@ -6,13 +6,13 @@ where they are the same, and duplicates can be named exactly in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from registry import payloads as pl
 from registry.tables import LOCATIONS, SECTORS, load, pick
 from vacancia.plans.matching import Landing
-from vacancia.session import scratch_path
+from vacancia.session import materialize, packed, scratch_path
 
 BOARDS = ("greenhouse", "remotive", "himalayas")
 KEYWORDS, EXCLUDE = ["small", "ring", "hot"], ["rod"]
@@ -69,15 +69,22 @@ def board_documents(spark: SparkSession, sf_dir: str, sources=BOARDS) -> DataFra
 
 
 def land_named(spark: SparkSession, docs: DataFrame, name: str) -> tuple[str, DataFrame]:
-    """Write documents (dense `doc`, raw, and others) one file each; returns the folder and the others with their `file` name.
+    """Write documents (`doc`, raw, and others) one file each; returns the folder and the others with their `file` name.
 
-    Each document is written by a task of its own, as Spark names files after tasks.
+    Spark names the files. A document's file is one that holds its text; documents of equal texts have as many files,
+    and take them in order.
     """
-    path = scratch_path(spark, name)
-    last = docs.agg(F.max("doc")).first()[0]
-    docs.select("doc", "raw").repartitionById((last or 0) + 1, F.col("doc").cast("int")).write.partitionBy("doc").text(path)
-    names = spark.read.text(path, wholetext=True).select(F.col("doc").cast("bigint").alias("doc"), F.col("_metadata.file_name").alias("file"))
-    return path, docs.drop("raw").join(names, "doc")
+    docs = materialize(docs, f"{name}-documents")
+    path = pl.land_files(spark, docs, name)
+    files = packed(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.sha2("value", 256).alias("_text")))
+    written = F.concat(F.coalesce("raw", F.lit("")), F.lit("\n"))  # the writer ends a file with a line break
+
+    def counted(df, by):
+        return df.withColumn("_n", F.row_number().over(Window.partitionBy("_text").orderBy(by)))
+
+    texts = docs.filter("doc IS NOT NULL").withColumn("_text", F.sha2(written, 256)).drop("raw")
+    named = counted(texts, "doc").join(counted(files, "file"), ["_text", "_n"]).drop("_text", "_n")
+    return path, materialize(named, f"{name}-files")
 
 
 def manifest_of(spark: SparkSession, boards: DataFrame) -> str:
@@ -86,7 +93,7 @@ def manifest_of(spark: SparkSession, boards: DataFrame) -> str:
     api = F.collect_list(F.when(F.col("source") != "greenhouse", F.struct(F.col("file").alias("path"), "source", F.lit("page=0").alias("params"))))
     lists = boards.groupBy((F.col("doc") % 100).alias("m")).agg(ats.alias("ats_files"), api.alias("api_files"))
     doc = F.to_json(F.struct(F.lit("prefetched").alias("mode"), F.lit("2024-04-15T00:00:00Z").alias("fetched_at"), "ats_files", "api_files", F.expr("array() AS rss_files")))
-    return pl.land(spark, lists.select(F.col("m").alias("doc"), doc.alias("raw")), "manifests")
+    return pl.land_files(spark, lists.select(F.col("m").alias("doc"), doc.alias("raw")), "manifests")
 
 
 def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,5 +129,5 @@ def land_all(spark: SparkSession, sf_dir: str) -> Landing:
     pages = scratch_path(spark, "fetched")
     fetched(spark, sf_dir).write.parquet(pages)
     return Landing(
-        boards=boards, manifest=manifest_of(spark, entries), feeds=pl.land(spark, feed_documents(spark, sf_dir), "feeds"), pages=pages,
-        companies=pl.land(spark, company_documents(spark, sf_dir), "firms"), sector_keywords=pl.land(spark, pl.sector_documents(spark, sf_dir), "sectors"), glob="*.txt")
+        boards=boards, manifest=manifest_of(spark, entries), feeds=pl.land_files(spark, feed_documents(spark, sf_dir), "feeds"), pages=pages,
+        companies=pl.land_files(spark, company_documents(spark, sf_dir), "firms"), sector_keywords=pl.land(spark, pl.sector_documents(spark, sf_dir), "sectors"), glob="*.txt")

@@ -66,7 +66,7 @@ SELECT t || ' at ' || replace(p_brand, '#', ' & ') AS title, 'https://f/' || k A
   p_type || ', B' AS category, replace(p_brand, '#', ' & ') AS company, CASE WHEN k % 2 = 0 THEN 'Ann' ELSE 'Bob' END AS author, CASE WHEN k % 3 = 0 THEN place ELSE '' END AS location
 FROM p WHERE doc % 9 <> 4""")
 def s12(spark, sf):
-    return feeds.scan_rss(spark, pl.land(spark, pl.rss_documents(spark, sf), "rss-xml"), TXT).select(*feeds.FIELDS)
+    return feeds.scan_rss(spark, pl.land_files(spark, pl.rss_documents(spark, sf), "rss-xml"), TXT).select(*feeds.FIELDS)
 
 
 @query("s12_last_element", _DOCS + """
@@ -77,7 +77,7 @@ def s12_last(spark, sf):
     both = F.replace(F.replace("raw", F.lit("<author>Bob"), F.lit("<dc:creator>Eve</dc:creator><author>Bob")), F.lit("<dc:creator> Ann"), F.lit("<author>Zed</author><dc:creator> Ann"))
     early = F.replace(both, F.lit("<title>"), F.lit("<location>Base</location><title>"))
     docs = pl.rss_documents(spark, sf).withColumn("raw", F.when(F.col("doc") % 2 == 0, F.replace(early, F.lit("</region>"), F.lit("</region><location>Later</location>"))).otherwise(early))
-    return feeds.scan_rss(spark, pl.land(spark, docs, "rss-both"), TXT).select("link", "author", "location")
+    return feeds.scan_rss(spark, pl.land_files(spark, docs, "rss-both"), TXT).select("link", "author", "location")
 
 
 _ATOM = """SELECT t AS title, 'https://a/' || k AS link, {date} AS "pubDate", {text} AS description, CASE WHEN k % 4 = 0 THEN p_type ELSE 'plain' END AS category,
@@ -86,12 +86,12 @@ _ATOM = """SELECT t AS title, 'https://a/' || k AS link, {date} AS "pubDate", {t
 
 @query("s13_scan_atom", _DOCS + _ATOM.format(date="CASE WHEN k % 2 = 0 THEN iso ELSE '' END", text="CASE WHEN k % 3 = 0 THEN p_type ELSE '' END"))
 def s13(spark, sf):
-    return feeds.scan_atom(spark, pl.land(spark, pl.atom_documents(spark, sf), "atom-xml"), glob=TXT).select(*feeds.FIELDS)
+    return feeds.scan_atom(spark, pl.land_files(spark, pl.atom_documents(spark, sf), "atom-xml"), glob=TXT).select(*feeds.FIELDS)
 
 
 @query("s13_scan_atom_fixed", _DOCS + _ATOM.format(date="iso || 'T10:00:00Z'", text="'sum'"))
 def s13_fixed(spark, sf):
-    return feeds.scan_atom(spark, pl.land(spark, pl.atom_documents(spark, sf), "atom-xml"), fixed=True, glob=TXT).select(*feeds.FIELDS)
+    return feeds.scan_atom(spark, pl.land_files(spark, pl.atom_documents(spark, sf), "atom-xml"), fixed=True, glob=TXT).select(*feeds.FIELDS)
 
 
 @query("s14_feed_envelopes", _DOCS + "SELECT doc, CASE WHEN doc % 9 = 4 THEN 0 ELSE count(*) END AS item_count, '' AS feed_url, true AS dated FROM p GROUP BY doc")
@@ -108,8 +108,8 @@ def s14_manifest(spark, sf):
     """Envelopes with the feed address of the manifest (a fifth has no entry) and the parser's message up to its line."""
     path, entries = op.land_named(spark, pl.rss_documents(spark, sf).select("doc", F.lit("rss").alias("source"), F.lit("").alias("company"), "raw"), "named-feeds")
     manifest = entries.filter("doc % 5 <> 0").select(F.col("file").alias("path"), F.concat(F.lit("https://feed/"), F.col("doc").cast("string")).alias("feed_url"))
-    env = feeds.envelopes_of(feeds.parse(spark, path, TXT), manifest).withColumn("doc", F.regexp_extract("file", r"doc=(\d+)", 1))
-    return env.select(F.col("doc").cast("bigint").alias("doc"), "item_count", "feed_url", F.regexp_extract("error", r"^(.*line \d+)", 1).alias("error"))
+    env = feeds.envelopes_of(feeds.parse(spark, path, TXT), manifest).withColumn("file", F.element_at(F.split("file", "/"), -1))
+    return env.join(entries.select("file", "doc"), "file", "left").select("doc", "item_count", "feed_url", F.regexp_extract("error", r"^(.*line \d+)", 1).alias("error"))
 
 
 @query("s15_scan_manifest", _DOCS + """
@@ -118,7 +118,7 @@ SELECT CASE src WHEN 'greenhouse' THEN 'ats' WHEN 'workable' THEN 'ats' WHEN 'rs
   CASE WHEN src IN ('remotive', 'themuse') THEN 'page=' || doc END AS params
 FROM (SELECT DISTINCT doc FROM p), (SELECT unnest(['greenhouse', 'workable', 'remotive', 'themuse', 'rss']) AS src)""")
 def s15(spark, sf):
-    return landing.scan_manifest(spark, pl.land(spark, pl.manifest_documents(spark, sf), "manifest")).select("channel", "path", "source", "company", "feed_url", "params")
+    return landing.scan_manifest(spark, pl.land_files(spark, pl.manifest_documents(spark, sf), "manifest")).select("channel", "path", "source", "company", "feed_url", "params")
 
 
 @query("j2_manifest_payloads", _DOCS + """
@@ -169,6 +169,6 @@ def s20(spark, sf):
 SELECT substring(md5('rss:https://f/' || k), 1, 12) AS id, t || ' at ' || replace(p_brand, '#', ' & ') AS title, replace(p_brand, '#', ' & ') AS company, p_type AS description_text,
   'Mon, 06 Ja' AS posted_date_raw, '2025-01-06' AS posted_date, p_type || ', B' AS departments FROM p WHERE doc % 9 <> 4""")
 def m10_feed(spark, sf):
-    items = feeds.scan_rss(spark, pl.land(spark, pl.rss_documents(spark, sf), "rss-xml"), TXT)
+    items = feeds.scan_rss(spark, pl.land_files(spark, pl.rss_documents(spark, sf), "rss-xml"), TXT)
     listings = mappings.normalize(feeds.as_payloads(items), "rss")
     return listings.select("id", "title", "company", "description_text", "posted_date_raw", F.col("posted_date").cast("string").alias("posted_date"), F.array_join("departments", "|").alias("departments"))
