@@ -6,6 +6,7 @@ from registry.base import query
 from registry.sql import FULL_TEXT, PART_LISTINGS, PROFILES, priority, with_tables
 from registry.tables import ADJECTIVES, NOUNS, part_listings, profiles
 from vacancia.operators import match
+from vacancia.session import materialize
 
 AS_OF = "2024-04-01"
 _LEVELS = "['junior','mid','senior','director','executive']"
@@ -119,7 +120,9 @@ def r8(spark, sf):
 @query("r9_rank_in_tier", SCORED + f"""
 SELECT pos, profile_id, tier, match_score, row_number() OVER (PARTITION BY profile_id, tier ORDER BY match_score DESC, {priority()}, pos) AS rank FROM tiered WHERE tier IS NOT NULL""")
 def r9(spark, sf):
-    return match.rank_in_tier(scored(spark, sf), position="pos").select("pos", "profile_id", "tier", "match_score", "rank")
+    keys = scored(spark, sf).filter("tier IS NOT NULL").select("pos", "profile_id", "tier", "match_score", "source")
+    # Written first: the range sort reads its input twice, to find the bounds and to sort.
+    return match.rank_in_tier(materialize(keys, "tiered"), position="pos").select("pos", "profile_id", "tier", "match_score", "rank")
 
 
 @query("r9_top_in_tier", SCORED + f"""

@@ -76,7 +76,7 @@ def _listing(df: DataFrame, key: Column, brand: Column, posted: Column) -> DataF
 
 def part_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One listing per part; `pos` is its place in the merged input."""
-    part = load(spark, sf_dir, "part")
+    part = spread(load(spark, sf_dir, "part"))
     k = F.col("p_partkey")
     posted = F.when(k % 11 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (k % 120).cast("int")))
     return conform(_listing(part, k, F.col("p_brand"), posted).select("*", k.alias("pos"))).drop(
