@@ -23,3 +23,10 @@ def test_rank_sorts_keys_alone(spark):
     (new,) = tables() - before
     columns = spark.read.parquet(f"{at}/{new}").columns
     assert {"profile_id", "tier", "match_score", "pos"} <= set(columns) and "description_text" not in columns
+
+
+def test_pairs_order_keys_alone(spark):
+    from registry import q_dedup
+
+    columns = q_dedup.ordered_keys(spark, SF).columns
+    assert {"ord", "ck", "tk"} <= set(columns) and "description_text" not in columns
