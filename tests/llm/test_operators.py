@@ -7,6 +7,7 @@ import re
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
@@ -338,3 +339,18 @@ def test_scratch_tables_are_discarded(spark, awkward):
         spark.read.parquet(gone.inputFiles()[0].rsplit("/", 1)[0]).count()
     with pytest.raises(ValueError):
         discard(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))
+
+
+def test_lm_scores_in_pieces(spark, awkward):
+    """Pieces that end within documents and keys dealt over many ranges change nothing; no plan has a row for each word."""
+    expected = brute_scores(text_rows())
+    size = sum(n for n, _ in expected.values())
+    got = {r["doc_id"]: r for r in lm_scoring.score_documents(awkward, 2, 2, size // 40, size // 10).collect()}
+    assert set(got) == set(expected)
+    assert all((got[i]["n_words"], got[i]["log_score"]) == (n, pytest.approx(s, abs=1e-3)) for i, (n, s) in expected.items())
+    hot = spark.createDataFrame([(i, "a b " * 400) for i in range(200)] + [(None, " "), (None, None)], "doc_id long, text string")
+    pieces = lm_scoring.pieces(hot, 1 << 18)
+    asked = lm_scoring.asked(pieces, 0, 1, 1)
+    assert asked.count() <= pieces.count() and pieces.agg({"n_words": "sum"}).first()[0] == 160_000
+    totals = lm_scoring.totals(pieces, 0, 1, 1).collect()
+    assert all(np.array_equal(np.sort(lm_scoring._from_planes(r["totals"], np.int64)), [200, 79_800, 80_000]) for r in totals)
