@@ -1,8 +1,10 @@
 """Clustering against the one-by-one rule on small random sets, and the joins' filters against brute force."""
 
+import hashlib
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +138,63 @@ def test_small_blocks_are_paired_without_signatures(spark):
     side = spark.createDataFrame([(1, 7, [1]), (1, 8, [2])], "b int, id int, s array<int>")
     found = similar.candidate_pairs(side, side.select("b", F.col("id").alias("other"), F.col("s").alias("t")), ["b"], "id", "other", "s", "t", F.lit(True))
     assert found.count() == 4  # no shared signature is asked for in a small block
+
+
+def _common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_common_letters_of_many_pairs(monkeypatch):
+    from vacancia.functions import similarity
+
+    rng = random.Random(5)
+    for words in (1, 50, 1 << 21):
+        monkeypatch.setattr(similarity, "_WORDS", words)
+        for letters in ("ab", "abcdefgh é😀\x00", "0123456789abcdef"):
+            a, b = (np.array(["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 63, 64, 65, 130]))) for _ in range(20)], object) for _ in "ab")
+            assert similarity.common_letters(a, b).tolist() == [_common(x, y) for x, y in zip(a, b)]
+
+
+@pytest.mark.parametrize("threshold", [0.75, 0.8])
+def test_near_pairs_lose_no_match(monkeypatch, threshold):
+    """And digests, which share letters but not their order, are ruled out."""
+    from vacancia.functions import similarity
+
+    rng = random.Random(8)
+    names = ["".join(rng.choice("abcd e") for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    names += [n[:i] + n[i + 1:] for n in names for i in range(min(2, len(n))) if len(n) > 1]
+    digests = ["firm " + hashlib.md5(str(i).encode()).hexdigest() for i in range(100)]
+    for common_length in (4, 512):
+        monkeypatch.setattr(similarity, "COMMON_LENGTH", common_length)
+        found = set(zip(*(x.tolist() for x in similarity.near_pairs(names, names, threshold))))
+        assert found >= {(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if SequenceMatcher(None, a, b).ratio() >= threshold}
+    assert set(zip(*(x.tolist() for x in similarity.near_pairs(digests, digests, threshold)))) == {(i, i) for i in range(100)}
+
+
+def test_names_of_common_grams_meet_in_a_grid(spark, monkeypatch):
+    """Names whose grams most of them share are compared in a grid, each pair once, with the same result."""
+    rng = random.Random(6)
+    names = {"".join(rng.choice("abc") for _ in range(rng.randint(4, 9))) for _ in range(120)}
+    df = spark.createDataFrame([(n,) for n in sorted(names)], "name string")
+    want = {(a, b) for a in names for b in names if a < b and max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= 0.8}
+    grids, grid = [], similar._all_near
+    monkeypatch.setattr(similar, "GRID_ROWS", (30, 30))
+    monkeypatch.setattr(similar, "_all_near", lambda *a: grids.append(1) or grid(*a))
+    assert sorted((r.a, r.b) for r in similar.similar_names(df, "name", 0.8).collect()) == sorted(want) and grids
+    far = spark.createDataFrame([("".join(chr(0x4E00 + 6 * i + k) for k in range(6)),) for i in range(60)], "name string")
+    similar.similar_names(far, "name", 0.8).collect()
+    assert len(grids) == 1
+
+
+def test_titles_of_small_companies_get_no_signature(spark, monkeypatch):
+    rows = [(i, "acme" if i < 40 else f"firm {chr(97 + i % 7) * 9}", f"engineer {i}") for i in range(80)]
+    nodes = spark.createDataFrame(rows, "ord long, ck string, tk string")
+    monkeypatch.setattr(similar, "SMALL_BLOCK", 20)
+    signed = dedup._signed(nodes, dedup._company_links(nodes)).collect()
+    assert sorted(r.ord for r in signed) == list(range(80))
+    assert {r.ck for r in signed if r.sig is not None} == {"acme"} and all(r.len == len(r.tk) for r in signed)

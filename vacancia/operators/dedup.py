@@ -7,7 +7,7 @@ same as that one-by-one rule, reached without all pairs:
 1. Rows with equal match keys behave alike, so only distinct (company key, title key) nodes are compared,
    each standing at its first row's position.
 2. Company names are matched once, over distinct names.
-3. Titles are compared only inside matched companies, through the signature join of `similar`.
+3. Titles are compared only inside matched companies, through the signature join of `similar` where these are large.
 4. Survivors are decided by repeated joins over the match edges: a node with no undecided or surviving
    earlier match survives, a node with a surviving earlier match does not.
 5. A company with very many distinct titles is taken in growing portions of its order. Each portion's
@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacancia.functions.infer import company_key, source_priority, title_key
-from vacancia.functions.similarity import fuzzy_match, near_in_edits, near_in_size, ratio
+from vacancia.functions.similarity import fuzzy_match, near_in_letters, near_in_size, ratio
 from vacancia.functions.text import blank_to_null, lowered
+from vacancia.operators import similar
 from vacancia.operators.order import by_source_priority, rank_within, with_position
 from vacancia.operators.similar import candidate_pairs, signatures, similar_names
 from vacancia.session import materialize
@@ -67,6 +68,21 @@ def _company_links(nodes: DataFrame) -> DataFrame:
     return materialize(links.unionByName(own), "company-links")
 
 
+def _signed(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Nodes with `sig`, `mask` and `len`; only those of companies that some large block holds have the first two.
+
+    A block has the titles of a company and of its guests, itself among them; small ones are paired without signatures.
+    """
+    titles = nodes.groupBy(F.col("ck").alias("guest")).agg(F.count("*").alias("n"))
+    large = links.join(titles, "guest").groupBy("home").agg(F.sum("n").alias("n")).filter(F.col("n") > similar.SMALL_BLOCK).select("home")
+    keyed = materialize(links.join(large, "home").select(F.col("guest").alias("ck")).distinct(), "large-companies")
+    plain = nodes.join(keyed, "ck", "left_anti").select("*", F.lit(None).cast("bigint").alias("mask"), F.length("tk").alias("len"), F.lit(None).cast("array<int>").alias("sig"))
+    if not keyed.isEmpty():
+        signed = signatures(nodes.join(keyed, "ck", "left_semi"), "ord", "tk", TITLE_THRESHOLD)
+        plain = plain.unionByName(signed)
+    return materialize(plain, "title-keys")
+
+
 def _edges(home: DataFrame, guest: DataFrame, links: DataFrame, guest_after: bool = True, home_after: bool = True) -> DataFrame:
     """Matching pairs between two sets of signed nodes as (earlier, later).
 
@@ -85,7 +101,7 @@ def _edges(home: DataFrame, guest: DataFrame, links: DataFrame, guest_after: boo
     some_before = F.coalesce(F.col("g_first") < F.col("h_ord"), F.lit(False))
     cheap = (some_after | some_before) & near_in_size(F.col("h_len"), F.col("g_len"), F.col("h_mask"), F.col("g_mask"), TITLE_THRESHOLD)
     pairs = candidate_pairs(left, right, ["home"], "h_ord", "g_tk", "h_sig", "g_sig", cheap)
-    pairs = pairs.filter(near_in_edits(F.col("h_tk"), F.col("g_tk"), F.col("h_len"), F.col("g_len"), TITLE_THRESHOLD))
+    pairs = pairs.filter(near_in_letters(F.col("h_tk"), F.col("g_tk"), F.col("h_len"), F.col("g_len"), TITLE_THRESHOLD))
     open_pairs = materialize(pairs.select("home", "h_ord", "h_tk", "g_tk", some_after.alias("after"), some_before.alias("before")), "open-pairs")
     # Every couple of titles is judged once, whatever companies share it. The ratio is that of the later title against
     # the earlier one; a direction nobody needs is asked with a blank.
@@ -107,7 +123,7 @@ def duplicate_edges(nodes: DataFrame) -> DataFrame:
     """Every matching pair of nodes, earlier and later (ratio taken as later against earlier)."""
     nodes = materialize(nodes, "nodes")
     links = _company_links(nodes)
-    signed = materialize(signatures(nodes, "ord", "tk", TITLE_THRESHOLD), "title-keys")
+    signed = _signed(nodes, links)
     return _edges(signed, signed, links)
 
 
@@ -156,7 +172,7 @@ def _first_match(edges: DataFrame, leaders: DataFrame) -> DataFrame:
 def leader_assignment(nodes: DataFrame) -> DataFrame:
     """(ord, leader) for every node of a written table; survivors lead themselves."""
     links = _company_links(nodes)
-    signed = materialize(signatures(nodes, "ord", "tk", TITLE_THRESHOLD), "title-keys")
+    signed = _signed(nodes, links)
     largest = nodes.groupBy("ck").count().agg(F.max("count")).first()[0] or 0
     if largest <= PORTION_NODES:
         edges = materialize(_edges(signed, signed, links), "edges")

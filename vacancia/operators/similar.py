@@ -2,13 +2,17 @@
 
 Each string is keyed by its rarest grams (short strings by characters too); two strings that match share
 at least one of those keys (see `functions.similarity`). Pairs come from an equi-join on the keys, are
-thinned by JVM tests no true pair fails, and only then reach the Arrow ratio. A pair is emitted once, at
+thinned by tests no true pair fails (sizes and summaries, then common letters), and only then reach the Arrow ratio. A pair is emitted once, at
 the first key both strings share. Keys held by many strings are spread over a grid of cells, so no task
 gets a whole hot key.
 """
 
 from __future__ import annotations
 
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +21,9 @@ from vacancia.functions.similarity import (
     char_prefix_size,
     fuzzy_match,
     gram_prefix_size,
-    near_in_edits,
+    near_in_letters,
     near_in_size,
+    near_pairs,
     occurrence_keys,
     short_length,
     sorted_chars,
@@ -26,7 +31,11 @@ from vacancia.functions.similarity import (
 )
 from vacancia.session import materialize
 
+# Workers receive the functions themselves, so the package need not be installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CELL_ROWS = 2000  # strings of one key and side per join cell
+GRID_ROWS = 2000, 8192  # fewest and most names on a side of a cell where all pairs are looked at
 SMALL_BLOCK = 128  # rows of a side up to which a block is paired without signatures
 
 
@@ -126,6 +135,30 @@ def _keyed_pairs(left: DataFrame, right: DataFrame, on: list[str], left_id: str,
     return pairs.filter(first_shared == F.col("_key")).drop("_key", "_row", "_col", left_sig, right_sig)
 
 
+def _all_near(names: DataFrame, column: str, threshold: float, total: int) -> DataFrame:
+    """a, b (a < b) of the pairs of distinct names that sizes, grams and letters leave over, from a grid of all of them.
+
+    A cell has a slice of the names on each side, so a task holds two slices, and takes a few nanoseconds for a pair.
+    """
+    slices = -(-total // min(max(GRID_ROWS[0], total // 12), GRID_ROWS[1]))
+    sliced = names.select(F.col(column).alias("name"), F.pmod(F.xxhash64(column), F.lit(slices)).cast("int").alias("_own"))
+    parts = max(_pair_tasks(names), min(slices * (slices + 1) // 2, 2000))
+
+    def dealt(row: Column, col: Column) -> DataFrame:
+        return sliced.select("name", row.alias("_row"), col.alias("_col")).repartition(parts, "_row", "_col").groupBy("_row", "_col")
+
+    def near(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = left["name"].to_pylist(), right["name"].to_pylist()
+        found = [(x, y) if x < y else (y, x) for x, y in ((a[i], b[j]) for i, j in zip(*near_pairs(a, b, threshold))) if x != y] if a and b else []
+        if left.num_rows and right.num_rows and left["_row"][0] == left["_col"][0]:
+            found = list(dict.fromkeys(found))  # a slice with itself has every pair twice
+        return pa.table({"a": pa.array([p[0] for p in found], pa.string()), "b": pa.array([p[1] for p in found], pa.string())})
+
+    above = F.explode(F.sequence(F.col("_own"), F.lit(slices - 1)))
+    below = F.explode(F.sequence(F.lit(0), F.col("_own")))
+    return dealt(F.col("_own"), above).cogroup(dealt(below, F.col("_own"))).applyInArrow(near, "a string, b string")
+
+
 def similar_names(names: DataFrame, column: str, threshold: float) -> DataFrame:
     """Unordered pairs a < b of distinct names that match in at least one direction.
 
@@ -137,8 +170,14 @@ def similar_names(names: DataFrame, column: str, threshold: float) -> DataFrame:
 
     a, b, a_len, b_len = F.col("a"), F.col("b"), F.col("a_len"), F.col("b_len")
     keep = (a < b) & near_in_size(a_len, b_len, F.col("a_mask"), F.col("b_mask"), threshold)
-    pairs = candidate_pairs(side("a"), side("b"), [], "a", "b", "a_sig", "b_sig", keep)
-    return pairs.filter(near_in_edits(a, b, a_len, b_len, threshold)).select(
+    met = _sizes(sig.select(F.explode("sig").alias("key")), ["key"], "n").agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    total = sig.count()
+    if met > total * total:  # keys that most names share, as those of digests, would give every pair more than once
+        pairs = _all_near(sig.select(column), column, threshold, total)
+    else:
+        pairs = candidate_pairs(side("a"), side("b"), [], "a", "b", "a_sig", "b_sig", keep)
+        pairs = pairs.filter(near_in_letters(a, b, a_len, b_len, threshold))
+    return pairs.select(
         "a", "b",
         fuzzy_match(a, b, threshold).alias("a_later"),
         fuzzy_match(b, a, threshold).alias("b_later"),
